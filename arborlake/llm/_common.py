@@ -52,7 +52,7 @@ def discard(df: DataFrame | None) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's own estimate of the size of ``df``; for file scans the bytes on disk."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

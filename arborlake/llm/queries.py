@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe_codec import op5_bpe_codec
 from .token_counts import op2_token_counts
+from .token_files import op10_token_files
 
 QUERIES = {
+    "op5_bpe_codec": op5_bpe_codec,
+    "op10_token_files": op10_token_files,
     "op2_token_counts": op2_token_counts,
 }
 
