@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe_codec import op5_bpe_codec
+from .near_dup import op1_near_duplicates
 from .token_counts import op2_token_counts
 from .token_files import op10_token_files
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op5_bpe_codec": op5_bpe_codec,
     "op10_token_files": op10_token_files,
     "op2_token_counts": op2_token_counts,
