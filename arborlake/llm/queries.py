@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .bpe_codec import op5_bpe_codec
+from .lm_score import op9_lm_score
 from .near_dup import op1_near_duplicates
+from .substring_dedup import op8_substring_dedup
 from .token_counts import op2_token_counts
 from .token_files import op10_token_files
 
 QUERIES = {
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_lm_score": op9_lm_score,
     "op1_near_duplicates": op1_near_duplicates,
     "op5_bpe_codec": op5_bpe_codec,
     "op10_token_files": op10_token_files,
