@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe_codec import op5_bpe_codec
+from .decontaminate import op3_decontaminate
+from .embedding_dedup import op7_embedding_dedup
 from .lm_score import op9_lm_score
 from .near_dup import op1_near_duplicates
 from .substring_dedup import op8_substring_dedup
@@ -10,6 +12,8 @@ from .token_counts import op2_token_counts
 from .token_files import op10_token_files
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_lm_score": op9_lm_score,
     "op1_near_duplicates": op1_near_duplicates,
