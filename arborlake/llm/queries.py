@@ -7,11 +7,15 @@ from .decontaminate import op3_decontaminate
 from .embedding_dedup import op7_embedding_dedup
 from .lm_score import op9_lm_score
 from .near_dup import op1_near_duplicates
+from .quality import op6_quality
 from .substring_dedup import op8_substring_dedup
 from .token_counts import op2_token_counts
 from .token_files import op10_token_files
+from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
     "op3_decontaminate": op3_decontaminate,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_substring_dedup": op8_substring_dedup,
