@@ -32,7 +32,7 @@ from ._common import materialise, plan_bytes, scratch_dir, slices, table, texts_
 MAGIC = b"ALTK\x01\0\0\0"
 BLOCK = 4096
 #: Text bytes that go into one file, and input bytes for each task.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 4 << 20
 TASK_BYTES = 16 << 20
 
 
@@ -128,7 +128,7 @@ def write(df: DataFrame, where: str, path: str | None = None, end_id: int = 2, i
             return row
 
         for batch in batches:
-            for piece in slices(batch, text_col):
+            for piece in slices(batch, text_col, 2 << 20):
                 texts = texts_of(piece, text_col)
                 flat, ptr = vocab.encode(texts)
                 flats.append(np.insert(flat, ptr[1:], end_id))
