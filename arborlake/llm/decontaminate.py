@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import materialise, mix64, slices, table, texts_of
+from ._common import discard, materialise, mix64, slices, table, texts_of
 
 WINDOW = 8
 LITERALS = 4
@@ -134,9 +134,7 @@ def _matches(part: _Part, texts: list[str], size: int, coverage: float) -> list[
     return found
 
 
-def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """One row per row: id, contaminated, item_ids (sorted), verbatim_ids (those found word for word)."""
-    spark = df.sparkSession
+def _shared_parts(bench: DataFrame, item_col: str, item_text: str, size: int) -> list:
     grams = materialise(benchmark_windows(bench, item_col, item_text, size), "benchmark")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-total // PART_WINDOWS))
@@ -144,16 +142,27 @@ def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     for k in range(parts):
         rows = grams.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).collect()
         if rows:
-            shared.append(spark.sparkContext.broadcast(_Part(rows)))
+            shared.append(bench.sparkSession.sparkContext.broadcast(_Part(rows)))
+    discard(grams)
+    return shared
+
+
+def _found(shared: list, texts: list[str], size: int, coverage: float) -> list[list[tuple]]:
+    found: list[list[tuple]] = [[] for _ in texts]
+    for part in shared:
+        for a, b in zip(found, _matches(part.value, texts, size, coverage), strict=True):
+            a.extend(b)
+    return found
+
+
+def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """One row per row: id, contaminated, item_ids (sorted), verbatim_ids (those found word for word)."""
+    shared = _shared_parts(bench, item_col, item_text, size)
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, text_col, 2 << 20):
-                texts = texts_of(piece, text_col)
-                found: list[list[tuple]] = [[] for _ in texts]
-                for part in shared:
-                    for a, b in zip(found, _matches(part.value, texts, size, coverage), strict=True):
-                        a.extend(b)
+                found = _found(shared, texts_of(piece, text_col), size, coverage)
                 items = [sorted({r[0] for r in f}) for f in found]
                 verbatim = [sorted({r[0] for r in f if r[3]}) for f in found]
                 yield pa.RecordBatch.from_arrays([piece.column(id_col), pa.array([bool(i) for i in items], pa.bool_()), pa.array(items, pa.list_(pa.int64())), pa.array(verbatim, pa.list_(pa.int64()))], [id_col, "contaminated", "item_ids", "verbatim_ids"])
@@ -162,5 +171,17 @@ def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, contaminated boolean, item_ids array<bigint>, verbatim_ids array<bigint>")
 
 
+def keep_clean(df: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``df``, with all their columns, in which no item is found."""
+    shared = _shared_parts(bench, item_col, item_text, size)
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, text_col, 2 << 20):
+                yield piece.filter(pa.array([not f for f in _found(shared, texts_of(piece, text_col), size, coverage)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op3_decontaminate(spark, sf_dir) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

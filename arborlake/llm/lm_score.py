@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import discard, held_out, materialise, mix64, plan_bytes, slices, table, texts_of
-from .substring_dedup import BUCKET_BYTES, LEAST_BUCKETS, _bucket, _cuts, _free
+from ._common import held_out, materialise, mix64, plan_bytes, slices, table, texts_of
+from .substring_dedup import BUCKET_BYTES, LEAST_BUCKETS, _bucket, _cuts
 
 ORDER = 2
 MU = 4.0
@@ -71,7 +71,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, remainder: int) -> DataFr
         k = TaskContext.get().partitionId() << 24
         schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 3 << 20):
                 raw = [t.encode("utf-8", "surrogatepass") for t in texts_of(part, text_col)]
                 yield pa.RecordBatch.from_pylist([{"block": k, "ids": part.column(id_col).to_pylist(), "held": part.column("held").to_pylist(), "sizes": list(map(len, raw)), "data": b"".join(raw)}], schema)
                 k += 1
@@ -94,7 +94,6 @@ def _folded(g: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, held_remainder: int = 1, mu: float = MU) -> DataFrame:
     """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows whose crc32 of the id, modulo 5, is
     held_remainder are not learned from."""
-    spark = df.sparkSession
     buckets = max(LEAST_BUCKETS, plan_bytes(df.select(id_col, text_col)) // BUCKET_BYTES)
     blocks = materialise(_blocks(df, id_col, text_col, held_remainder), "lm-blocks")
 
@@ -135,7 +134,6 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     sent = blocks.mapInArrow(send, "level bigint, bucket bigint, block bigint, gram binary, n binary")
     counts = materialise(sent.groupBy("level", "bucket").applyInArrow(count, "level bigint, bucket bigint, block bigint, n binary, total bigint, kinds bigint"), "lm-counts")
-    _free(spark)
     total, kinds = counts.where("level = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     trained = df.where(~held_out(id_col, held_remainder)).count()
     floor = total + 0.5 * (kinds + 1)

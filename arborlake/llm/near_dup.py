@@ -173,5 +173,11 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))
 
 
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose id is the smallest of its class; rows with a null id stay."""
+    gone = near_duplicate_classes(df, id_col, text_col, **options).where(~F.col("kept")).select(id_col)
+    return df.join(materialise(gone, "near-duplicates"), id_col, "left_anti").select(df.columns)
+
+
 def op1_near_duplicates(spark, sf_dir) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))

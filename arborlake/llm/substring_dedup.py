@@ -21,31 +21,34 @@ than ``size`` bytes stay as they are. Results hold only the columns listed, so o
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _words
 from ._common import discard, materialise, mix64, plan_bytes, ragged_gather, slices, table, texts_of
 
 SIZE = 50
 TRIGGER = 16
+#: Text bytes of a block, and of a run that is parsed at once.
+BLOCK_BYTES = 3 << 20
+RUN_BYTES = 1 << 19
 #: Input bytes for each bucket, and the fewest buckets.
 BUCKET_BYTES = 6 << 20
 LEAST_BUCKETS = 64
 
 
 def parse(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, size: int = SIZE, k: int = TRIGGER):
-    """Phrases of the texts that start at ``first``: start, number of strings of ``size`` bytes, trigger, digest, text; and the sums."""
+    """Phrases of the texts that start at ``first``: start, number of strings of ``size`` bytes, trigger, digest, text."""
     n = len(data)
-    total = _words.sums(data)
     none = np.zeros(0, np.int64)
     if n < size:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none, total
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none
+    total = _words.sums(data)
     back = _words.inverse_powers(n)
     g = mix64((total[k:] - total[:-k]) * back[: n - k + 1])
     width, least = 1, g
@@ -67,7 +70,20 @@ def parse(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, size: int = SI
     count = np.flatnonzero(stop) - start + 1
     digest = mix64((total[start + count + size - 1] - total[start]) * back[start] + count.astype(np.uint64))
     text = np.searchsorted(first, start, "right") - 1
-    return start, count, least[start], digest, text, total
+    return start, count, least[start], digest, text
+
+
+def parse_in_runs(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, size: int):
+    """:func:`parse` of runs of whole texts of about RUN_BYTES, to bound the memory for arrays by place."""
+    out = []
+    lo = 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(first + sizes, first[lo] + RUN_BYTES, "right")))
+        at = int(first[lo])
+        start, count, trigger, digest, text = parse(data[at : int(first[hi - 1] + sizes[hi - 1])], first[lo:hi] - at, sizes[lo:hi], size)
+        out.append((start + at, count, trigger, digest, text + lo))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else parse(data, first, sizes, size)
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
@@ -93,17 +109,25 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of about BLOCK_BYTES of text; rest: the other columns of its documents."""
+    others = [c for c in df.columns if c not in (id_col, text_col)]
+
     def run(batches):
         from pyspark import TaskContext
 
         k = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, BLOCK_BYTES):
                 raw = [t.encode("utf-8", "surrogatepass") for t in texts_of(part, text_col)]
-                yield pa.RecordBatch.from_pylist([{"block": k, "ids": part.column(id_col).to_pylist(), "sizes": list(map(len, raw)), "data": b"".join(raw)}], pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())]))
+                whole = pa.array([0, len(raw)], pa.int32())
+                rest = pa.ListArray.from_arrays(whole, part.column("rest"))
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.ListArray.from_arrays(whole, part.column(id_col)), pa.array([list(map(len, raw))], pa.list_(pa.int64())), pa.array([b"".join(raw)], pa.binary()), rest], ["block", "ids", "sizes", "data", "rest"])
                 k += 1
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "block bigint, ids array<bigint>, sizes array<bigint>, data binary")
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_"))
+    source = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col), rest.alias("rest"))
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()), T.StructField("rest", T.ArrayType(source.schema["rest"].dataType))])
+    return source.mapInArrow(run, schema)
 
 
 class _Block:
@@ -113,7 +137,7 @@ class _Block:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(data, np.uint8)
         self.ids = np.array([0 if i is None else i for i in ids], np.int64)
-        self.start, self.count, trigger, digest, text, self.total = parse(self.data, self.first, self.sizes, size)
+        self.start, self.count, trigger, digest, text = parse_in_runs(self.data, self.first, self.sizes, size)
         known = np.array([i is not None for i in ids], bool)[text] if len(text) else np.zeros(0, bool)
         self.start, self.count, trigger, digest, text = (x[known] for x in (self.start, self.count, trigger, digest, text))
         self.doc = self.ids[text] if len(text) else np.zeros(0, np.int64)
@@ -133,22 +157,47 @@ def _cuts(h: np.ndarray, buckets: int):
     return [(k, int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def _free(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """One row per row: id, n_bytes, n_removed, n_spans, spans (array of start, end in bytes), kept_sha256."""
+    blocks, answers = _answers(df.select(id_col, text_col), id_col, text_col, size)
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_sha256", pa.string())])
+        out = [{id_col: i, "n_bytes": n, "n_removed": removed, "n_spans": len(edges) // 2, "spans": edges, "kept_sha256": hashlib.sha256(kept).hexdigest()} for i, n, removed, edges, kept in _cut(left, right, size)]
+        return pa.Table.from_pylist(out, schema)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<bigint>, kept_sha256 string")
+
+
+def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", size: int = SIZE) -> DataFrame:
+    """The rows of ``df`` with repeated passages cut out of their texts; characters cut in two at an edge are dropped whole.
+    ``length_col``, where there is such a column, gets the new length in characters. A null text stays null."""
+    blocks, answers = _answers(df, id_col, text_col, size)
+    others = [c for c in df.columns if c not in (id_col, text_col)]
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = [kept.decode("utf-8", "ignore") for *_, kept in _cut(left, right, size)]
+        ids = pa.concat_arrays([c.flatten() for c in left.column("ids").chunks])
+        rest = pa.concat_arrays([c.flatten() for c in left.column("rest").chunks])
+        columns = {id_col: ids, text_col: pa.array(texts, pa.string())} | {c: rest.field(k) for k, c in enumerate(others)}
+        if length_col in others:
+            columns[length_col] = pa.array(list(map(len, texts)), columns[length_col].type)
+        return pa.table([columns[c] for c in df_columns], names=df_columns)
+
+    df_columns = df.columns
+    schema = T.StructType([T.StructField(f.name, T.LongType()) if f.name == id_col else f for f in df.schema])
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
 
 
-def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, digest: bool = True, texts: bool = False) -> DataFrame:
-    """One row per row: id, n_bytes, n_removed, n_spans, spans (array of start, end in bytes), kept_sha256 (null without ``digest``) and
-    kept_text (null without ``texts``; characters cut in two at an edge are dropped)."""
-    spark = df.sparkSession
+def _answers(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the texts, and for each the strings that are repeated."""
     buckets = max(LEAST_BUCKETS, plan_bytes(df.select(id_col, text_col)) // BUCKET_BYTES)
     blocks = materialise(_blocks(df, id_col, text_col), "blocks")
+    bodies = blocks.drop("rest")
 
     def phrases(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in batch.select(["block", "ids", "sizes", "data"]).to_pylist():
                 b = _Block(r["ids"], r["sizes"], r["data"], size)
                 rows = [{"bucket": k, "block": r["block"], "trigger": b.trigger[x:y].tobytes(), "digest": b.digest[x:y].tobytes(), "doc": b.least[x:y].tobytes()} for k, x, y in _cuts(b.trigger, buckets)]
                 if rows:
@@ -180,15 +229,14 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out.append({"block": block, "bucket": r["bucket"][0], "state": state[a:b].tobytes(), "by_trigger": gv[a:b][some].tobytes(), "by_phrase": gp[a:b][some].tobytes()})
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("state", pa.binary()), ("by_trigger", pa.binary()), ("by_phrase", pa.binary())]))
 
-    sent = blocks.mapInArrow(phrases, "bucket bigint, block bigint, trigger binary, digest binary, doc binary")
+    sent = bodies.mapInArrow(phrases, "bucket bigint, block bigint, trigger binary, digest binary, doc binary")
     met = materialise(sent.groupBy("bucket").applyInArrow(meet, "block bigint, bucket bigint, state binary, by_trigger binary, by_phrase binary"), "phrases")
-    _free(spark)
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
         if not left.num_rows:
             return schema.empty_table()
-        r = left.to_pylist()[0]
+        r = left.select(["block", "ids", "sizes", "data"]).to_pylist()[0]
         b = _Block(r["ids"], r["sizes"], r["data"], size)
         answer = sorted(right.to_pylist(), key=lambda x: x["bucket"])
         state = np.frombuffer(b"".join(x["state"] for x in answer), np.uint8)
@@ -214,10 +262,10 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             new = np.ones(len(order), bool)
             new[1:] = group[order][1:] != group[order][:-1]
             at = order[new]
-            back = _words.inverse_powers(len(b.data))
-            x = source[at]
-            one = mix64((b.total[x + size] - b.total[x]) * back[x])
-            two = (mix64((b.total[x + size // 2] - b.total[x]) * back[x]) >> np.uint64(32)).astype(np.uint32)
+            total, back = _words.sums(joined), _words.inverse_powers(len(joined))
+            x = places[at]
+            one = mix64((total[x + size] - total[x]) * back[x])
+            two = (mix64((total[x + size // 2] - total[x]) * back[x]) >> np.uint64(32)).astype(np.uint32)
             by_digest = np.argsort(one, kind="stable")
             place_of = np.empty(len(at), np.int64)
             place_of[by_digest] = np.arange(len(at))
@@ -232,8 +280,7 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows.append({"block": r["block"], "bucket": -1, "a": np.stack((b.start[whole], b.count[whole])).astype(np.int64).tobytes(), "b": ask_place.astype(np.int64).tobytes(), "c": ask_doc.tobytes(), "d": ask_entry.tobytes()})
         return pa.Table.from_pylist(rows, schema)
 
-    settled = materialise(blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(settle, "block bigint, bucket bigint, a binary, b binary, c binary, d binary"), "settled")
-    _free(spark)
+    settled = materialise(bodies.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(settle, "block bigint, bucket bigint, a binary, b binary, c binary, d binary"), "settled")
     discard(met)
 
     def merge(t: pa.Table) -> pa.Table:
@@ -252,35 +299,32 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     merged = settled.where("bucket >= 0").groupBy("bucket").applyInArrow(merge, "block bigint, bucket bigint, least binary")
     answers = merged.withColumns({"a": F.lit(None).cast("binary"), "b": F.lit(None).cast("binary"), "c": F.lit(None).cast("binary"), "d": F.lit(None).cast("binary")})
     answers = materialise(answers.unionByName(settled.where("bucket < 0").withColumn("least", F.lit(None).cast("binary"))), "answers")
-    _free(spark)
     discard(settled)
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
-        out = []
-        for r in left.to_pylist():
-            answer = sorted(right.to_pylist(), key=lambda x: x["bucket"])
-            own = answer[0]
-            least = np.frombuffer(b"".join(x["least"] for x in answer[1:]), np.int64)
-            whole = np.frombuffer(own["a"], np.int64).reshape(2, -1)
-            place, doc, entry = (np.frombuffer(own[k], np.int64) for k in "bcd")
-            hit = place[least[entry] < doc] if len(place) else place
-            data = r["data"]
-            mark = np.zeros(len(data) + 1, np.int32)
-            np.add.at(mark, np.concatenate((whole[0], hit)), 1)
-            np.add.at(mark, np.concatenate((whole[0] + whole[1], hit + 1)) + size - 1, -1)
-            gone = (np.cumsum(mark[:-1]) > 0).astype(np.int8)
-            at = 0
-            for i, n in zip(r["ids"], r["sizes"], strict=True):
-                mine = gone[at : at + n]
-                raw = data[at : at + n]
-                at += n
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], mine, [0]))))
-                kept = b"".join(raw[x:y] for x, y in zip([0, *edges[1::2].tolist()], [*edges[::2].tolist(), n], strict=True)) if len(edges) else raw
-                out.append({id_col: i, "n_bytes": n, "n_removed": int(mine.sum()), "n_spans": len(edges) // 2, "spans": edges.tolist(), "kept_sha256": hashlib.sha256(kept).hexdigest() if digest else None, "kept_text": kept.decode("utf-8", "ignore") if texts else None})
-        return pa.Table.from_pylist(out, schema)
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<bigint>, kept_sha256 string, kept_text string")
+    return blocks, answers
+
+
+def _cut(left: pa.Table, right: pa.Table, size: int):
+    """id, bytes, bytes removed, edges of the spans, and what is kept, of each document of a block."""
+    answer = sorted(right.to_pylist(), key=lambda x: x["bucket"])
+    for r in left.select(["ids", "sizes", "data"]).to_pylist():
+        own = answer[0]
+        least = np.frombuffer(b"".join(x["least"] for x in answer[1:]), np.int64)
+        whole = np.frombuffer(own["a"], np.int64).reshape(2, -1)
+        place, doc, entry = (np.frombuffer(own[k], np.int64) for k in "bcd")
+        hit = place[least[entry] < doc] if len(place) else place
+        data = r["data"]
+        mark = np.zeros(len(data) + 1, np.int32)
+        np.add.at(mark, np.concatenate((whole[0], hit)), 1)
+        np.add.at(mark, np.concatenate((whole[0] + whole[1], hit + 1)) + size - 1, -1)
+        gone = (np.cumsum(mark[:-1]) > 0).astype(np.int8)
+        at = 0
+        for i, n in zip(r["ids"], r["sizes"], strict=True):
+            mine, raw = gone[at : at + n], data[at : at + n]
+            at += n
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], mine, [0])))).tolist()
+            kept = b"".join(raw[x:y] for x, y in zip([0, *edges[1::2]], [*edges[::2], n], strict=True)) if edges else raw
+            yield i, n, int(mine.sum()), edges, kept
 
 
 def op8_substring_dedup(spark, sf_dir) -> DataFrame:

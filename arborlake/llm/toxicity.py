@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, materialise, slices, table, texts_of
+from ._common import discard, held_out, materialise, slices, table, texts_of
 from ._words import shingles, words
 
 SAMPLE = 20_000
@@ -200,9 +200,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray
     return w
 
 
-def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.5) -> DataFrame:
-    """One row per row: id, held_out, score, predicted, clause_weight (of the heaviest clause)."""
+class Model:
+    """Learned stems and logistic weights, of a few hundred bytes."""
+
+    def __init__(self, stems: list[str], weights: np.ndarray):
+        self.stems, self.weights = stems, weights
+        self._scorer: Scorer | None = None
+
+    def __getstate__(self):
+        return {"stems": self.stems, "weights": self.weights, "_scorer": None}
+
+    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Score, and weight of the heaviest clause, of each text."""
+        self._scorer = self._scorer or Scorer(self.stems)
+        x = self._scorer.batch(column)
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30))), x[:, 0]
 
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Model:
     def family(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -222,20 +237,37 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("y"), *map(pa.array, x.T)], ["y", "a", "b", "c", "d"])
 
     got = np.array(sample.select("text", "y").mapInArrow(features, "y int, a double, b double, c double, d double").collect(), float).reshape(-1, 5)
-    w = fit_logistic(got[:, 1:], got[:, 0]) if len(got) and 0 < got[:, 0].mean() < 1 else np.array([-3.0, 3.0, 1.0, 1.0, 1.0])
+    weights = fit_logistic(got[:, 1:], got[:, 0]) if len(got) and 0 < got[:, 0].mean() < 1 else np.array([-3.0, 3.0, 1.0, 1.0, 1.0])
+    discard(sample)
+    return Model(stems, weights)
+
+
+def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.5) -> DataFrame:
+    """One row per row: id, held_out, score, predicted, clause_weight (of the heaviest clause)."""
+    model = fit(df, labels, id_col, text_col, label)
 
     def run(batches):
-        scorer = Scorer(stems)
         for batch in batches:
             for part in slices(batch, text_col):
-                x = scorer.batch(part.column(text_col))
-                z = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("held_out"), pa.array(z), pa.array((z >= threshold).astype(np.int32)), pa.array(x[:, 0])], [id_col, "held_out", "score", "predicted", "clause_weight"])
+                z, heaviest = model.batch(part.column(text_col))
+                yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("held_out"), pa.array(z), pa.array((z >= threshold).astype(np.int32)), pa.array(heaviest)], [id_col, "held_out", "score", "predicted", "clause_weight"])
 
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(id_col, text_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
     return source.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, clause_weight double")
 
 
+def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``df``, with all their columns, that score below the threshold."""
+    model = fit(df, labels, id_col, text_col, label)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(model.batch(part.column(text_col))[0] < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op4_toxicity(spark, sf_dir) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
