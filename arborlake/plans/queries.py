@@ -194,7 +194,7 @@ def xml_xsi_type_resolve(spark, d):
     return n.select(F.col("doc_id").alias("id"), xml.resolve_xsi_type(F.col("xsi_type"), F.lit("a"), F.lit("b"), known).alias("resolved"))
 
 
-@query("select p_partkey as partkey, len(list_filter(string_split(p_type, ' '), x -> x <> '')) as n, case when try_cast(p_size as int) is not null then 0 end as member from part")
+@query("select p_partkey as partkey, len(list_filter(string_split(p_type, ' '), lambda x: x <> '')) as n, case when try_cast(p_size as int) is not null then 0 end as member from part")
 def xml_list_and_union(spark, d):
     p = _read(spark, d, "part").select("p_partkey", F.concat(F.lit("  "), F.regexp_replace("p_type", " ", "   ")).alias("p_type"), F.col("p_size").cast("string").alias("p_size"))
     got = _round_trip(p, "part", "p_partkey bigint, p_type string, p_size string")
@@ -225,7 +225,7 @@ def leaf_partial_dates(spark, d):
     return got.select(F.col("o_orderkey").alias("orderkey"), F.col("a.year").alias("y"), F.col("b.month").alias("m"), leaf.encode_year_month(F.col("a")).alias("year_month"), leaf.encode_month_day(F.col("b")).alias("month_day"))
 
 
-@query("select l_orderkey as doc_id, md5('<order key=\"' || l_orderkey || '\">' || string_agg('<line n=\"' || l_linenumber || '\"><part>' || l_partkey || '</part></line>', '' order by l_linenumber) || '</order>') as digest from lineitem group by l_orderkey")
+@query("select l_orderkey as doc_id, md5('<order key=\"' || l_orderkey || '\">' || string_agg('<line n=\"' || l_linenumber || '\"><part>' || l_partkey || '</part></line>', '' order by l_linenumber, l_partkey) || '</order>') as digest from lineitem group by l_orderkey")
 def xml_node_table_writer(spark, d):
     line = F.struct(F.col("l_linenumber").alias("_n"), F.col("l_partkey").alias("part"))
     g = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("line"))
@@ -245,7 +245,8 @@ def xml_malformed_pages(spark, d):
 
 def interchanges(spark, d) -> DataFrame:
     """One interchange for each customer with orders: a transaction set for each order, a loop for each line."""
-    o, li = _read(spark, d, "orders"), _read(spark, d, "lineitem")
+    li = _read(spark, d, "lineitem")
+    o = _read(spark, d, "orders").join(li.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
     body = li.select(F.col("l_orderkey").alias("k"), F.struct(F.lit(2).alias("a"), F.col("l_linenumber").alias("b"), F.lit(0).alias("c"), x12_out.segment("IT1", F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.lit(None), x12_out.composite([F.lit("PN"), F.col("l_partkey").cast("string")]), F.lit(None)).alias("t")).alias("s"))
     dates = li.select(F.col("l_orderkey").alias("k"), F.struct(F.lit(2).alias("a"), F.col("l_linenumber").alias("b"), F.lit(1).alias("c"), x12_out.segment("DTM", F.lit("011"), F.date_format("l_shipdate", "yyyyMMdd")).alias("t")).alias("s"))
     head = o.select(F.col("o_orderkey").alias("k"), F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), x12_out.segment("BEG", F.lit("00"), F.col("o_orderstatus"), leaf.encode_x12_integer(F.col("o_orderkey"), 9), F.lit(None), leaf.encode_x12_date(F.col("o_orderdate"), 6)).alias("t")).alias("s"))
@@ -297,14 +298,14 @@ def x12_composite_split(spark, d):
     return s.groupBy(F.get("c", F.lit(1)).cast("bigint").alias("partkey"), F.get("c", F.lit(0)).alias("qualifier")).agg(F.count("*").alias("n"))
 
 
-@query(f"select d, count(*) as n from (select l_shipdate::date as d {_JOINED} union all select o_orderdate::date from orders where o_orderkey in (select l_orderkey from lineitem)) group by 1")
+@query(f"select d, count(*) as n from (select l_shipdate::date as d {_JOINED} union all select strptime('20' || strftime(o_orderdate, '%y%m%d'), '%Y%m%d')::date from orders where o_orderkey in (select l_orderkey from lineitem)) group by 1")
 def x12_dates_multiformat(spark, d):
     s = _segments(spark, d)
     got = s.where("tag = 'DTM'").select(leaf.decode_x12_date(x12.element(2)).alias("d")).unionByName(s.where("tag = 'BEG'").select(leaf.decode_x12_date(x12.element(5)).alias("d")))
     return got.groupBy("d").agg(F.count("*").alias("n"))
 
 
-@query("select o_orderkey as orderkey, lpad(o_orderkey::varchar, greatest(9, length(o_orderkey::varchar)), '0') as padded from orders where o_orderkey in (select l_orderkey from lineitem)")
+@query("select o_orderkey as orderkey, lpad(o_orderkey::varchar, greatest(9, length(o_orderkey::varchar))::int, '0') as padded from orders where o_orderkey in (select l_orderkey from lineitem)")
 def x12_zero_padded_int(spark, d):
     s = _segments(spark, d).where("tag = 'BEG'")
     return s.select(leaf.decode_x12_integer(x12.element(3)).alias("orderkey"), x12.element(3).alias("padded"))
@@ -458,7 +459,7 @@ def slug_names(spark, d):
     return _read(spark, d, "part").select(F.col("p_partkey").alias("partkey"), names.numbered(names.slug(F.col("p_name")), F.col("p_size")).alias("name"))
 
 
-@query("select page_id, array_to_string(list_filter(list_concat(list_reverse(string_split(split_part(split_part(regexp_extract(url, '://([^?#]*)', 1), '/', 1), ':', 1), '.')), string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/')), x -> x <> ''), '.') as ns from pages where url like '%://%'")
+@query("select page_id, array_to_string(list_filter(list_concat(list_reverse(string_split(split_part(split_part(regexp_extract(url, '://([^?#]*)', 1), '/', 1), ':', 1), '.')), string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/')), lambda x: x <> ''), '.') as ns from pages where url like '%://%'")
 def uri_namespace(spark, d):
     return _read(spark, d, "pages").where(F.col("url").contains("://")).select("page_id", names.uri_namespace(F.col("url")).alias("ns"))
 

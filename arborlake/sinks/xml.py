@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"}
@@ -25,18 +25,21 @@ def escape(c: Column, quote: bool = False) -> Column:
 
 
 def from_nodes(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, text) of a node table. Every element opens at its own place and closes after its last descendant, inner ones first.
-    A namespace is declared where it differs from the parent's; attributes with one are written with a prefix."""
-    elems = nodes.where("kind = 'elem'")
-    parent = elems.select(id_col, F.col("node_id").alias("parent_id"), F.col("ns").alias("_outer"))
-    one = F.concat(F.lit(" "), F.when(F.col("ns").isNotNull(), F.concat(F.lit("a:"))).otherwise(""), F.col("tag"), F.lit('="'), escape(F.col("value"), True), F.lit('"'), F.when(F.col("ns").isNotNull(), F.concat(F.lit(' xmlns:a="'), escape(F.col("ns"), True), F.lit('"'))).otherwise(""))
-    attrs = nodes.where("kind = 'attr'").groupBy(id_col, F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("k"), one.alias("t")))), lambda x: x["t"]), "").alias("_attrs"))
-    full = elems.join(parent, [id_col, "parent_id"], "left").join(attrs, [id_col, "node_id"], "left")
-    declared = F.when(F.col("ns").eqNullSafe(F.col("_outer")), "").otherwise(F.concat(F.lit(' xmlns="'), escape(F.coalesce("ns", F.lit("")), True), F.lit('"')))
-    declared = F.when(F.col("ns").isNull() & F.col("_outer").isNull(), "").otherwise(declared)
-    opening = full.select(id_col, F.col("node_id").alias("_at"), F.lit(0).alias("_last"), F.lit(0).alias("_inner"), F.concat(F.lit("<"), "tag", declared, F.coalesce("_attrs", F.lit("")), F.lit(">")).alias("_t"))
-    closing = elems.select(id_col, F.col("last_desc").alias("_at"), F.lit(1).alias("_last"), (-F.col("node_id")).alias("_inner"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("_t"))
-    text = nodes.where("kind = 'text'").select(id_col, F.col("node_id").alias("_at"), F.lit(0).alias("_last"), F.lit(0).alias("_inner"), escape(F.col("value")).alias("_t"))
-    events = opening.unionByName(closing).unionByName(text)
-    g = events.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", "_last", "_inner", "_t"))).alias("_e"))
+    """(id, text) of a node table, with one shuffle by document. Attributes follow their element, so a start tag ends where the next node
+    isn't an attribute; an element closes after its last descendant, inner ones first. In documents with namespaces every element
+    declares its own; attributes with one are written with a prefix."""
+    w = Window.partitionBy(id_col).orderBy("node_id")
+    ended = F.when(F.lead("kind").over(w) == "attr", "").otherwise(">")
+    some = F.max(F.when(F.col("kind") == "elem", F.col("ns"))).over(Window.partitionBy(id_col)).isNotNull()
+    declared = F.when(some, F.concat(F.lit(' xmlns="'), escape(F.coalesce("ns", F.lit("")), True), F.lit('"'))).otherwise("")
+    prefix = F.when(F.col("ns").isNotNull(), F.concat(F.lit(' xmlns:a="'), escape(F.col("ns"), True), F.lit('" a:'))).otherwise(" ")
+    text = F.when(F.col("kind") == "elem", F.concat(F.lit("<"), "tag", declared, ended))
+    text = text.when(F.col("kind") == "attr", F.concat(prefix, "tag", F.lit('="'), escape(F.col("value"), True), F.lit('"'), ended)).otherwise(escape(F.col("value")))
+    zero = F.lit(0)
+    event = lambda at, last, inner, t: F.struct(at.alias("_at"), last.alias("_last"), inner.alias("_inner"), t.alias("_t"))
+    opening = event(F.col("node_id"), zero, zero, F.col("_text"))
+    closing = event(F.col("last_desc"), F.lit(1), -F.col("node_id"), F.concat(F.lit("</"), "tag", F.lit(">")))
+    rows = nodes.where("error is null").withColumn("_text", text)
+    events = rows.select(id_col, F.explode(F.when(F.col("kind") == "elem", F.array(opening, closing)).otherwise(F.array(opening))).alias("_e"))
+    g = events.groupBy(id_col).agg(F.array_sort(F.collect_list("_e")).alias("_e"))
     return g.select(id_col, F.array_join(F.transform("_e", lambda e: e["_t"]), "").alias("text"))

@@ -41,7 +41,7 @@ class Shredder:
 
     def _flush(self) -> None:
         text = "".join(self.text)
-        self.text = []
+        self.text.clear()
         if text.strip() and self.open:
             self._add("text", None, None, text)
 
