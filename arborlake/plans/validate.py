@@ -23,6 +23,18 @@ def facet_checks(c: Column, facets: dict, where: str) -> list[Column]:
     return out
 
 
+def _broken(facets: dict, where: str):
+    """Does an item break any of the facets?"""
+
+    def bad(x: Column) -> Column:
+        out = F.lit(False)
+        for check in facet_checks(x, facets, where):
+            out = out | check.isNotNull()
+        return out
+
+    return bad
+
+
 def _checks(graph: SchemaGraph, node: dict, c: Column, where: str, depth: int) -> list[Column]:
     if depth == 0:
         return []
@@ -54,8 +66,7 @@ def _fields(graph: SchemaGraph, fields: list[dict], c: Column, where: str, depth
                 out.append(F.when(n > f["max"], F.lit(f"{here}: too many")))
             inner = graph.resolve(f["node"])
             if inner["kind"] == "leaf" and inner.get("facets"):
-                bad = F.exists(value, lambda x, i=inner, h=here: F.coalesce(*[k.isNotNull() for k in facet_checks(x, i["facets"], h)][:1], F.lit(False)))
-                out.append(F.when(bad, F.lit(f"{here}: item")))
+                out.append(F.when(F.exists(value, _broken(inner["facets"], here)), F.lit(f"{here}: item")))
         else:
             if f.get("min", 1) and f.get("group") is None:
                 out.append(F.when(c.isNotNull() & value.isNull(), F.lit(f"{here}: required")))
