@@ -27,4 +27,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == (got.n, got.s):
             break
         state = (got.n, got.s)
-    return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+    leaves = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+    return leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -4,7 +4,8 @@ Each shingle of five words is a weighted element: its arrivals at the registers
 the text. A register keeps the first arrival; a text's process ends as soon as its next arrivals come after all registers' first ones.
 Two texts agree in a register with the probability Jaccard similarity of their shingles. Registers are banded; a band's bucket links
 its texts with its smallest id, and each such pair is verified on the exact weights of its shingles. Texts that a leader turns
-away are dealt a new leader among themselves until none is left, so no bucket needs all of its pairs.
+away are dealt a new leader among themselves, LEADERS times; the few that are left are compared in blocks by their signatures, and
+the pairs whose estimate isn't far below the threshold are verified too. So no bucket is expanded into all of its pairs, and none is cut off.
 
 Texts are compared whole. Equal texts are one class. Null and empty texts, and those without words, only join with equal ones
 (null counts as empty). Rows with a null id stay alone and keep it; repeated ids are one document. Results hold only
@@ -25,7 +26,10 @@ from ._words import shingles, words
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 40, 8
+LEADERS = 2
+#: Texts compared at once in what is left of a bucket.
+BLOCK = 1024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,6 +142,50 @@ def _verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFr
     return left.join(right, "leader").select("doc", "leader", "h", "w", "h2", "w2").mapInArrow(run, f"doc {kind}, leader {kind}, ok boolean")
 
 
+def _by_signature(left: DataFrame, elements: DataFrame, threshold: float, m: int) -> DataFrame:
+    """Distinct (doc, leader) of texts in what is left of the buckets whose signatures agree well enough to verify them. Buckets are cut
+    into blocks of about BLOCK texts, and every two blocks meet in a task of their own."""
+    kind = left.schema["doc"].dataType.simpleString()
+
+    def sign(batches):
+        for batch in batches:
+            sig = []
+            for h, w in zip(batch.column("h").to_pylist(), batch.column("w").to_pylist(), strict=True):
+                h = np.frombuffer(h, np.uint64)
+                w = np.frombuffer(w, np.float32).astype(float) if w else np.ones(len(h))
+                sig.append(prob_min_hash(np.zeros(len(h), np.int64), h, w, 1, m)[0].astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sig, pa.binary())], ["doc", "sig"])
+
+    signed = materialise(elements.join(left.select("doc").distinct(), "doc", "left_semi").mapInArrow(sign, f"doc {kind}, sig binary"), "left-signatures")
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    rows = left.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
+    first = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = first.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc")
+
+    def compare(t: pa.Table) -> pa.Table:
+        """Few texts are taken as leaders, the one that reaches most others first, until each is one or has one; the pairs to verify
+        are those of a text and the leaders that it may reach."""
+        doc, first = np.unique(np.asarray(t.column("doc")), return_index=True)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, m)[first]
+        near = np.stack([(sig == x).mean(axis=1, dtype=np.float32) for x in sig])
+        np.fill_diagonal(near, 1)
+        reach = near >= threshold
+        free = np.ones(len(doc), bool)
+        leaders = []
+        while free.any():
+            best = int(np.argmax(np.where(free, reach[:, free].sum(axis=1), -1)))
+            leaders.append(best)
+            free &= ~reach[best]
+        slack = 3 * np.sqrt(threshold * (1 - threshold) / m)  # three deviations of the estimate
+        a, b = np.nonzero(near[:, leaders] >= threshold - slack)
+        b = np.asarray(leaders)[b]
+        other = a != b
+        one, two = np.maximum(doc[a], doc[b])[other], np.minimum(doc[a], doc[b])[other]
+        return pa.table({"doc": pa.array(one, t.schema.field("doc").type), "leader": pa.array(two, t.schema.field("doc").type)})
+
+    return met.join(signed, "doc").groupBy("key", "one", "two").applyInArrow(compare, f"doc {kind}, leader {kind}").distinct()
+
+
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row: id, class_id (the smallest id of its class), kept (is it that document?)."""
     sig = materialise(signatures(df, id_col, text_col, bands, rows), "signatures")
@@ -150,22 +198,23 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     bucket = materialise(rows_.join(held, "key").select("key", "doc", "leader"), "buckets")
     ids = bucket.select("doc").distinct()
     elements = materialise(_elements(df.join(ids.select(F.col("doc").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col), "elements")
-    links, seen, spent = None, None, []
-    while True:
+    seen = None
+    for _ in range(LEADERS):
         pairs = bucket.where("doc <> leader").select("doc", "leader").distinct()
         if seen is not None:
             pairs = pairs.join(seen.select("doc", "leader"), ["doc", "leader"], "left_anti")
         got = materialise(_verified(pairs, elements, threshold), "pairs")
         seen = got if seen is None else seen.unionByName(got)
-        spent.append(got)
-        links = seen.where("ok").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
         turned = bucket.join(seen.where("not ok").select("doc", "leader"), ["doc", "leader"]).select("key", "doc")
         held = turned.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("other")).where("leader < other").select("key", "leader")
         following = materialise(turned.join(held, "key").select("key", "doc", "leader"), "buckets")
         discard(bucket)
         bucket = following
-        if bucket.isEmpty():
-            break
+    if not bucket.isEmpty():
+        pairs = _by_signature(bucket.select("key", "doc"), elements, threshold, bands * rows)
+        pairs = pairs.join(seen.select("doc", "leader"), ["doc", "leader"], "left_anti")
+        seen = seen.unionByName(materialise(_verified(pairs, elements, threshold), "pairs"))
+    links = seen.where("ok").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
     discard(elements)
     found = components(links)
     out = member.join(found, member.rep == found.node, "left").select(F.col("doc").alias(id_col), F.coalesce("component", "rep").alias("class_id"))
