@@ -57,9 +57,13 @@ def discard(df: DataFrame | None) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's own estimate of the size of ``df``; for file scans the bytes on disk."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """Size of ``df``: for plain file scans Catalyst's estimate, the bytes on disk; else the bytes of its texts, summed in one pass."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size < 1 << 50 and "Join" not in plan.toString():
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

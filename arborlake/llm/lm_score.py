@@ -94,7 +94,7 @@ def _folded(g: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, held_remainder: int = 1, mu: float = MU) -> DataFrame:
     """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows whose crc32 of the id, modulo 5, is
     held_remainder are not learned from."""
-    buckets = max(LEAST_BUCKETS, plan_bytes(df.select(id_col, text_col)) // BUCKET_BYTES)
+    buckets = max(LEAST_BUCKETS, plan_bytes(df.select(id_col, text_col), text_col) // BUCKET_BYTES)
     blocks = materialise(_blocks(df, id_col, text_col, held_remainder), "lm-blocks")
 
     def places(r: dict):

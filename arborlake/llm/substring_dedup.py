@@ -7,9 +7,10 @@ make a phrase; the phrases of a text, overlapping by size - 1 bytes, are its par
 1. Blocks of texts are parsed; each block sends its distinct phrases with their smallest id to buckets by trigger.
 2. A bucket sorts them by trigger and phrase, and answers with the smallest id of each trigger and each phrase. A trigger seen in
    one document clears its phrase; a phrase with a smaller id elsewhere is removed whole.
-3. What is left are phrases that share a trigger but differ. Their block sorts the suffixes of its dictionary to the depth of
-   ``size`` bytes, and sends each distinct string of that suffix array once, with its smallest id, to be merged over all blocks.
-4. Each block joins the answers with its parse, marks the bytes covered, and cuts them.
+3. What is left are phrases that share a trigger but differ. They are parsed once more with longer triggers, which clears most.
+4. Of the rest each block sorts the suffixes of its dictionary to the depth of ``size`` bytes, and sends each distinct string of that
+   suffix array once, with its smallest id, to be merged over all blocks.
+5. Each block joins the answers with its parse, marks the bytes covered, and cuts them.
 
 Blocks are folded before each shuffle, so a passage in every document costs one entry a block and never gathers in a task.
 Between the steps only the blocks and digests of strings travel (64 bits and a further 32). The tables of each step are in the
@@ -33,7 +34,7 @@ from . import _words
 from ._common import discard, materialise, mix64, plan_bytes, ragged_gather, slices, table, texts_of
 
 SIZE = 50
-TRIGGER = 16
+TRIGGERS = (16, 34)
 #: Text bytes of a block, and of a run that is parsed at once.
 BLOCK_BYTES = 3 << 20
 RUN_BYTES = 1 << 19
@@ -42,7 +43,7 @@ BUCKET_BYTES = 6 << 20
 LEAST_BUCKETS = 64
 
 
-def parse(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, size: int = SIZE, k: int = TRIGGER):
+def parse(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, size: int = SIZE, k: int = TRIGGERS[0]):
     """Phrases of the texts that start at ``first``: start, number of strings of ``size`` bytes, trigger, digest, text."""
     n = len(data)
     none = np.zeros(0, np.int64)
@@ -70,20 +71,20 @@ def parse(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, size: int = SI
     count = np.flatnonzero(stop) - start + 1
     digest = mix64((total[start + count + size - 1] - total[start]) * back[start] + count.astype(np.uint64))
     text = np.searchsorted(first, start, "right") - 1
-    return start, count, least[start], digest, text
+    return start, count, mix64(least[start]), digest, text  # least hashes crowd at zero; mixed, they fill the buckets evenly
 
 
-def parse_in_runs(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, size: int):
+def parse_in_runs(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, size: int, k: int):
     """:func:`parse` of runs of whole texts of about RUN_BYTES, to bound the memory for arrays by place."""
     out = []
     lo = 0
     while lo < len(first):
         hi = max(lo + 1, int(np.searchsorted(first + sizes, first[lo] + RUN_BYTES, "right")))
         at = int(first[lo])
-        start, count, trigger, digest, text = parse(data[at : int(first[hi - 1] + sizes[hi - 1])], first[lo:hi] - at, sizes[lo:hi], size)
+        start, count, trigger, digest, text = parse(data[at : int(first[hi - 1] + sizes[hi - 1])], first[lo:hi] - at, sizes[lo:hi], size, k)
         out.append((start + at, count, trigger, digest, text + lo))
         lo = hi
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else parse(data, first, sizes, size)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else parse(data, first, sizes, size, k)
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
@@ -131,15 +132,16 @@ def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class _Block:
-    def __init__(self, ids: list, sizes: list, data: bytes, size: int):
+    def __init__(self, ids: list, sizes: list, data: bytes, size: int, k: int = TRIGGERS[0]):
         self.listed = ids
         self.sizes = np.array(sizes, np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(data, np.uint8)
         self.ids = np.array([0 if i is None else i for i in ids], np.int64)
-        self.start, self.count, trigger, digest, text = parse_in_runs(self.data, self.first, self.sizes, size)
+        self.start, self.count, trigger, digest, text = parse_in_runs(self.data, self.first, self.sizes, size, k)
         known = np.array([i is not None for i in ids], bool)[text] if len(text) else np.zeros(0, bool)
         self.start, self.count, trigger, digest, text = (x[known] for x in (self.start, self.count, trigger, digest, text))
+        self.text = text
         self.doc = self.ids[text] if len(text) else np.zeros(0, np.int64)
         order = np.lexsort((self.doc, digest, trigger))
         t, d = trigger[order], digest[order]
@@ -150,6 +152,19 @@ class _Block:
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
 
+    def judge(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each phrase: does a smaller id have it whole; is it the first of its kind in a trigger of several documents (open); is
+        it open, with a smaller id in its trigger?"""
+        rows = sorted(answers.to_pylist(), key=lambda x: x["bucket"])
+        state = np.frombuffer(b"".join(x["state"] for x in rows), np.uint8)
+        by_trigger, by_phrase = self.least.copy(), self.least.copy()
+        by_trigger[state > 0] = np.frombuffer(b"".join(x["by_trigger"] for x in rows), np.int64)
+        by_phrase[state > 0] = np.frombuffer(b"".join(x["by_phrase"] for x in rows), np.int64)
+        e = self.entry
+        whole = by_phrase[e] < self.doc
+        open_ = (state[e] == 3) & (by_phrase[e] == self.doc)
+        return whole, open_, open_ & (by_trigger[e] < self.doc)
+
 
 def _cuts(h: np.ndarray, buckets: int):
     b = _bucket(h, buckets)
@@ -191,17 +206,21 @@ def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _answers(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
     """Blocks of the texts, and for each the strings that are repeated."""
-    buckets = max(LEAST_BUCKETS, plan_bytes(df.select(id_col, text_col)) // BUCKET_BYTES)
+    buckets = max(LEAST_BUCKETS, plan_bytes(df.select(id_col, text_col), text_col) // BUCKET_BYTES)
     blocks = materialise(_blocks(df, id_col, text_col), "blocks")
     bodies = blocks.drop("rest")
 
+    entries = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("trigger", pa.binary()), ("digest", pa.binary()), ("doc", pa.binary())])
+
+    def sent(b: _Block, block: int) -> list[dict]:
+        return [{"bucket": k, "block": block, "trigger": b.trigger[x:y].tobytes(), "digest": b.digest[x:y].tobytes(), "doc": b.least[x:y].tobytes()} for k, x, y in _cuts(b.trigger, buckets)]
+
     def phrases(batches):
         for batch in batches:
             for r in batch.select(["block", "ids", "sizes", "data"]).to_pylist():
-                b = _Block(r["ids"], r["sizes"], r["data"], size)
-                rows = [{"bucket": k, "block": r["block"], "trigger": b.trigger[x:y].tobytes(), "digest": b.digest[x:y].tobytes(), "doc": b.least[x:y].tobytes()} for k, x, y in _cuts(b.trigger, buckets)]
+                rows = sent(_Block(r["ids"], r["sizes"], r["data"], size), r["block"])
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("trigger", pa.binary()), ("digest", pa.binary()), ("doc", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist(rows, entries)
 
     def meet(t: pa.Table) -> pa.Table:
         r = t.to_pydict()
@@ -229,34 +248,61 @@ def _answers(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
             out.append({"block": block, "bucket": r["bucket"][0], "state": state[a:b].tobytes(), "by_trigger": gv[a:b][some].tobytes(), "by_phrase": gp[a:b][some].tobytes()})
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("state", pa.binary()), ("by_trigger", pa.binary()), ("by_phrase", pa.binary())]))
 
-    sent = bodies.mapInArrow(phrases, "bucket bigint, block bigint, trigger binary, digest binary, doc binary")
-    met = materialise(sent.groupBy("bucket").applyInArrow(meet, "block bigint, bucket bigint, state binary, by_trigger binary, by_phrase binary"), "phrases")
+    def met(source: DataFrame, name: str) -> DataFrame:
+        return materialise(source.groupBy("bucket").applyInArrow(meet, "block bigint, bucket bigint, state binary, by_trigger binary, by_phrase binary"), name)
 
-    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+    shape = "bucket bigint, block bigint, trigger binary, digest binary, doc binary"
+    first = met(bodies.mapInArrow(phrases, shape), "phrases")
+    opened = pa.schema([("block", pa.int64()), ("whole", pa.binary()), ("place", pa.binary()), ("count", pa.binary()), ("doc", pa.binary()), ("asks", pa.binary()), ("data", pa.binary())])
+
+    def open_phrases(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return schema.empty_table()
+            return opened.empty_table()
         r = left.select(["block", "ids", "sizes", "data"]).to_pylist()[0]
         b = _Block(r["ids"], r["sizes"], r["data"], size)
-        answer = sorted(right.to_pylist(), key=lambda x: x["bucket"])
-        state = np.frombuffer(b"".join(x["state"] for x in answer), np.uint8)
-        by_v, by_p = b.least.copy(), b.least.copy()
-        by_v[state > 0] = np.frombuffer(b"".join(x["by_trigger"] for x in answer), np.int64)
-        by_p[state > 0] = np.frombuffer(b"".join(x["by_phrase"] for x in answer), np.int64)
-        e = b.entry
-        whole = by_p[e] < b.doc
-        open_ = (state[e] == 3) & (by_p[e] == b.doc)  # the first of its phrase, in a trigger of several documents
-        asks = open_ & (by_v[e] < b.doc)
+        whole, open_, asks = b.judge(right)
+        place, count = b.start[open_], b.count[open_]
+        data = b.data[ragged_gather(place, count + size - 1)] if len(place) else b.data[:0]
+        row = {"block": r["block"], "whole": np.stack((b.start[whole], b.count[whole])).astype(np.int64).tobytes(), "place": place.tobytes(), "count": count.tobytes(), "doc": b.doc[open_].tobytes(), "asks": asks[open_].tobytes(), "data": data.tobytes()}
+        return pa.Table.from_pylist([row], opened)
+
+    left = materialise(bodies.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(open_phrases, "block bigint, whole binary, place binary, count binary, doc binary, asks binary, data binary"), "open")
+    discard(first)
+
+    def again(r: dict) -> tuple[_Block, np.ndarray, np.ndarray]:
+        """The open phrases as texts of their own, parsed with longer triggers; their places, and which ask."""
+        place, count, doc = (np.frombuffer(r[k], np.int64) for k in ("place", "count", "doc"))
+        b = _Block(doc.tolist(), (count + size - 1).tolist(), r["data"], size, TRIGGERS[1])
+        return b, place, np.frombuffer(r["asks"], bool)
+
+    def shorter(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = sent(again(r)[0], r["block"])
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, entries)
+
+    second = met(left.mapInArrow(shorter, shape), "shorter-phrases")
+
+    def settle(mine: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+        if not mine.num_rows:
+            return schema.empty_table()
+        r = mine.to_pylist()[0]
+        b, place, asking = again(r)
+        whole, open_, asks = b.judge(right)
+        asked = asking[b.text] if len(b.text) else np.zeros(0, bool)
+        origin = place[b.text] + b.start - b.first[b.text] if len(b.text) else b.start
+        whole, asks = whole & asked, asks & asked
         rows = []
         # the dictionary of open phrases and its suffixes
         starts, counts = b.start[open_], b.count[open_]
         length = counts + size - 1
         joined = b.data[ragged_gather(starts, length)] if len(starts) else np.zeros(0, np.uint8)
-        begin = np.cumsum(length) - length
-        places = ragged_gather(begin, counts)
+        places = ragged_gather(np.cumsum(length) - length, counts)
+        ask_place = ask_doc = ask_entry = np.zeros(0, np.int64)
         if len(places):
             group = suffix_ranks(joined, size)[places]
-            source = ragged_gather(starts, counts)
             doc = np.repeat(b.doc[open_], counts)
             order = np.lexsort((doc, group))
             new = np.ones(len(order), bool)
@@ -273,15 +319,16 @@ def _answers(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
             entry[order] = place_of[np.cumsum(new) - 1]
             one, two, least = one[by_digest], two[by_digest], doc[at][by_digest]
             rows += [{"block": r["block"], "bucket": k, "a": one[i:j].tobytes(), "b": two[i:j].tobytes(), "c": least[i:j].tobytes(), "d": b""} for k, i, j in _cuts(one, buckets)]
-            asked = np.repeat(asks[open_], counts)
-            ask_place, ask_doc, ask_entry = source[asked], doc[asked], entry[asked]
-        else:
-            ask_place = ask_doc = ask_entry = np.zeros(0, np.int64)
-        rows.append({"block": r["block"], "bucket": -1, "a": np.stack((b.start[whole], b.count[whole])).astype(np.int64).tobytes(), "b": ask_place.astype(np.int64).tobytes(), "c": ask_doc.tobytes(), "d": ask_entry.tobytes()})
+            ask = np.repeat(asks[open_], counts)
+            ask_place, ask_doc, ask_entry = ragged_gather(origin[open_], counts)[ask], doc[ask], entry[ask]
+        known = np.frombuffer(r["whole"], np.int64).reshape(2, -1)
+        known = np.concatenate((known, np.stack((origin[whole], b.count[whole])).astype(np.int64)), axis=1)
+        rows.append({"block": r["block"], "bucket": -1, "a": known.tobytes(), "b": ask_place.astype(np.int64).tobytes(), "c": ask_doc.tobytes(), "d": ask_entry.tobytes()})
         return pa.Table.from_pylist(rows, schema)
 
-    settled = materialise(bodies.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(settle, "block bigint, bucket bigint, a binary, b binary, c binary, d binary"), "settled")
-    discard(met)
+    settled = materialise(left.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(settle, "block bigint, bucket bigint, a binary, b binary, c binary, d binary"), "settled")
+    discard(second)
+    discard(left)
 
     def merge(t: pa.Table) -> pa.Table:
         r = t.to_pydict()
