@@ -105,7 +105,7 @@ def write(df: DataFrame, where: str, path: str | None = None, end_id: int = 2, i
     documents, ids, and first: ids of the part before the file. Files of lost attempts are not in the list."""
     path = path or bpe.default_path()
     spark = df.sparkSession
-    parts = max(1, min(spark.sparkContext.defaultParallelism * 64, plan_bytes(df) // TASK_BYTES))
+    parts = max(1, min(spark.sparkContext.defaultParallelism * 64, plan_bytes(df, text_col) // TASK_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -141,7 +141,7 @@ def write(df: DataFrame, where: str, path: str | None = None, end_id: int = 2, i
             yield flush()
 
     ordered = df.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(int(parts), F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
-    return ordered.mapInArrow(run, "part bigint, name string, documents bigint, ids bigint, first bigint")
+    return materialise(ordered.mapInArrow(run, "part bigint, name string, documents bigint, ids bigint, first bigint"), "token-files")
 
 
 def read(files: DataFrame, where: str, id_col: str = "doc_id") -> DataFrame:
@@ -171,5 +171,4 @@ def read(files: DataFrame, where: str, id_col: str = "doc_id") -> DataFrame:
 def op10_token_files(spark, sf_dir) -> DataFrame:
     where = f"{scratch_dir(spark)}/arborlake/tokens-{uuid.uuid4().hex}"
     where = where if "://" in where or where.startswith("file:") else f"file://{where}"
-    files = materialise(write(table(spark, sf_dir, "documents"), where), "token-files")
-    return read(files, where)
+    return read(write(table(spark, sf_dir, "documents"), where), where)
