@@ -91,6 +91,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 11) -> tuple[float, list
     rules: set[tuple] = set()
     for _ in range(TREES):
         _grow(x, y, rng.choice(len(y), len(y)), DEPTH, (), rng, rules)
+    if not rules:  # too few rows to split
+        return float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), []
     listed = sorted(rules)
     z = np.stack([_holds(x, r) for r in listed], axis=1).astype(float)
     _, keep = np.unique(z, axis=1, return_index=True)

@@ -35,7 +35,7 @@ def test_grammar():
     s = toxicity.Scorer(["idiot", "vequ"])
     plain, negated, reported, aimed, none = (s.text(t)[0] for t in ("a big idiot here", "not an idiot", "he said idiot", "you idiot", "good day"))
     assert none == 0 < negated < plain < aimed and reported < aimed
-    assert s.text("une vequaire")[0] > 0 and s.text("i will kill you")[2] == 0 and s.text("you kill")[2] > 0
+    assert s.text("une vequaire")[0] > 0 and s.text("you kill")[2] > s.text("i will kill")[2] > s.text("i will not kill")[2] > 0
     t = toxicity.grammar()
     assert t.weigh([toxicity.INSULT])[0] == 1.0
 
