@@ -283,7 +283,7 @@ def x12_control_totals(spark, d):
     return x12.control_totals(_segments(spark, d), "doc_id").select(F.col("doc_id").alias("custkey"), "st", "counted", "stated", "agrees")
 
 
-@query(f"select o_orderkey as orderkey, count(*) as n_lines, sum(l_quantity::int) as quantity, max(l_linenumber)::bigint as last_loop {_JOINED} group by 1")
+@query(f"select o_orderkey as orderkey, count(*) as n_lines, sum(l_quantity::int)::bigint as quantity, max(l_linenumber)::bigint as last_loop {_JOINED} group by 1")
 def x12_loop_collect(spark, d):
     s = x12.envelopes(_segments(spark, d), "doc_id").where("st > 0")
     s = x12.loops(s, "IT1", "it1", ["doc_id", "st"])
@@ -385,7 +385,7 @@ def guide_lookup_left_join(spark, d):
 # ordered rows, checks and registries
 
 
-@query("select user_id, max(run) as runs, count(*) as n from (select user_id, sum(c) over (partition by user_id order by ts, event_id) as run from (select *, case when event_type is not distinct from lag(event_type) over w and row_number() over w > 1 then 0 else 1 end as c from events window w as (partition by user_id order by ts, event_id))) group by 1")
+@query("select user_id, max(run)::bigint as runs, count(*) as n from (select user_id, sum(c) over (partition by user_id order by ts, event_id) as run from (select *, case when event_type is not distinct from lag(event_type) over w and row_number() over w > 1 then 0 else 1 end as c from events window w as (partition by user_id order by ts, event_id))) group by 1")
 def gap_island_event_runs(spark, d):
     e = sequences.runs(_read(spark, d, "events"), F.col("event_type"), ["user_id"], ["ts", "event_id"])
     return e.groupBy("user_id").agg(F.max("run").alias("runs"), F.count("*").alias("n"))
