@@ -153,3 +153,12 @@ def test_leaf_types_can_be_added():
     leaf.register("my:upper", T.StringType(), F.upper, F.lower)
     assert leaf.leaf("my:upper").name == "my:upper"
     assert leaf.leaf("unknown").data_type == T.StringType()
+
+
+def test_table_functions(spark):
+    from arborlake.functions import tables
+
+    tables.register(spark)
+    docs(spark, "<r><a/>x</r>", None).createOrReplaceTempView("some_docs")
+    assert [r.kind for r in spark.sql("select doc_id, n.* from some_docs, lateral xml_nodes(text) n order by node_id").collect()] == ["elem", "elem", "text"]
+    assert [r.tag for r in spark.sql("select * from x12_segments('ST*1*1~N1*a~SE*3*1~') order by pos").collect()] == ["ST", "N1", "SE"]
