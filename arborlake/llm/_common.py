@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -93,6 +94,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give memory that a worker has freed back to the system; workers live on between groups."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def held_out(doc_id="doc_id", remainder: int = 0):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == remainder
 

@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words
-from ._common import discard, materialise, mix64, plan_bytes, ragged_gather, slices, table, texts_of
+from ._common import discard, materialise, mix64, plan_bytes, ragged_gather, release, slices, table, texts_of
 
 SIZE = 50
 TRIGGERS = (16, 34)
 #: Text bytes of a block, and of a run that is parsed at once.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 RUN_BYTES = 1 << 19
 #: Input bytes for each bucket, and the fewest buckets.
 BUCKET_BYTES = 6 << 20
@@ -264,7 +264,10 @@ def _answers(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
         place, count = b.start[open_], b.count[open_]
         data = b.data[ragged_gather(place, count + size - 1)] if len(place) else b.data[:0]
         row = {"block": r["block"], "whole": np.stack((b.start[whole], b.count[whole])).astype(np.int64).tobytes(), "place": place.tobytes(), "count": count.tobytes(), "doc": b.doc[open_].tobytes(), "asks": asks[open_].tobytes(), "data": data.tobytes()}
-        return pa.Table.from_pylist([row], opened)
+        out = pa.Table.from_pylist([row], opened)
+        del b, data
+        release()
+        return out
 
     left = materialise(bodies.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(open_phrases, "block bigint, whole binary, place binary, count binary, doc binary, asks binary, data binary"), "open")
     discard(first)
@@ -324,7 +327,10 @@ def _answers(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
         known = np.frombuffer(r["whole"], np.int64).reshape(2, -1)
         known = np.concatenate((known, np.stack((origin[whole], b.count[whole])).astype(np.int64)), axis=1)
         rows.append({"block": r["block"], "bucket": -1, "a": known.tobytes(), "b": ask_place.astype(np.int64).tobytes(), "c": ask_doc.tobytes(), "d": ask_entry.tobytes()})
-        return pa.Table.from_pylist(rows, schema)
+        out = pa.Table.from_pylist(rows, schema)
+        del b, joined, places
+        release()
+        return out
 
     settled = materialise(left.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(settle, "block bigint, bucket bigint, a binary, b binary, c binary, d binary"), "settled")
     discard(second)
@@ -354,6 +360,7 @@ def _answers(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
 def _cut(left: pa.Table, right: pa.Table, size: int):
     """id, bytes, bytes removed, edges of the spans, and what is kept, of each document of a block."""
     answer = sorted(right.to_pylist(), key=lambda x: x["bucket"])
+    release()
     for r in left.select(["ids", "sizes", "data"]).to_pylist():
         own = answer[0]
         least = np.frombuffer(b"".join(x["least"] for x in answer[1:]), np.int64)
