@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._common import held_out, materialise, mix64, plan_bytes, slices, table, texts_of
-from .substring_dedup import BUCKET_BYTES, LEAST_BUCKETS, _bucket, _cuts
+from .substring_dedup import BUCKET_BYTES, LEAST_BUCKETS, _cuts
 
 ORDER = 2
 MU = 4.0

@@ -164,7 +164,7 @@ def _by_signature(left: DataFrame, elements: DataFrame, threshold: float, m: int
 
     def compare(t: pa.Table) -> pa.Table:
         """Few texts are taken as leaders, the one that reaches most others first, until each is one or has one; the pairs to verify
-        are those of a text and the leaders that it may reach."""
+        are those of a text and the two leaders that it is nearest to."""
         doc, first = np.unique(np.asarray(t.column("doc")), return_index=True)
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, m)[first]
         near = np.stack([(sig == x).mean(axis=1, dtype=np.float32) for x in sig])
@@ -177,8 +177,11 @@ def _by_signature(left: DataFrame, elements: DataFrame, threshold: float, m: int
             leaders.append(best)
             free &= ~reach[best]
         slack = 3 * np.sqrt(threshold * (1 - threshold) / m)  # three deviations of the estimate
-        a, b = np.nonzero(near[:, leaders] >= threshold - slack)
-        b = np.asarray(leaders)[b]
+        to = near[:, leaders]
+        to[leaders, np.arange(len(leaders))] = -1
+        best = np.argsort(-to, axis=1, kind="stable")[:, :2]
+        a, b = np.nonzero(np.take_along_axis(to, best, axis=1) >= threshold - slack)
+        b = np.asarray(leaders)[best[a, b]]
         other = a != b
         one, two = np.maximum(doc[a], doc[b])[other], np.minimum(doc[a], doc[b])[other]
         return pa.table({"doc": pa.array(one, t.schema.field("doc").type), "leader": pa.array(two, t.schema.field("doc").type)})
