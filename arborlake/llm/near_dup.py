@@ -4,8 +4,9 @@ Each shingle of five words is a weighted element: its arrivals at the registers
 the text. A register keeps the first arrival; a text's process ends as soon as its next arrivals come after all registers' first ones.
 Two texts agree in a register with the probability Jaccard similarity of their shingles. Registers are banded; a band's bucket links
 its texts with its smallest id, and each such pair is verified on the exact weights of its shingles. Texts that a leader turns
-away are dealt a new leader among themselves, LEADERS times; the few that are left are compared in blocks by their signatures, and
-the pairs whose estimate isn't far below the threshold are verified too. So no bucket is expanded into all of its pairs, and none is cut off.
+away are dealt a new leader among themselves, LEADERS times. The texts of a bucket that aren't all linked by then are compared in
+blocks, each with every text that it isn't linked with, on their exact weights. Classes are those of all pairs of all buckets,
+but pairs never leave the tasks, only forests that span them do.
 
 Texts are compared whole. Equal texts are one class. Null and empty texts, and those without words, only join with equal ones
 (null counts as empty). Rows with a null id stay alone and keep it; repeated ids are one document. Results hold only
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialise, mix64, slices, table, texts_of
+from ._common import discard, materialise, mix64, ragged_gather, release, slices, table, texts_of
 from ._graph import components
 from ._words import shingles, words
 
@@ -28,8 +29,9 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 8
 LEADERS = 2
-#: Texts compared at once in what is left of a bucket.
+#: Texts, and their elements, on each side of a comparison of two blocks of a bucket.
 BLOCK = 1024
+BLOCK_ELEMENTS = 1 << 21
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,10 +118,10 @@ def _elements(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 cut = np.searchsorted(t, np.arange(part.num_rows + 1))
                 hs = [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 ws = [b"" if (w[a:b] == 1).all() else w[a:b].astype(np.float32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], ["doc", "h", "w"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(hs, pa.binary()), pa.array(ws, pa.binary()), pa.array(np.diff(cut))], ["doc", "h", "w", "n"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"doc {kind}, h binary, w binary")
+    return df.select(id_col, text_col).mapInArrow(run, f"doc {kind}, h binary, w binary, n bigint")
 
 
 def _verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
@@ -142,51 +144,80 @@ def _verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFr
     return left.join(right, "leader").select("doc", "leader", "h", "w", "h2", "w2").mapInArrow(run, f"doc {kind}, leader {kind}, ok boolean")
 
 
-def _by_signature(left: DataFrame, elements: DataFrame, threshold: float, m: int) -> DataFrame:
-    """Distinct (doc, leader) of texts in what is left of the buckets whose signatures agree well enough to verify them. Buckets are cut
-    into blocks of about BLOCK texts, and every two blocks meet in a task of their own."""
-    kind = left.schema["doc"].dataType.simpleString()
-
-    def sign(batches):
-        for batch in batches:
-            sig = []
-            for h, w in zip(batch.column("h").to_pylist(), batch.column("w").to_pylist(), strict=True):
-                h = np.frombuffer(h, np.uint64)
-                w = np.frombuffer(w, np.float32).astype(float) if w else np.ones(len(h))
-                sig.append(prob_min_hash(np.zeros(len(h), np.int64), h, w, 1, m)[0].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sig, pa.binary())], ["doc", "sig"])
-
-    signed = materialise(elements.join(left.select("doc").distinct(), "doc", "left_semi").mapInArrow(sign, f"doc {kind}, sig binary"), "left-signatures")
-    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    rows = left.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
-    first = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = first.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc")
+def _bridges(doc: np.ndarray, part: np.ndarray, side: np.ndarray, h: list[np.ndarray], w: list[np.ndarray | None], threshold: float) -> list[tuple[int, int]]:
+    """Pairs of places that join the parts as far as similar texts of both sides do: a spanning forest over the parts. All pairs of
+    different parts are compared exactly, one text against many; only those that an earlier pair has joined are passed over."""
+    n = len(doc)
+    size = np.array([len(x) for x in h])
+    start = np.concatenate(([0], np.cumsum(size)))[:-1]
+    every, element = np.unique(np.concatenate(h), return_inverse=True)
+    # weights as shares of their text: the overlap of shares is the Jaccard of plain sets of one size, and never below the probability Jaccard
+    share = np.concatenate([np.full(len(x), 1 / len(x)) if y is None else y / y.sum(dtype=np.float64) for x, y in zip(h, w, strict=True)])
+    plain = np.array([y is None for y in w])
+    full = [np.ones(len(x)) if y is None else y for x, y in zip(h, w, strict=True)]
+    mark = np.zeros(len(every))
+    part = part.copy()
+    found = []
+    alone = len(set(side.tolist())) == 1
+    for i in range(n):
+        to = np.flatnonzero(part != part[i])
+        to = to[(to > i) & (alone | (side[to] != side[i]))]
+        if not len(to):
+            continue
+        mine = slice(start[i], start[i] + size[i])
+        mark[element[mine]] = share[mine]
+        at = ragged_gather(start[to], size[to])
+        cut = np.concatenate(([0], np.cumsum(size[to])))[:-1]
+        bound = np.add.reduceat(np.minimum(mark[element[at]], share[at]), cut)
+        mark[element[mine]] = 0
+        near = bound >= threshold - 1e-9
+        to, bound = to[near], bound[near]
+        # between plain sets the overlap of shares tells how many elements are shared
+        shared = np.rint(bound * np.maximum(size[to], size[i]))
+        exact = np.where(plain[to] & plain[i], shared / (size[to] + size[i] - shared), np.nan)
+        keep = np.flatnonzero(np.isnan(exact) | (exact >= threshold - 1e-9))
+        for k in keep[np.argsort(-bound[keep], kind="stable")].tolist():
+            j, s = int(to[k]), exact[k]
+            if part[i] == part[j]:
+                continue
+            if np.isnan(s) or abs(s - threshold) < 1e-9:
+                s = probability_jaccard(h[i], full[i], h[j], full[j])
+            if s >= threshold:
+                found.append((i, j))
+                part[part == part[j]] = part[i]
+    return found
+
+
+def _between_parts(bucket: DataFrame, part: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """(doc, leader) that join the parts of a bucket: its texts, those that followed a leader included, all meet the texts of its other
+    parts. Buckets are cut into blocks of about BLOCK texts, and every two blocks meet in a task of their own, which returns a forest."""
+    kind = bucket.schema["doc"].dataType.simpleString()
+    rows = bucket.join(part.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("part"))
+    rows = rows.join(elements.select("doc", "n"), "doc")
+    sizes = rows.groupBy("key").agg(
+        F.count("*").alias("members"), F.sum("n").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"),
+        F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("one"), F.sum(F.xxhash64(F.lit(1), "doc").cast("decimal(38,0)")).alias("two"),
+    )
+    # the pair of a bucket of two has been verified; buckets of the same texts are compared once
+    sizes = sizes.where("least <> most and members > 2").groupBy("members", "one", "two").agg(F.min("key").alias("key"), F.max("n").alias("n"))
+    sizes = sizes.select("key", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("n") / BLOCK_ELEMENTS)).cast("int").alias("n"))
+    rows = rows.drop("n").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc", "part", "block")
 
     def compare(t: pa.Table) -> pa.Table:
-        """Few texts are taken as leaders, the one that reaches most others first, until each is one or has one; the pairs to verify
-        are those of a text and the two leaders that it is nearest to."""
         doc, first = np.unique(np.asarray(t.column("doc")), return_index=True)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, m)[first]
-        near = np.stack([(sig == x).mean(axis=1, dtype=np.float32) for x in sig])
-        np.fill_diagonal(near, 1)
-        reach = near >= threshold
-        free = np.ones(len(doc), bool)
-        leaders = []
-        while free.any():
-            best = int(np.argmax(np.where(free, reach[:, free].sum(axis=1), -1)))
-            leaders.append(best)
-            free &= ~reach[best]
-        slack = 3 * np.sqrt(threshold * (1 - threshold) / m)  # three deviations of the estimate
-        to = near[:, leaders]
-        to[leaders, np.arange(len(leaders))] = -1
-        best = np.argsort(-to, axis=1, kind="stable")[:, :2]
-        a, b = np.nonzero(np.take_along_axis(to, best, axis=1) >= threshold - slack)
-        b = np.asarray(leaders)[best[a, b]]
-        other = a != b
-        one, two = np.maximum(doc[a], doc[b])[other], np.minimum(doc[a], doc[b])[other]
-        return pa.table({"doc": pa.array(one, t.schema.field("doc").type), "leader": pa.array(two, t.schema.field("doc").type)})
-
-    return met.join(signed, "doc").groupBy("key", "one", "two").applyInArrow(compare, f"doc {kind}, leader {kind}").distinct()
+        t = t.take(first)
+        kept = t.schema.field("doc").type
+        h = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
+        w = [np.frombuffer(x, np.float32) if x else None for x in t.column("w").to_pylist()]
+        pairs = np.array(_bridges(doc, np.asarray(t.column("part")), np.asarray(t.column("block")), h, w, threshold), np.int64).reshape(-1, 2)
+        one, two = doc[pairs[:, 0]], doc[pairs[:, 1]]
+        del t, h, w
+        release()
+        return pa.table({"doc": pa.array(np.maximum(one, two), kept), "leader": pa.array(np.minimum(one, two), kept)})
+
+    return met.join(elements.select("doc", "h", "w"), "doc").groupBy("key", "one", "two").applyInArrow(compare, f"doc {kind}, leader {kind}").distinct()
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -201,25 +232,27 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     bucket = materialise(rows_.join(held, "key").select("key", "doc", "leader"), "buckets")
     ids = bucket.select("doc").distinct()
     elements = materialise(_elements(df.join(ids.select(F.col("doc").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col), "elements")
-    seen = None
+    seen, led = None, bucket
     for _ in range(LEADERS):
-        pairs = bucket.where("doc <> leader").select("doc", "leader").distinct()
+        pairs = led.where("doc <> leader").select("doc", "leader").distinct()
         if seen is not None:
             pairs = pairs.join(seen.select("doc", "leader"), ["doc", "leader"], "left_anti")
         got = materialise(_verified(pairs, elements, threshold), "pairs")
         seen = got if seen is None else seen.unionByName(got)
-        turned = bucket.join(seen.where("not ok").select("doc", "leader"), ["doc", "leader"]).select("key", "doc")
+        turned = led.join(seen.where("not ok").select("doc", "leader"), ["doc", "leader"]).select("key", "doc")
         held = turned.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("other")).where("leader < other").select("key", "leader")
         following = materialise(turned.join(held, "key").select("key", "doc", "leader"), "buckets")
-        discard(bucket)
-        bucket = following
-    if not bucket.isEmpty():
-        pairs = _by_signature(bucket.select("key", "doc"), elements, threshold, bands * rows)
-        pairs = pairs.join(seen.select("doc", "leader"), ["doc", "leader"], "left_anti")
-        seen = seen.unionByName(materialise(_verified(pairs, elements, threshold), "pairs"))
+        if led is not bucket:
+            discard(led)
+        led = following
+    discard(led)
     links = seen.where("ok").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
-    discard(elements)
     found = components(links)
+    bridges = materialise(_between_parts(bucket, found, elements, threshold), "pairs")
+    discard(bucket)
+    if not bridges.isEmpty():
+        found = components(links.unionByName(bridges.select(F.col("doc").alias("a"), F.col("leader").alias("b"))))
+    discard(elements)
     out = member.join(found, member.rep == found.node, "left").select(F.col("doc").alias(id_col), F.coalesce("component", "rep").alias("class_id"))
     out = df.select(id_col).join(out, id_col, "left").select(id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))

@@ -153,3 +153,39 @@ def test_odd_rows(spark, odd, empty):
         assert f(empty).count() == 0
     assert decontaminate.contamination(empty, bench.limit(0)).count() == 0
     assert embedding_dedup.links(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def near_copies(original: int, copies: int):
+    """An original in the middle of the ids, and copies with 4 to 10.5 % changed shingles."""
+    r = random.Random(17)
+    base = [f"b{k}" for k in range(404)]
+    rows = [(original, " ".join(base))]
+    for c in range(copies + 1):
+        if c != original:
+            w = list(base)
+            for k in r.sample(range(80), r.randint(4, 8)):
+                w[k * 5 + 2] = f"c{c}x{k}"
+            rows.append((c, " ".join(w)))
+    return rows
+
+
+def brute_classes(rows):
+    t, h, w = near_dup.weighted([x for _, x in rows])
+    cut = np.searchsorted(t, np.arange(len(rows) + 1))
+    part = [(h[a:b], w[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    label = {i: i for i, _ in rows}
+    for x in range(len(rows)):
+        for y in range(x):
+            a, b = label[rows[x][0]], label[rows[y][0]]
+            if a != b and near_dup.probability_jaccard(*part[x], *part[y]) >= near_dup.THRESHOLD:
+                label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+    return label
+
+
+def test_accepted_texts_still_meet_the_others(spark, monkeypatch):
+    """The original follows a smaller copy; copies that reach 0.8 only with the original must find it all the same."""
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    rows = near_copies(150, 300)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and set(want.values()) == {0}
