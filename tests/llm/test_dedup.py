@@ -189,3 +189,29 @@ def test_accepted_texts_still_meet_the_others(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     want = brute_classes(rows)
     assert got == want and set(want.values()) == {0}
+
+
+def nested_groups(seed: int, groups: int = 6, each: int = 22):
+    """A text that is near to the centres of groups, which are near to their members, and everything else apart."""
+    r = random.Random(seed)
+
+    def change(words, n, tag):
+        words = list(words)
+        for k in r.sample(range(80), n):
+            words[k * 5 + 2] = f"{tag}x{k}"
+        return words
+
+    texts = [[f"b{k}" for k in range(404)]]
+    for g in range(groups):
+        centre = change(texts[0], 8, f"g{g}")
+        texts.append(centre)
+        texts += [change(centre, r.randint(5, 7), f"g{g}c{c}") for c in range(each)]
+    r.shuffle(texts)
+    return [(k, " ".join(w)) for k, w in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_a_text_bridges_more_than_two_groups(spark, seed):
+    rows = nested_groups(seed)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_classes(rows)
