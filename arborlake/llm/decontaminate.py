@@ -1,21 +1,25 @@
 """Benchmark decontamination by templates.
 
-Words are made canonical: those with a digit become a number slot, measuring units a unit slot, and capitalised words inside a sentence
-a name slot. Windows of WINDOW canonical words of each benchmark item are hashed, and the windows of every document are looked up among
-them. Hits of one item that lie on one line (the same distance between both places) are an alignment. It counts when it has
-COVERAGE of the item's windows, and when its slots are consistent: one value of the item always stands for one value of the
-document, and the other way round. So exact copies and questions with other numbers, names or units are found.
+Words are made canonical: those with a digit become a number slot, measuring units a unit slot, and capitalised words a name slot. A run of
+capitalised words is one slot, and so is a number with separators. Each text is read three times: words that open sentences are plain,
+or may be names, or no word is a name (texts in capitals or small letters). Windows of WINDOW canonical words of each benchmark item
+are hashed, and the windows of every document are looked up among them. Hits of one item that lie on one line (the same distance
+between both places) are an alignment, and so is a chain of such lines. It counts when it has COVERAGE of the item's windows, and
+when each slot value of the item always stands for one value of the document. So exact copies and questions with other numbers, names
+or units are found. Besides, a run of RUN words of an item counts as it stands, whatever share of the item it is, and so
+does the whole of a shorter item that has no windows.
 
 The windows of the benchmark go to the workers in parts of at most PART_WINDOWS (each part is one more pass over the documents).
 
-Nulls are empty texts; items with fewer than WINDOW words match nothing; windows with fewer than LITERALS plain words are not used.
+Nulls are empty texts; items without words match nothing; windows with fewer than LITERALS plain words are not used.
 Rows with a null id are judged like others and repeated ids each on their own. Empty tables: no document is contaminated. Results
 hold only the columns listed, so others can't clash.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,65 +27,120 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import discard, materialise, mix64, slices, table, texts_of
+from ._common import discard, materialise, mix64, ragged_gather, slices, table, texts_of
 
 WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
+#: Words of an item that count wherever they stand in a row.
+RUN = 24
 PART_WINDOWS = 1 << 20
 UNITS = "km m cm mm miles mile feet foot inches inch yards yard kg g mg pounds pound ounces ounce tons litres liters litre liter ml gallons gallon hours hour minutes minute seconds second days day weeks week months month years year dollars dollar cents cent euros euro percent degrees degree mph kmh".split()
 NUMBER, NAME, UNIT = np.uint64(0xA5A5A5A5A5A5A501), np.uint64(0xA5A5A5A5A5A5A502), np.uint64(0xA5A5A5A5A5A5A503)
 
 
-def canonical(texts: list[str]) -> tuple[_words.Words, np.ndarray, np.ndarray]:
-    """The words, their canonical digests, and which are slots."""
-    w = _words.words(texts)
+#: Bytes between words of one name, and between parts of one number.
+NAME_GAP, NUMBER_GAP = np.zeros(256, bool), np.zeros(256, bool)
+NAME_GAP[[ord(c) for c in " \t\r\n-'"]] = True
+NUMBER_GAP[[ord(c) for c in ".,:/'"]] = True
+STOP = np.zeros(256, bool)
+STOP[[ord(c) for c in ".!?"]] = True
+READINGS = 3  # words that open sentences are plain, or may be names, or no word is a name
+VERBATIM = READINGS  # rows of whole items and runs, as they stand
+
+
+@dataclass
+class Tokens:
+    text: np.ndarray
+    hash: np.ndarray  # canonical: all slots of a kind are the same
+    value: np.ndarray
+    slot: np.ndarray
+    judged: np.ndarray  # slots, and names where no word is read as one
+
+
+def readings(w: _words.Words) -> list[Tokens]:
     n = len(w.hash)
-    if not n:
-        return w, w.hash, np.zeros(0, bool)
     digits = np.concatenate(([0], np.cumsum((w.data >= 48) & (w.data <= 57))))
     breaks = np.concatenate(([0], np.cumsum(_words.BREAK[w.data])))
+    strange = np.concatenate(([0], np.cumsum(~NAME_GAP[w.data])))
     number = digits[w.end] > digits[w.start]
-    unit = np.isin(w.hash, _words.words(UNITS).hash)
+    unit = np.isin(w.hash, _words.words(UNITS).hash) & ~number
     head = w.data[w.start]
     second = w.data[np.minimum(w.start + 1, len(w.data) - 1)]
     capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
+    capital &= ~number & ~unit
+    same = np.zeros(n, bool)
     opening = np.ones(n, bool)
-    opening[1:] = (w.text[1:] != w.text[:-1]) | (breaks[w.start[1:]] > breaks[w.end[:-1]])
-    name = capital & ~opening & ~number & ~unit
-    h = w.hash.copy()
-    h[number], h[unit & ~number], h[name] = NUMBER, UNIT, NAME
-    return w, h, number | unit | name
-
-
-def windows(w: _words.Words, h: np.ndarray, slot: np.ndarray, size: int = WINDOW, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
-    """Place of the first word, and digest, of each window inside a text with enough plain words."""
-    n = len(h) - size + 1
+    of_number, of_name = np.zeros(n, bool), np.zeros(n, bool)
+    if n:
+        left, right = w.end[:-1], w.start[1:]
+        same[1:] = w.text[1:] == w.text[:-1]
+        opening[1:] = ~same[1:] | (breaks[right] > breaks[left])
+        digit = lambda at: (w.data[at] >= 48) & (w.data[at] <= 57)
+        of_number[1:] = same[1:] & number[1:] & number[:-1] & (right - left == 1) & NUMBER_GAP[w.data[left]] & digit(left - 1) & digit(right)
+        of_name[1:] = same[1:] & (strange[right] == strange[left])
+    out = []
+    for name in (capital & ~opening, capital, np.zeros(n, bool)):
+        joined = of_number.copy()
+        joined[1:] |= of_name[1:] & name[1:] & name[:-1]
+        at = np.flatnonzero(~joined)
+        h = w.hash.copy()
+        h[number], h[unit], h[name] = NUMBER, UNIT, NAME
+        rank = np.arange(n) - at[np.cumsum(~joined) - 1] if n else np.zeros(0, np.int64)
+        value = np.add.reduceat(w.hash * _words.powers(n)[rank], at) if n else w.hash
+        slot = (number | unit | name)[at]
+        out.append(Tokens(w.text[at], h[at], value, slot, slot | (capital & ~opening)[at]))
+    return out
+
+
+def windows(t: Tokens, reading: int, size: int = WINDOW, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first token, and digest, of each window inside a text with enough plain words."""
+    n = len(t.hash) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     g = np.zeros(n, np.uint64)
     base = _words.powers(size)
     for j in range(size):
-        g += h[j : j + n] * base[j + 1]
-    slots = np.concatenate(([0], np.cumsum(slot)))
-    at = np.flatnonzero((w.text[:n] == w.text[size - 1 : size - 1 + n]) & (slots[size:] - slots[:-size] <= size - literals))
-    return at, mix64(g[at])
+        g += t.hash[j : j + n] * base[j + 1]
+    slots = np.concatenate(([0], np.cumsum(t.slot)))
+    at = np.flatnonzero((t.text[:n] == t.text[size - 1 : size - 1 + n]) & (slots[size:] - slots[:-size] <= size - literals))
+    return at, mix64(g[at] ^ np.uint64(reading))
+
+
+def runs(w: _words.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first word, and digest, of each run of so many words of a text, slots or not."""
+    n = len(w.hash) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(w.text[:n] == w.text[length - 1 : length - 1 + n])
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hash * _words.powers(len(w.hash))[: len(w.hash)], dtype=np.uint64)))
+    return at, mix64((total[at + length] - total[at]) * _words.inverse_powers(len(w.hash))[at] ^ np.uint64(VERBATIM + length))
 
 
 def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """A row for each item with windows: item, gram and place of its windows, digest of each word (raw) and which are slots."""
+    """Rows for each item: for each reading with windows, their digests (grams) and places, value of each token (words) and which are judged;
+    and digests of its runs of RUN words, or of the whole item if it is shorter and has no windows (length: words of a run)."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(id_col).to_pylist(), texts_of(batch, text_col), strict=True):
-                w, h, slot = canonical([text])
-                at, g = windows(w, h, slot, size)
-                if len(at) and item is not None:
-                    rows.append({"item": item, "grams": g.tobytes(), "places": at.astype(np.int64).tobytes(), "words": w.hash.tobytes(), "slots": slot.tobytes(), "n": len(at)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.int64()), ("grams", pa.binary()), ("places", pa.binary()), ("words", pa.binary()), ("slots", pa.binary()), ("n", pa.int64())]))
-
-    return bench.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "item bigint, grams binary, places binary, words binary, slots binary, n bigint")
+                if item is None:
+                    continue
+                w = _words.words([text])
+                usable = False
+                for reading, t in enumerate(readings(w)):
+                    at, g = windows(t, reading, size)
+                    if len(at):
+                        usable = True
+                        rows.append({"item": item, "length": 0, "grams": g.tobytes(), "places": at.astype(np.int64).tobytes(), "words": t.value.tobytes(), "slots": t.judged.tobytes(), "n": len(at)})
+                length = RUN if len(w.hash) >= RUN else 0 if usable else len(w.hash)
+                if length:
+                    g = np.unique(runs(w, length)[1])
+                    rows.append({"item": item, "length": length, "grams": g.tobytes(), "places": np.zeros(len(g), np.int64).tobytes(), "words": b"", "slots": b"", "n": len(g)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.int64()), ("length", pa.int64()), ("grams", pa.binary()), ("places", pa.binary()), ("words", pa.binary()), ("slots", pa.binary()), ("n", pa.int64())]))
+
+    return bench.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "item bigint, length bigint, grams binary, places binary, words binary, slots binary, n bigint")
 
 
 class _Part:
@@ -90,45 +149,128 @@ class _Part:
         self.items = [r.item for r in rows]
         self.words = [np.frombuffer(r.words, np.uint64) for r in rows]
         self.slots = [np.frombuffer(r.slots, bool) for r in rows]
-        self.count = [r.n for r in rows]
+        self.count = np.array([r.n for r in rows])
+        self.length = np.array([r.length for r in rows])
         gram = np.concatenate([np.frombuffer(r.grams, np.uint64) for r in rows])
         owner = np.repeat(np.arange(len(rows)), self.count)
         place = np.concatenate([np.frombuffer(r.places, np.int64) for r in rows])
         order = np.argsort(gram, kind="stable")
         self.gram, self.owner, self.place = gram[order], owner[order], place[order]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[gram & np.uint64(len(self.maybe) - 1)] = True
+
+    def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every pair of a digest asked for and an entry with it."""
+        some = np.flatnonzero(self.maybe[g & np.uint64(len(self.maybe) - 1)])
+        lo, hi = np.searchsorted(self.gram, g[some], "left"), np.searchsorted(self.gram, g[some], "right")
+        return np.repeat(some, hi - lo), ragged_gather(lo, hi - lo)
 
 
 def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
-    """Is the pairing of slot values a function both ways?"""
+    """Does each slot value of the item (a) always stand for one value of the document (b)?"""
     pairs = len(np.unique(np.stack((a, b)), axis=1).T) if len(a) else 0
-    return pairs == len(np.unique(a)) == len(np.unique(b))
+    return pairs == len(np.unique(a))
+
+
+def _lines(doc: np.ndarray, item: np.ndarray, size: int, most: int, need: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Alignments with at least so many hits, as places in document and item: first those of one distance between both, then chains of
+    runs of hits of different distances, in the order of both and no further apart than the item is long."""
+    order = np.lexsort((doc, doc - item))
+    doc, item = doc[order], item[order]
+    shift = doc - item
+    edge = np.flatnonzero(np.diff(shift)) + 1
+    for d, i in zip(np.split(doc, edge), np.split(item, edge), strict=True):
+        if len(d) >= need:
+            yield d, i
+    if not len(edge):
+        return
+    edge = np.flatnonzero((np.diff(shift) != 0) | (np.diff(doc) > size)) + 1
+    pieces = sorted(zip(np.split(doc, edge), np.split(item, edge), strict=True), key=lambda x: int(x[0][0]))
+    p0, p1 = np.array([x[0][0] for x in pieces]), np.array([x[0][-1] for x in pieces])
+    q0, q1 = np.array([x[1][0] for x in pieces]), np.array([x[1][-1] for x in pieces])
+    score, before = np.array([float(len(x[0])) for x in pieces]), np.full(len(pieces), -1)
+    for k in range(len(pieces)):
+        lo = int(np.searchsorted(p0, p0[k] - 3 * most))
+        moved = np.abs((p0[k] - q0[k]) - (p1[lo:k] - q1[lo:k]))
+        ok = (p1[lo:k] < p0[k]) & (q1[lo:k] < q0[k]) & (moved <= most)
+        if ok.any():
+            gain = np.where(ok, score[lo:k] - 1e-4 * moved / most, -1)
+            best = int(np.argmax(gain))
+            score[k] += gain[best]
+            before[k] = lo + best
+    for k in np.argsort(-score, kind="stable").tolist():
+        if score[k] < need - 0.5:
+            return
+        chain, j = [], k
+        while j >= 0:
+            chain.append(pieces[j])
+            j = before[j]
+        d, i = (np.concatenate([x[z] for x in chain[::-1]]) for z in (0, 1))
+        if len(chain) > 1 and len(d) >= need:
+            yield d, i
+
+
+def _aligned(here: np.ndarray, there: np.ndarray, words: np.ndarray, slots: np.ndarray, value: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Also the tokens next to both ends, as far as the plain words go on alike."""
+    for step, p, q in ((-1, int(here[0]), int(there[0])), (1, int(here[-1]), int(there[-1]))):
+        last, k = 0, 1
+        while lo <= p + step * k < hi and 0 <= q + step * k < len(words):
+            if not slots[q + step * k]:
+                if words[q + step * k] != value[p + step * k]:
+                    break
+                last = k
+            k += 1
+        more = step * np.arange(1, last + 1)
+        here, there = np.concatenate((here, p + more)), np.concatenate((there, q + more))
+    return here, there
 
 
 def _matches(part: _Part, texts: list[str], size: int, coverage: float) -> list[list[tuple]]:
     """For each text (item, windows hit, share of the item's windows, verbatim) of each item found."""
-    w, h, slot = canonical(texts)
-    at, g = windows(w, h, slot, size)
-    lo, hi = np.searchsorted(part.gram, g, "left"), np.searchsorted(part.gram, g, "right")
-    found: list[list[tuple]] = [[] for _ in texts]
-    hit = np.flatnonzero(hi > lo)
-    lines: dict[tuple, list] = defaultdict(list)
-    for k in hit.tolist():
-        for j in range(int(lo[k]), int(hi[k])):
-            lines[int(w.text[at[k]]), int(part.owner[j]), int(at[k] - part.place[j])].append((int(at[k]), int(part.place[j])))
+    w = _words.words(texts)
     best: dict[tuple, tuple] = {}
-    for (text, owner, _), places in lines.items():
-        share = len(places) / part.count[owner]
-        if share < coverage:
-            continue
-        here = np.unique(np.concatenate([np.arange(p, p + size) for p, _ in places]))
-        there = here - places[0][0] + places[0][1]
-        a, b = part.words[owner][there], w.hash[here]
-        s = part.slots[owner][there]
-        if not _consistent(a[s], b[s]):
-            continue
-        row = (part.items[owner], len(places), share, bool((a == b).all()))
-        if (text, owner) not in best or best[text, owner][2] < share:
-            best[text, owner] = row
+
+    def keep(text: int, row: tuple) -> None:
+        old = best.get((text, row[0]))
+        if old is None or (old[2], old[3]) < (row[2], row[3]):
+            best[text, row[0]] = row
+
+    for length in np.unique(part.length[part.length > 0]).tolist():
+        at, g = runs(w, length)
+        k, j = part.hits(g)
+        exact = part.length[part.owner[j]] == length
+        found = np.unique(np.stack((w.text[at[k[exact]]], part.owner[j[exact]])), axis=1)
+        for text, owner in found.T.tolist():
+            keep(text, (part.items[owner], 0, 0.0, True))
+    for reading, t in enumerate(readings(w)):
+        at, g = windows(t, reading, size)
+        k, j = part.hits(g)
+        j, k = j[part.length[part.owner[j]] == 0], k[part.length[part.owner[j]] == 0]
+        text, owner = t.text[at[k]], part.owner[j]
+        order = np.lexsort((owner, text))
+        text, owner, doc, item = text[order], owner[order], at[k[order]], part.place[j[order]]
+        cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(owner) != 0)) + 1
+        cut = np.concatenate(([0], cut, [len(text)])) if len(text) else np.zeros(1, np.int64)
+        enough = np.flatnonzero(np.diff(cut) >= coverage * part.count[owner[cut[:-1]]]) if len(text) else []
+        for c in enough:
+            one = slice(cut[c], cut[c + 1])
+            x, o = int(text[cut[c]]), int(owner[cut[c]])
+            need = coverage * part.count[o]
+            if len(np.unique(item[one])) < need:
+                continue
+            words, slots = part.words[o], part.slots[o]
+            lo, hi = np.searchsorted(t.text, [x, x + 1])
+            for d, i in _lines(doc[one], item[one], size, len(words), need):
+                both = np.unique(np.stack((np.add.outer(d, np.arange(size)).ravel(), np.add.outer(i, np.arange(size)).ravel())), axis=1)
+                here, there = both[0], both[1]
+                verbatim = bool((words[there] == t.value[here]).all()) and len(np.unique(d - i)) == 1
+                here, there = _aligned(here, there, words, slots, t.value, lo, hi)
+                s = slots[there]
+                if _consistent(words[there][s], t.value[here][s]):
+                    keep(x, (part.items[o], len(d), len(d) / part.count[o], verbatim))
+                    if len(d) == part.count[o]:
+                        break
+    found: list[list[tuple]] = [[] for _ in texts]
     for (text, _), row in sorted(best.items()):
         found[text].append(row)
     return found

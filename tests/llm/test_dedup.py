@@ -215,3 +215,17 @@ def test_a_text_bridges_more_than_two_groups(spark, seed):
     rows = nested_groups(seed)
     got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == brute_classes(rows)
+
+
+def items_found(spark, item, texts):
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [r.item_ids == [1] for r in decontaminate.contamination(rows, bench).orderBy("doc_id").collect()]
+
+
+def test_other_values_are_found(spark):
+    item = "Tom has 5 apples. Anna gives him 3 more apples. Tom eats 2 apples. How many apples does Tom have left"
+    other = item.replace("Tom", "Mary Ann").replace("Anna", "Karl").replace("5", "1,250").replace("3", "2.5")
+    longer = item.replace("more apples. Tom", "more apples at noon. Tom")
+    texts = [other, item.replace("Tom", "Ben").replace("Anna", "Lisa"), item.lower(), item.upper(), item.replace(" ", "\n"), item.replace("5", "2").replace("3", "2"), longer.replace("Anna", "Jo Ann"), "Tom has nothing to do with any of this"]
+    assert items_found(spark, item, texts) == [True] * 7 + [False]
