@@ -229,3 +229,12 @@ def test_other_values_are_found(spark):
     longer = item.replace("more apples. Tom", "more apples at noon. Tom")
     texts = [other, item.replace("Tom", "Ben").replace("Anna", "Lisa"), item.lower(), item.upper(), item.replace(" ", "\n"), item.replace("5", "2").replace("3", "2"), longer.replace("Anna", "Jo Ann"), "Tom has nothing to do with any of this"]
     assert items_found(spark, item, texts) == [True] * 7 + [False]
+
+
+def test_items_without_windows_and_long_runs(spark):
+    short = "What is the capital of France?"
+    assert items_found(spark, short, ["He asked: what is the capital of France? Paris.", "What is the capital of Spain?", None]) == [True, False, False]
+    table = " ".join(f"{k} km" for k in range(9))
+    assert items_found(spark, table, ["see " + table + " there", table.replace("3 km", "33 km")]) == [True, False]
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    assert items_found(spark, " ".join(words), ["x " + " ".join(words[20:65]) + " y", "x " + " ".join(words[20:35]) + " y"]) == [True, False]
