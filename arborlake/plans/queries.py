@@ -454,6 +454,16 @@ def reachability_closure(spark, d):
     return got.groupBy("seed").agg(F.count("*").alias("n"), F.max("key").alias("top"))
 
 
+@query()
+def reachability_closure_whole(spark, d):
+    """The same closure with every part as a seed."""
+    p = _read(spark, d, "part")
+    n = p.count()
+    edges = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7 + 3) % n).alias("target"))
+    got = graphs.reachable(edges, p.select(F.col("p_partkey").alias("seed")))
+    return got.groupBy("seed").agg(F.count("*").alias("n"), F.max("key").alias("top"))
+
+
 @query("select p_partkey as partkey, replace(lower(regexp_replace(p_name, '[/,()]', '', 'g')), ' ', '-') || '-' || p_size as name from part")
 def slug_names(spark, d):
     return _read(spark, d, "part").select(F.col("p_partkey").alias("partkey"), names.numbered(names.slug(F.col("p_name")), F.col("p_size")).alias("name"))

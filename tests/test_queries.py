@@ -42,3 +42,17 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_reachability_of_every_part(spark, sf):
+    parts = [r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()]
+    step = {p: (p * 7 + 3) % len(parts) for p in parts if p % 3}
+    want = {}
+    for p in parts:
+        seen = []
+        at = p
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = step.get(at)
+        want[p] = (len(seen), max(seen))
+    assert {r.seed: (r.n, r.top) for r in QUERIES["reachability_closure_whole"](spark, sf).collect()} == want
