@@ -10,13 +10,15 @@ Codebooks are fitted on a sample of about SAMPLE distinct vectors; every vector
 Long lists are cut into blocks, and each meeting of vectors and block returns counts and a spanning forest of its links, never the
 pairs, so a large group of near copies costs rows in proportion to its size. A link that only one side's probes see counts for both.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing, as do vectors of another length than most.
+Vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors of each length are indexed and searched apart.
 Rows with a null id come back without a component; repeated ids are a row each. An empty table gives an empty result.
 Results hold only the columns listed, so others can't clash.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,18 +119,10 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """One row per row: id, n_links (other vectors linked directly), component_id (smallest id reached), kept."""
-    spark = df.sparkSession
-    vector = F.col(vector_col).cast("array<float>")
-    good = F.col(id_col).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0)
-    keyed = df.select(F.col(id_col), F.when(good, vector).alias("v")).withColumn("key", F.when(F.col("v").isNotNull(), F.unhex(F.md5(F.col("v").cast("string")))))
-    keyed = materialise(keyed, "vectors")
-    width = keyed.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if width is None:
-        return df.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
-    dim = width.n
-    kind = df.schema[id_col].dataType.simpleString()
+def _of_length(keyed: DataFrame, id_col: str, dim: int, cosine: float) -> DataFrame:
+    """(key, n_links, component_id) of the vectors of one length."""
+    spark = keyed.sparkSession
+    kind = keyed.schema[id_col].dataType.simpleString()
 
     def raw(batches):
         for batch in batches:
@@ -200,7 +194,19 @@ def links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     found = components(met.where("n = 0").select("a", "b"))
     out = reps.select("rep", "weight").join(counts, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
     out = out.select("rep", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    by_key = keyed.where(F.size("v") == dim).groupBy("key").agg(F.min(id_col).alias("rep")).join(out, "rep").drop("rep")
+    return keyed.where(F.size("v") == dim).groupBy("key").agg(F.min(id_col).alias("rep")).join(out, "rep").drop("rep")
+
+
+def links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """One row per row: id, n_links (other vectors linked directly), component_id (smallest id reached), kept."""
+    vector = F.col(vector_col).cast("array<float>")
+    good = F.col(id_col).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0)
+    keyed = df.select(F.col(id_col), F.when(good, vector).alias("v")).withColumn("key", F.when(F.col("v").isNotNull(), F.unhex(F.md5(F.col("v").cast("string")))))
+    keyed = materialise(keyed, "vectors")
+    widths = [r.n for r in keyed.where("v is not null").select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
+    if not widths:
+        return df.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
+    by_key = reduce(DataFrame.unionByName, [_of_length(keyed, id_col, dim, cosine) for dim in widths])
     out = keyed.select(F.col(id_col), "key").join(by_key, "key", "left")
     out = out.select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col(id_col)).alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -238,3 +238,9 @@ def test_items_without_windows_and_long_runs(spark):
     assert items_found(spark, table, ["see " + table + " there", table.replace("3 km", "33 km")]) == [True, False]
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
     assert items_found(spark, " ".join(words), ["x " + " ".join(words[20:65]) + " y", "x " + " ".join(words[20:35]) + " y"]) == [True, False]
+
+
+def test_embeddings_of_two_lengths(spark):
+    rows = [(k, [1.0, float(k), 2.0]) for k in range(6)] + [(10, [1.0, 2.0]), (11, [1.0, 2.0]), (12, [1.0, 2.1]), (13, [-1.0, 2.0]), (14, [3.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    assert [got[k] for k in (10, 11, 12, 13, 14)] == [(2, 10), (2, 10), (2, 10), (0, 13), (0, 14)]
