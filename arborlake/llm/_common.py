@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 #: Text bytes that one vectorised step holds at once in a Python worker.
 CHUNK_BYTES = 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing: dict[str, tuple[int, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,39 +27,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir). A temporary one only in local mode, where there are no other machines."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arborlake-"))
         where = jsc.getCheckpointDir().get()
     return where
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Results may read a scratch path as long as the application lives; it is deleted when that ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
+@contextlib.contextmanager
+def _without_shuffle_files(spark: SparkSession):
+    """Shuffle files go with the query that made them. Queries of one session may overlap: the last one out restores the setting."""
+    key = str(spark._jsparkSession.sessionUUID())
+    with _lock:
+        count, before = _writing.get(key, (0, spark.conf.get(CLEANUP)))
+        _writing[key] = count + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            count, before = _writing.pop(key)
+            if count > 1:
+                _writing[key] = count - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/arborlake/{name}-{uuid.uuid4().hex}"
-    # the shuffle files of the query that fills the table aren't needed once it is written
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _without_shuffle_files(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete a table made by :func:`materialise` that nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by :func:`materialise` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def plan_bytes(df: DataFrame, text_col: str = "text") -> int:

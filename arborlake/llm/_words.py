@@ -77,7 +77,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     base = powers(k)
     first = np.searchsorted(w.text, w.text, "left")
     last = np.searchsorted(w.text, w.text, "right")
-    for j in range(k):
+    for j in range(min(k, n)):
         h[: n - j] += np.where(np.arange(n - j) + j < last[: n - j], w.hash[j:] * base[j + 1], 0).astype(np.uint64)
     whole = np.arange(n) + k <= last
     short = (np.arange(n) == first) & (last - first < k)
