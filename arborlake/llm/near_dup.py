@@ -5,11 +5,12 @@ the text. A register keeps the first arrival; a text's process ends as soon as i
 Two texts agree in a register with the probability Jaccard similarity of their shingles. Registers are banded; a band's bucket links
 its texts with its smallest id, and each such pair is verified on the exact weights of its shingles. Texts that a leader turns
 away are dealt a new leader among themselves, LEADERS times. The texts of a bucket that aren't all linked by then are compared in
-blocks, each with every text that it isn't linked with, on their exact weights. Classes are those of all pairs of all buckets,
+blocks, those outside its largest linked part with every text that they aren't linked with, on their exact weights. Classes are those of all pairs of all buckets,
 but pairs never leave the tasks, only forests that span them do.
 
 Texts are compared whole. Equal texts are one class. Null and empty texts, and those without words, only join with equal ones
-(null counts as empty). Rows with a null id stay alone and keep it; repeated ids are one document. Results hold only
+(null counts as empty). Rows with a null id stay alone and keep it; repeated ids are one document, which is in the classes of all
+its texts and is compared by the one with the least digest. Results hold only
 the columns listed, so others can't clash. An empty table gives an empty result.
 """
 
@@ -32,6 +33,8 @@ LEADERS = 2
 #: Texts, and their elements, on each side of a comparison of two blocks of a bucket.
 BLOCK = 1024
 BLOCK_ELEMENTS = 1 << 21
+#: Shares of a key that may hold very many rows.
+SALTS = 64
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,8 +127,12 @@ def _elements(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, text_col).mapInArrow(run, f"doc {kind}, h binary, w binary, n bigint")
 
 
+def _salted(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), by), F.lit(SALTS)).cast("int"))
+
+
 def _verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """(doc, leader, ok) of (doc, leader)."""
+    """(doc, leader, ok) of (doc, leader). A leader of very many texts is dealt to SALTS places, and only to those that need it."""
 
     def run(batches):
         for batch in batches:
@@ -139,15 +146,15 @@ def _verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("leader"), pa.array(ok, pa.bool_())], ["doc", "leader", "ok"])
 
     kind = pairs.schema["doc"].dataType.simpleString()
-    left = pairs.join(elements, "doc")
+    pairs = _salted(pairs, "doc")
     right = elements.select(F.col("doc").alias("leader"), F.col("h").alias("h2"), F.col("w").alias("w2"))
-    return left.join(right, "leader").select("doc", "leader", "h", "w", "h2", "w2").mapInArrow(run, f"doc {kind}, leader {kind}, ok boolean")
+    right = pairs.select("leader", "salt").distinct().join(right, "leader")
+    return pairs.join(elements, "doc").join(right, ["leader", "salt"]).select("doc", "leader", "h", "w", "h2", "w2").mapInArrow(run, f"doc {kind}, leader {kind}, ok boolean")
 
 
-def _bridges(doc: np.ndarray, part: np.ndarray, side: np.ndarray, h: list[np.ndarray], w: list[np.ndarray | None], threshold: float) -> list[tuple[int, int]]:
+def _bridges(part: np.ndarray, side: np.ndarray, h: list[np.ndarray], w: list[np.ndarray | None], threshold: float) -> list[tuple[int, int]]:
     """Pairs of places that join the parts as far as similar texts of both sides do: a spanning forest over the parts. All pairs of
-    different parts are compared exactly, one text against many; only those that an earlier pair has joined are passed over."""
-    n = len(doc)
+    different sides and parts are compared exactly, one text against many; only those that an earlier pair has joined are passed over."""
     size = np.array([len(x) for x in h])
     start = np.concatenate(([0], np.cumsum(size)))[:-1]
     every, element = np.unique(np.concatenate(h), return_inverse=True)
@@ -158,10 +165,8 @@ def _bridges(doc: np.ndarray, part: np.ndarray, side: np.ndarray, h: list[np.nda
     mark = np.zeros(len(every))
     part = part.copy()
     found = []
-    alone = len(set(side.tolist())) == 1
-    for i in range(n):
-        to = np.flatnonzero(part != part[i])
-        to = to[(to > i) & (alone | (side[to] != side[i]))]
+    for i in np.flatnonzero(side == 1).tolist():
+        to = np.flatnonzero((side == 0) & (part != part[i]))
         if not len(to):
             continue
         mine = slice(start[i], start[i] + size[i])
@@ -189,49 +194,63 @@ def _bridges(doc: np.ndarray, part: np.ndarray, side: np.ndarray, h: list[np.nda
 
 
 def _between_parts(bucket: DataFrame, part: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """(doc, leader) that join the parts of a bucket: its texts, those that followed a leader included, all meet the texts of its other
-    parts. Buckets are cut into blocks of about BLOCK texts, and every two blocks meet in a task of their own, which returns a forest."""
+    """(doc, leader) that join the parts of a bucket. Texts of its largest part need not meet each other, so all texts that are outside it
+    (the rest) meet all texts of the bucket. Both are cut into blocks of about BLOCK texts, and a block of each meet in a task of
+    their own, which returns a forest: the work is the bucket times its rest, and no pairs leave a task."""
     kind = bucket.schema["doc"].dataType.simpleString()
     rows = bucket.join(part.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("part"))
     rows = rows.join(elements.select("doc", "n"), "doc")
-    sizes = rows.groupBy("key").agg(
-        F.count("*").alias("members"), F.sum("n").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"),
+    by_part = rows.groupBy("key", "part").agg(
+        F.count("*").alias("members"), F.sum("n").alias("n"),
         F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("one"), F.sum(F.xxhash64(F.lit(1), "doc").cast("decimal(38,0)")).alias("two"),
     )
+    sizes = by_part.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("members").alias("members"), F.sum("n").alias("n"), F.sum("one").alias("one"), F.sum("two").alias("two"),
+        F.max(F.struct("members", "n", "part")).alias("main"),
+    )
     # the pair of a bucket of two has been verified; buckets of the same texts are compared once
-    sizes = sizes.where("least <> most and members > 2").groupBy("members", "one", "two").agg(F.min("key").alias("key"), F.max("n").alias("n"))
-    sizes = sizes.select("key", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("n") / BLOCK_ELEMENTS)).cast("int").alias("n"))
-    rows = rows.drop("n").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "doc", "part", "block")
+    sizes = sizes.where("parts > 1 and members > 2").groupBy("members", "one", "two").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.max("main").alias("main"))
+    blocks = lambda texts, n: F.greatest(F.ceil(texts / BLOCK), F.ceil(n / BLOCK_ELEMENTS)).cast("int")
+    sizes = sizes.select("key", F.col("main.part").alias("main"), blocks(F.col("members"), F.col("n")).alias("n_all"), blocks(F.col("members") - F.col("main.members"), F.col("n") - F.col("main.n")).alias("n_rest"))
+    rows = rows.drop("n").join(sizes, "key")
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "doc"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    every = rows.select("key", "doc", "part", F.lit(0).alias("side"), deal(5, F.col("n_all")).alias("one"), each(F.col("n_rest")).alias("two"))
+    rest = rows.where("part <> main").select("key", "doc", "part", F.lit(1).alias("side"), each(F.col("n_all")).alias("one"), deal(6, F.col("n_rest")).alias("two"))
 
     def compare(t: pa.Table) -> pa.Table:
-        doc, first = np.unique(np.asarray(t.column("doc")), return_index=True)
-        t = t.take(first)
+        t = t.sort_by([("side", "ascending"), ("doc", "ascending")])
         kept = t.schema.field("doc").type
+        doc = t.column("doc").combine_chunks()
         h = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
         w = [np.frombuffer(x, np.float32) if x else None for x in t.column("w").to_pylist()]
-        pairs = np.array(_bridges(doc, np.asarray(t.column("part")), np.asarray(t.column("block")), h, w, threshold), np.int64).reshape(-1, 2)
-        one, two = doc[pairs[:, 0]], doc[pairs[:, 1]]
+        part = np.unique(np.asarray(t.column("part")), return_inverse=True)[1]
+        pairs = np.array(_bridges(part, np.asarray(t.column("side")), h, w, threshold), np.int64).reshape(-1, 2)
+        one, two = doc.take(pa.array(pairs[:, 0])), doc.take(pa.array(pairs[:, 1]))
         del t, h, w
         release()
-        return pa.table({"doc": pa.array(np.maximum(one, two), kept), "leader": pa.array(np.minimum(one, two), kept)})
+        return pa.table({"doc": pc.max_element_wise(one, two).cast(kept), "leader": pc.min_element_wise(one, two).cast(kept)})
 
-    return met.join(elements.select("doc", "h", "w"), "doc").groupBy("key", "one", "two").applyInArrow(compare, f"doc {kind}, leader {kind}").distinct()
+    met = every.unionByName(rest).join(elements.select("doc", "h", "w"), "doc")
+    return met.groupBy("key", "one", "two").applyInArrow(compare, f"doc {kind}, leader {kind}").distinct()
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row: id, class_id (the smallest id of its class), kept (is it that document?)."""
     sig = materialise(signatures(df, id_col, text_col, bands, rows), "signatures")
-    # classes of equal texts
-    rep = sig.groupBy("text_key").agg(F.min("doc").alias("rep"))
-    member = materialise(sig.select("doc", "text_key").join(rep, "text_key").groupBy("doc").agg(F.min("rep").alias("rep")), "equal")
-    own = member.where("doc = rep").select("doc")
-    rows_ = sig.where("bands is not null").join(own, "doc", "left_semi").dropDuplicates(["doc"]).select("doc", F.explode("bands").alias("key"))
+    # classes of equal texts; the smallest id of a text travels back to its salted shares, so a text with very many copies isn't one key
+    dealt = _salted(sig.select("doc", "text_key"), "doc")
+    shares = dealt.groupBy("text_key", "salt").agg(F.min("doc").alias("least"))
+    rep = shares.select("text_key", "salt").join(shares.groupBy("text_key").agg(F.min("least").alias("rep")), "text_key")
+    member = materialise(dealt.join(rep, ["text_key", "salt"]).groupBy("doc").agg(F.min("rep").alias("rep"), F.min("text_key").alias("text_key")), "equal")
+    own = member.where("doc = rep").select("doc", "text_key")
+    # a repeated id stands for its text with the least key, here and in its elements
+    rows_ = sig.where("bands is not null").join(own, ["doc", "text_key"], "left_semi").groupBy("doc").agg(F.first("bands").alias("bands")).select("doc", F.explode("bands").alias("key"))
     held = rows_.groupBy("key").agg(F.min("doc").alias("leader"), F.max("doc").alias("other")).where("leader < other").select("key", "leader")
     bucket = materialise(rows_.join(held, "key").select("key", "doc", "leader"), "buckets")
-    ids = bucket.select("doc").distinct()
-    elements = materialise(_elements(df.join(ids.select(F.col("doc").alias(id_col)), id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col), "elements")
+    ids = bucket.select("doc").distinct().join(member, "doc").select(F.col("doc").alias(id_col), F.col("text_key").alias("_text_key"))
+    texts = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).withColumn("_text_key", F.unhex(F.md5(text_col)))
+    elements = materialise(_elements(texts.join(ids, [id_col, "_text_key"], "left_semi").dropDuplicates([id_col]), id_col, text_col), "elements")
     seen, led = None, bucket
     for _ in range(LEADERS):
         pairs = led.where("doc <> leader").select("doc", "leader").distinct()
@@ -252,7 +271,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     discard(bucket)
     if not bridges.isEmpty():
         found = components(links.unionByName(bridges.select(F.col("doc").alias("a"), F.col("leader").alias("b"))))
-    discard(elements)
+    discard(elements, sig)
     out = member.join(found, member.rep == found.node, "left").select(F.col("doc").alias(id_col), F.coalesce("component", "rep").alias("class_id"))
     out = df.select(id_col).join(out, id_col, "left").select(id_col, F.coalesce("class_id", F.col(id_col)).alias("class_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))

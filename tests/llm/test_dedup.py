@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from arborlake.llm import _graph, decontaminate, embedding_dedup, near_dup, substring_dedup
+from arborlake.llm import _graph, _words, decontaminate, embedding_dedup, near_dup, substring_dedup
 
 
 def variants(seed=3):
@@ -244,3 +244,34 @@ def test_embeddings_of_two_lengths(spark):
     rows = [(k, [1.0, float(k), 2.0]) for k in range(6)] + [(10, [1.0, 2.0]), (11, [1.0, 2.0]), (12, [1.0, 2.1]), (13, [-1.0, 2.0]), (14, [3.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
     assert [got[k] for k in (10, 11, 12, 13, 14)] == [(2, 10), (2, 10), (2, 10), (0, 13), (0, 14)]
+
+
+@pytest.mark.parametrize("n", range(7))
+def test_batches_of_few_words(spark, n):
+    text = " ".join("one two three four five six".split()[:n])
+    one = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert [tuple(r) for r in near_dup.near_duplicate_classes(one).collect()] == [(1, 1, True)]
+    h, t = _words.shingles(_words.words([text]), 5)
+    assert len(h) == min(n, 1) + max(0, n - 5)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_many_near_copies_around_the_threshold(spark, monkeypatch, seed):
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for c in range(300):
+        w = list(base)
+        for k in r.sample(range(120), r.randint(1, 3)):
+            w[k] = f"c{r.randrange(10**6)}"
+        rows.append((c, " ".join(w)))
+    got = {x.doc_id: x.class_id for x in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (2, "other words"), (2, long), (3, "other words"), (4, long + " end"), (None, long)]
+    got = {(r.doc_id, r.class_id) for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert (4, 1) in got and (2, 1) in got and (None, None) in got
