@@ -275,3 +275,40 @@ def test_repeated_ids_with_different_texts(spark):
     rows = [(1, long), (2, "other words"), (2, long), (3, "other words"), (4, long + " end"), (None, long)]
     got = {(r.doc_id, r.class_id) for r in near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert (4, 1) in got and (2, 1) in got and (None, None) in got
+
+
+def brute_links(x):
+    n = np.sqrt((x * x).sum(1))
+    y = x / np.where(n > 0, n, 1)[:, None]
+    link = y @ y.T >= 0.95
+    np.fill_diagonal(link, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(link, label[None], len(x)).min(1))
+        if (new == label).all():
+            return link.sum(1).tolist(), label.tolist()
+        label = new
+
+
+def test_many_lists_blocks_and_recall(spark, monkeypatch):
+    """Lists enough for probes to matter, both sides in blocks, a third of all rows in one group of near copies."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 300)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(300, 24))
+    x = centre[rng.integers(0, 300, 9000)] + rng.normal(size=(9000, 24)) * rng.choice([0.05, 0.16, 0.25], 9000)[:, None]
+    x[::3] = centre[0] + rng.normal(size=(3000, 24)) * 0.08
+    x[5:60:7] = x[4]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.links(df.repartition(8)).collect()}
+    want, label = brute_links(x)
+    found = [got[i].n_links for i in range(len(x))]
+    assert all(f <= w for f, w in zip(found, want, strict=True)) and sum(found) >= 0.999 * sum(want)
+    if found == want:
+        assert [got[i].component_id for i in range(len(x))] == label
+
+
+def test_double_precision_and_odd_vectors(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e300, 1e300]), (3, [1e-300, 1e-300]), (4, [1.0, None]), (5, []), (6, [0.0, 0.0]), (None, [1.0, 1.0]), (7, [float("inf"), 1.0]), (8, [1.0, 1.0]), (8, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "'x' as kept", "'x' as n_links", "'x' as rep")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.links(df).collect()), key=str)
+    assert got == sorted([(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6), (None, 0, None), (7, 0, 7), (8, 4, 1), (8, 4, 1)], key=str)
