@@ -1,19 +1,27 @@
 """Benchmark decontamination by templates.
 
-Words are made canonical: those with a digit become a number slot, measuring units a unit slot, and capitalised words a name slot. A run of
-capitalised words is one slot, and so is a number with separators. Each text is read three times: words that open sentences are plain,
-or may be names, or no word is a name (texts in capitals or small letters). Windows of WINDOW canonical words of each benchmark item
-are hashed, and the windows of every document are looked up among them. Hits of one item that lie on one line (the same distance
+Words are made canonical: those with a digit and number words become a number slot, measuring units a unit slot, and capitalised words a
+name slot. A run of capitalised words is one slot, and so is a number with separators. Each text is read three times: words that open
+sentences are plain, or may be names, or no word is a name (texts in capitals or small letters). Windows of WINDOW canonical words of
+each benchmark item (of all its words, if it has fewer) are hashed. Hits of one item that lie on one line (the same distance
 between both places) are an alignment, and so is a chain of such lines. It counts when it has COVERAGE of the item's windows, and
 when each slot value of the item always stands for one value of the document. So exact copies and questions with other numbers, names
 or units are found. Besides, a run of RUN words of an item counts as it stands, whatever share of the item it is, and so
-does the whole of a shorter item that has no windows.
+does the whole of a shorter item that has no windows; a run that several items share is reported for the least of them.
 
-The windows of the benchmark go to the workers in parts of at most PART_WINDOWS (each part is one more pass over the documents).
+Windows meet in a hash join:
 
-Nulls are empty texts; items without words match nothing; windows with fewer than LITERALS plain words are not used.
-Rows with a null id are judged like others and repeated ids each on their own. Empty tables: no document is contaminated. Results
-hold only the columns listed, so others can't clash.
+1. An item needs COVERAGE of its windows, so a document that has them has one of any 1 - COVERAGE of them and one more. The rarest
+   windows of each item, by their count in the benchmark, are its keys; windows that many items share hardly ever are.
+2. A Bloom filter of the keys, of at most FILTER_BITS whatever the benchmark's size, goes to the tasks that read the documents. They
+   pass on texts with a window in it, once for equal texts.
+3. Their windows are joined with the keys, in SALTS shares, as a passage may stand in a third of all documents.
+4. Texts and the items whose keys they have meet in buckets of about BUCKET_BYTES, and are aligned.
+
+Nulls are empty texts; items without words match nothing; windows with fewer than LITERALS plain words are not used, or fewer than
+LITERALS + 1 if the item is shorter than a window. Very long texts are read whole. Rows with a null id are judged like others and repeated ids
+each on their own; equal texts get equal verdicts; ties of items are all reported. Items with a null id are left out, repeated items are one.
+Empty tables: no document is contaminated. Results hold only the columns listed, so others can't clash.
 """
 
 from __future__ import annotations
@@ -23,8 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _words
 from ._common import discard, materialise, mix64, ragged_gather, slices, table, texts_of
@@ -34,7 +44,13 @@ LITERALS = 4
 COVERAGE = 0.5
 #: Words of an item that count wherever they stand in a row.
 RUN = 24
-PART_WINDOWS = 1 << 20
+#: Bits of the filter at most; 16 for each key until then.
+FILTER_BITS = 1 << 28
+SALTS = 16
+#: Candidate text in a bucket.
+BUCKET_BYTES = 8 << 20
+#: English number words.
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 UNITS = "km m cm mm miles mile feet foot inches inch yards yard kg g mg pounds pound ounces ounce tons litres liters litre liter ml gallons gallon hours hour minutes minute seconds second days day weeks week months month years year dollars dollar cents cent euros euro percent degrees degree mph kmh".split()
 NUMBER, NAME, UNIT = np.uint64(0xA5A5A5A5A5A5A501), np.uint64(0xA5A5A5A5A5A5A502), np.uint64(0xA5A5A5A5A5A5A503)
 
@@ -63,7 +79,8 @@ def readings(w: _words.Words) -> list[Tokens]:
     digits = np.concatenate(([0], np.cumsum((w.data >= 48) & (w.data <= 57))))
     breaks = np.concatenate(([0], np.cumsum(_words.BREAK[w.data])))
     strange = np.concatenate(([0], np.cumsum(~NAME_GAP[w.data])))
-    number = digits[w.end] > digits[w.start]
+    figure = digits[w.end] > digits[w.start]
+    number = figure | np.isin(w.hash, _words.words(NUMBER_WORDS).hash)
     unit = np.isin(w.hash, _words.words(UNITS).hash) & ~number
     head = w.data[w.start]
     second = w.data[np.minimum(w.start + 1, len(w.data) - 1)]
@@ -77,7 +94,7 @@ def readings(w: _words.Words) -> list[Tokens]:
         same[1:] = w.text[1:] == w.text[:-1]
         opening[1:] = ~same[1:] | (breaks[right] > breaks[left])
         digit = lambda at: (w.data[at] >= 48) & (w.data[at] <= 57)
-        of_number[1:] = same[1:] & number[1:] & number[:-1] & (right - left == 1) & NUMBER_GAP[w.data[left]] & digit(left - 1) & digit(right)
+        of_number[1:] = same[1:] & figure[1:] & figure[:-1] & (right - left == 1) & NUMBER_GAP[w.data[left]] & digit(left - 1) & digit(right)
         of_name[1:] = same[1:] & (strange[right] == strange[left])
     out = []
     for name in (capital & ~opening, capital, np.zeros(n, bool)):
@@ -118,52 +135,115 @@ def runs(w: _words.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """Rows for each item: for each reading with windows, their digests (grams) and places, value of each token (words) and which are judged;
-    and digests of its runs of RUN words, or of the whole item if it is shorter and has no windows (length: words of a run)."""
+    """Rows for each item: for each reading with windows, their digests (grams), places and words (size), value of each token (words) and which
+    are judged; and digests of its runs of RUN words, or of the whole item if it is shorter and has no windows (reading VERBATIM, size:
+    words of a run)."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(id_col).to_pylist(), texts_of(batch, text_col), strict=True):
-                if item is None:
-                    continue
                 w = _words.words([text])
                 usable = False
                 for reading, t in enumerate(readings(w)):
-                    at, g = windows(t, reading, size)
+                    own = min(size, len(t.hash))
+                    at, g = windows(t, reading, own, LITERALS + (own < size))
                     if len(at):
                         usable = True
-                        rows.append({"item": item, "length": 0, "grams": g.tobytes(), "places": at.astype(np.int64).tobytes(), "words": t.value.tobytes(), "slots": t.judged.tobytes(), "n": len(at)})
+                        rows.append({"item": item, "reading": reading, "size": own, "grams": g.tobytes(), "places": at.astype(np.int64).tobytes(), "words": t.value.tobytes(), "slots": t.judged.tobytes(), "n": len(at)})
                 length = RUN if len(w.hash) >= RUN else 0 if usable else len(w.hash)
                 if length:
                     g = np.unique(runs(w, length)[1])
-                    rows.append({"item": item, "length": length, "grams": g.tobytes(), "places": np.zeros(len(g), np.int64).tobytes(), "words": b"", "slots": b"", "n": len(g)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.int64()), ("length", pa.int64()), ("grams", pa.binary()), ("places", pa.binary()), ("words", pa.binary()), ("slots", pa.binary()), ("n", pa.int64())]))
+                    rows.append({"item": item, "reading": VERBATIM, "size": length, "grams": g.tobytes(), "places": b"", "words": b"", "slots": b"", "n": len(g)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.int64()), ("reading", pa.int32()), ("size", pa.int32()), ("grams", pa.binary()), ("places", pa.binary()), ("words", pa.binary()), ("slots", pa.binary()), ("n", pa.int64())]))
+
+    items = bench.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).distinct()
+    return items.mapInArrow(run, "item bigint, reading int, size int, grams binary, places binary, words binary, slots binary, n bigint")
+
+
+def _keys(rows: DataFrame, coverage: float) -> DataFrame:
+    """(gram, item, verbatim): the rarest windows of each item and reading, one of which any document with enough of them has; all runs."""
+
+    def flat(batches):
+        for batch in batches:
+            for item, reading, grams, n in zip(*(batch.column(c).to_pylist() for c in ("item", "reading", "grams", "n")), strict=True):
+                g, places = np.unique(np.frombuffer(grams, np.uint64), return_counts=True)
+                spare = n - int(np.ceil(coverage * n)) if reading != VERBATIM else n
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), item)), pa.array(np.full(len(g), reading, np.int32)), pa.array(g.view(np.int64)), pa.array(places), pa.array(np.full(len(g), spare))], ["item", "reading", "gram", "places", "spare"])
+
+    every = rows.select("item", "reading", "grams", "n").mapInArrow(flat, "item bigint, reading int, gram bigint, places bigint, spare bigint")
+    every = materialise(every.groupBy("item", "reading", "gram").agg(F.max("places").alias("places"), F.max("spare").alias("spare")), "windows")
+    kept = every.where(F.col("reading") != VERBATIM)
+    kept = kept.join(kept.groupBy("gram").agg(F.count("*").alias("items")), "gram")
+    before = F.sum("places").over(Window.partitionBy("item", "reading").orderBy("items", "gram").rowsBetween(Window.unboundedPreceding, -1))
+    kept = kept.withColumn("before", F.coalesce(before, F.lit(0))).where("before <= spare").select("gram", "item", F.lit(False).alias("verbatim")).distinct()
+    run = every.where(F.col("reading") == VERBATIM).groupBy("gram").agg(F.min("item").alias("item")).select("gram", "item", F.lit(True).alias("verbatim"))
+    out = materialise(kept.unionByName(run), "keys")
+    discard(every)
+    return out
+
+
+class _Filter:
+    """A Bloom filter with two places for each digest."""
 
-    return bench.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, "item bigint, length bigint, grams binary, places binary, words binary, slots binary, n bigint")
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def places(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return g & np.uint64(bits - 1), mix64(g) & np.uint64(bits - 1)
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        one, two = self.places(g, len(self.words) * 64)
+        have = lambda at: (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        at = np.flatnonzero(have(one))
+        return at[have(two[at])]
+
+
+def _filter(keys: DataFrame) -> _Filter:
+    """Built in chunks by the tasks that hold the keys; the driver gets FILTER_BITS at most."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << int(16 * keys.count()).bit_length()))
+    chunk = 1 << 16
+
+    def run(batches):
+        mine: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at in _Filter.places(np.asarray(batch.column("gram")).view(np.uint64), bits):
+                for k in np.unique(at // np.uint64(chunk)).tolist():
+                    inside = at[at // np.uint64(chunk) == k] % np.uint64(chunk)
+                    np.bitwise_or.at(mine.setdefault(k, np.zeros(chunk // 64, np.uint64)), (inside >> np.uint64(6)).astype(np.int64), np.uint64(1) << (inside & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int64()), pa.array([x.tobytes() for x in mine.values()], pa.binary())], ["chunk", "bits"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        one = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()]), axis=0)
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "bits": pa.array([one.tobytes()], pa.binary())})
+
+    words = np.zeros(bits // 64, np.uint64)
+    for r in keys.select("gram").mapInArrow(run, "chunk bigint, bits binary").groupBy("chunk").applyInArrow(merge, "chunk bigint, bits binary").toLocalIterator():
+        words[r.chunk * (chunk // 64) : (r.chunk + 1) * (chunk // 64)] = np.frombuffer(bytes(r.bits), np.uint64)
+    return _Filter(words)
 
 
 class _Part:
-    def __init__(self, rows):
-        rows = sorted(rows, key=lambda r: r.item)
-        self.items = [r.item for r in rows]
-        self.words = [np.frombuffer(r.words, np.uint64) for r in rows]
-        self.slots = [np.frombuffer(r.slots, bool) for r in rows]
-        self.count = np.array([r.n for r in rows])
-        self.length = np.array([r.length for r in rows])
-        gram = np.concatenate([np.frombuffer(r.grams, np.uint64) for r in rows])
+    """Windows of some items."""
+
+    def __init__(self, rows: list[dict]):
+        rows = sorted(rows, key=lambda r: (r["item"], r["reading"], r["words"]))
+        self.items = [r["item"] for r in rows]
+        self.words = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        self.slots = [np.frombuffer(r["slots"], bool) for r in rows]
+        self.count = np.array([r["n"] for r in rows], np.int64)
+        self.size = np.array([r["size"] for r in rows], np.int64)
+        gram = np.concatenate([np.frombuffer(r["grams"], np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(rows)), self.count)
-        place = np.concatenate([np.frombuffer(r.places, np.int64) for r in rows])
+        place = np.concatenate([np.frombuffer(r["places"], np.int64) for r in rows]) if rows else owner
         order = np.argsort(gram, kind="stable")
         self.gram, self.owner, self.place = gram[order], owner[order], place[order]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[gram & np.uint64(len(self.maybe) - 1)] = True
 
     def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every pair of a digest asked for and an entry with it."""
-        some = np.flatnonzero(self.maybe[g & np.uint64(len(self.maybe) - 1)])
-        lo, hi = np.searchsorted(self.gram, g[some], "left"), np.searchsorted(self.gram, g[some], "right")
-        return np.repeat(some, hi - lo), ragged_gather(lo, hi - lo)
+        lo, hi = np.searchsorted(self.gram, g, "left"), np.searchsorted(self.gram, g, "right")
+        return np.repeat(np.arange(len(g)), hi - lo), ragged_gather(lo, hi - lo)
 
 
 def _consistent(a: np.ndarray, b: np.ndarray) -> bool:
@@ -225,104 +305,157 @@ def _aligned(here: np.ndarray, there: np.ndarray, words: np.ndarray, slots: np.n
     return here, there
 
 
-def _matches(part: _Part, texts: list[str], size: int, coverage: float) -> list[list[tuple]]:
-    """For each text (item, windows hit, share of the item's windows, verbatim) of each item found."""
+def _digests(texts: list[str], sizes: list[int], lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and digest of all windows of all readings, and of all runs."""
+    w = _words.words(texts)
+    text, gram = [], []
+    for length in lengths:
+        at, g = runs(w, length)
+        text.append(w.text[at])
+        gram.append(g)
+    for reading, t in enumerate(readings(w)):
+        for size in sizes:
+            at, g = windows(t, reading, size, 1)
+            text.append(t.text[at])
+            gram.append(g)
+    return (np.concatenate(text), np.concatenate(gram)) if text else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _matches(part: _Part, texts: list[str], coverage: float) -> list[list[tuple]]:
+    """For each text (item, share of the item's windows, verbatim) of each item found."""
     w = _words.words(texts)
     best: dict[tuple, tuple] = {}
 
     def keep(text: int, row: tuple) -> None:
         old = best.get((text, row[0]))
-        if old is None or (old[2], old[3]) < (row[2], row[3]):
+        if old is None or old[1:] < row[1:]:
             best[text, row[0]] = row
 
-    for length in np.unique(part.length[part.length > 0]).tolist():
-        at, g = runs(w, length)
-        k, j = part.hits(g)
-        exact = part.length[part.owner[j]] == length
-        found = np.unique(np.stack((w.text[at[k[exact]]], part.owner[j[exact]])), axis=1)
-        for text, owner in found.T.tolist():
-            keep(text, (part.items[owner], 0, 0.0, True))
     for reading, t in enumerate(readings(w)):
-        at, g = windows(t, reading, size)
-        k, j = part.hits(g)
-        j, k = j[part.length[part.owner[j]] == 0], k[part.length[part.owner[j]] == 0]
-        text, owner = t.text[at[k]], part.owner[j]
-        order = np.lexsort((owner, text))
-        text, owner, doc, item = text[order], owner[order], at[k[order]], part.place[j[order]]
-        cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(owner) != 0)) + 1
-        cut = np.concatenate(([0], cut, [len(text)])) if len(text) else np.zeros(1, np.int64)
-        enough = np.flatnonzero(np.diff(cut) >= coverage * part.count[owner[cut[:-1]]]) if len(text) else []
-        for c in enough:
-            one = slice(cut[c], cut[c + 1])
-            x, o = int(text[cut[c]]), int(owner[cut[c]])
-            need = coverage * part.count[o]
-            if len(np.unique(item[one])) < need:
-                continue
-            words, slots = part.words[o], part.slots[o]
-            lo, hi = np.searchsorted(t.text, [x, x + 1])
-            for d, i in _lines(doc[one], item[one], size, len(words), need):
-                both = np.unique(np.stack((np.add.outer(d, np.arange(size)).ravel(), np.add.outer(i, np.arange(size)).ravel())), axis=1)
-                here, there = both[0], both[1]
-                verbatim = bool((words[there] == t.value[here]).all()) and len(np.unique(d - i)) == 1
-                here, there = _aligned(here, there, words, slots, t.value, lo, hi)
-                s = slots[there]
-                if _consistent(words[there][s], t.value[here][s]):
-                    keep(x, (part.items[o], len(d), len(d) / part.count[o], verbatim))
-                    if len(d) == part.count[o]:
-                        break
+        for size in np.unique(part.size).tolist():
+            at, g = windows(t, reading, size, 1)
+            k, j = part.hits(g)
+            own = part.size[part.owner[j]] == size
+            k, j = k[own], j[own]
+            text, owner = t.text[at[k]], part.owner[j]
+            order = np.lexsort((owner, text))
+            text, owner, doc, item = text[order], owner[order], at[k[order]], part.place[j[order]]
+            cut = np.flatnonzero((np.diff(text) != 0) | (np.diff(owner) != 0)) + 1
+            cut = np.concatenate(([0], cut, [len(text)])) if len(text) else np.zeros(1, np.int64)
+            enough = np.flatnonzero(np.diff(cut) >= coverage * part.count[owner[cut[:-1]]]) if len(text) else []
+            for c in enough:
+                one = slice(cut[c], cut[c + 1])
+                x, o = int(text[cut[c]]), int(owner[cut[c]])
+                need = coverage * part.count[o]
+                if len(np.unique(item[one])) < need:
+                    continue
+                words, slots = part.words[o], part.slots[o]
+                lo, hi = np.searchsorted(t.text, [x, x + 1])
+                for d, i in _lines(doc[one], item[one], size, len(words), need):
+                    both = np.unique(np.stack((np.add.outer(d, np.arange(size)).ravel(), np.add.outer(i, np.arange(size)).ravel())), axis=1)
+                    here, there = both[0], both[1]
+                    verbatim = bool((words[there] == t.value[here]).all()) and len(np.unique(d - i)) == 1
+                    here, there = _aligned(here, there, words, slots, t.value, lo, hi)
+                    s = slots[there]
+                    if _consistent(words[there][s], t.value[here][s]):
+                        keep(x, (part.items[o], len(d) / part.count[o], verbatim))
+                        if len(d) == part.count[o]:
+                            break
     found: list[list[tuple]] = [[] for _ in texts]
     for (text, _), row in sorted(best.items()):
         found[text].append(row)
     return found
 
 
-def _shared_parts(bench: DataFrame, item_col: str, item_text: str, size: int) -> list:
-    grams = materialise(benchmark_windows(bench, item_col, item_text, size), "benchmark")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(1, -(-total // PART_WINDOWS))
-    shared = []
-    for k in range(parts):
-        rows = grams.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).collect()
-        if rows:
-            shared.append(bench.sparkSession.sparkContext.broadcast(_Part(rows)))
-    discard(grams)
-    return shared
-
+def _screened(df: DataFrame, rows: DataFrame, keys: DataFrame, text_col: str, carried: list) -> DataFrame:
+    """row (struct of the carried columns), and for texts with a window in the filter: key (digest of the text), text and grams."""
+    spark = df.sparkSession
+    sizes = sorted(r["size"] for r in rows.where(F.col("reading") != VERBATIM).select("size").distinct().collect())  # WINDOW values at most
+    lengths = sorted(r["size"] for r in rows.where(F.col("reading") == VERBATIM).select("size").distinct().collect())  # RUN values at most
+    shared = spark.sparkContext.broadcast(_filter(keys).words)
 
-def _found(shared: list, texts: list[str], size: int, coverage: float) -> list[list[tuple]]:
-    found: list[list[tuple]] = [[] for _ in texts]
-    for part in shared:
-        for a, b in zip(found, _matches(part.value, texts, size, coverage), strict=True):
-            a.extend(b)
-    return found
+    def run(batches):
+        keep = _Filter(shared.value)
+        for batch in batches:
+            for piece in slices(batch, "text", 2 << 20):
+                text, gram = _digests(texts_of(piece, "text"), sizes, lengths)
+                at = keep(gram)
+                text, gram = text[at], gram[at]
+                order = np.lexsort((gram, text))
+                text, gram = text[order], gram[order]
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])
+                text, gram = text[new], gram[new]
+                ptr = np.searchsorted(text, np.arange(piece.num_rows + 1)).astype(np.int32)
+                hit = pa.array(np.diff(ptr) > 0)
+                grams = pa.ListArray.from_arrays(pa.array(ptr), pa.array(gram.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([piece.column("row"), *(pc.if_else(hit, x, None) for x in (piece.column("key"), piece.column("text"), grams))], ["row", "key", "text", "grams"])
+
+    source = df.select(F.struct(*carried).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    schema = T.StructType([source.schema["row"], T.StructField("key", T.BinaryType()), T.StructField("text", T.StringType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    return materialise(source.select("row", "key", "text").mapInArrow(run, schema), "screened")
+
+
+def _salt(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(F.lit(11), by), F.lit(SALTS)).cast("int"))
+
+
+def _verdicts(screened: DataFrame, rows: DataFrame, keys: DataFrame, coverage: float) -> DataFrame:
+    """(key, item, verbatim) of the texts that hold an item."""
+    texts = materialise(screened.where("key is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("grams").alias("grams")), "texts")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    asked = _salt(texts.select("key", F.explode("grams").alias("gram")), "key")
+    spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = materialise(asked.join(spread, ["gram", "salt"]).groupBy("key", "item").agg(F.max("verbatim").alias("verbatim"), F.min("verbatim").alias("run_only")), "pairs")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    aligned = pairs.where("not run_only")
+    left = texts.join(aligned.select("key").distinct(), "key", "left_semi").select(bucket, "key", "text")
+    right = aligned.select(bucket, "item").distinct().join(rows.where(F.col("reading") != VERBATIM), "item")
+
+    def align(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        part = _Part(b.to_pylist())
+        keys_, texts_ = a.column("key").to_pylist(), a.column("text").to_pylist()
+        for lo in range(0, len(texts_), 64):
+            for key, found in zip(keys_[lo : lo + 64], _matches(part, texts_[lo : lo + 64], coverage), strict=True):
+                out += [{"key": key, "item": item, "verbatim": verbatim} for item, _, verbatim in found]
+        return pa.Table.from_pylist(out, pa.schema([("key", pa.binary()), ("item", pa.int64()), ("verbatim", pa.bool_())]))
+
+    found = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(align, "key binary, item bigint, verbatim boolean")
+    found = found.unionByName(pairs.where("verbatim").select("key", "item", "verbatim"))
+    out = materialise(found.groupBy("key", "item").agg(F.max("verbatim").alias("verbatim")), "found")
+    discard(texts, pairs)
+    return out
 
 
 def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """One row per row: id, contaminated, item_ids (sorted), verbatim_ids (those found word for word)."""
-    shared = _shared_parts(bench, item_col, item_text, size)
-
-    def run(batches):
-        for batch in batches:
-            for piece in slices(batch, text_col, 2 << 20):
-                found = _found(shared, texts_of(piece, text_col), size, coverage)
-                items = [sorted({r[0] for r in f}) for f in found]
-                verbatim = [sorted({r[0] for r in f if r[3]}) for f in found]
-                yield pa.RecordBatch.from_arrays([piece.column(id_col), pa.array([bool(i) for i in items], pa.bool_()), pa.array(items, pa.list_(pa.int64())), pa.array(verbatim, pa.list_(pa.int64()))], [id_col, "contaminated", "item_ids", "verbatim_ids"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, contaminated boolean, item_ids array<bigint>, verbatim_ids array<bigint>")
+    rows = materialise(benchmark_windows(bench, item_col, item_text, size), "benchmark")
+    keys = _keys(rows, coverage)
+    screened = _screened(df, rows, keys, text_col, [F.col(id_col)])
+    found = _verdicts(screened, rows, keys, coverage)
+    discard(rows, keys)
+    listed = found.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.array_sort(F.collect_set(F.when(F.col("verbatim"), F.col("item")))).alias("verbatim_ids"))
+    # a text in very many documents isn't one key: its answer goes to salted shares
+    hit = _salt(screened.where("key is not null").select(F.col("row")[id_col].alias(id_col), "key"), id_col)
+    listed = hit.select("key", "salt").distinct().join(listed, "key")
+    none = F.array().cast("array<bigint>")
+    hit = hit.join(listed, ["key", "salt"], "left").select(id_col, F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("verbatim_ids", none).alias("verbatim_ids"))
+    return hit.unionByName(screened.where("key is null").select(F.col("row")[id_col].alias(id_col), F.lit(False).alias("contaminated"), none.alias("item_ids"), none.alias("verbatim_ids")))
 
 
 def keep_clean(df: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``df``, with all their columns, in which no item is found."""
-    shared = _shared_parts(bench, item_col, item_text, size)
-
-    def run(batches):
-        for batch in batches:
-            for piece in slices(batch, text_col, 2 << 20):
-                yield piece.filter(pa.array([not f for f in _found(shared, texts_of(piece, text_col), size, coverage)], pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+    rows = materialise(benchmark_windows(bench, item_col, item_text, size), "benchmark")
+    keys = _keys(rows, coverage)
+    screened = _screened(df, rows, keys, text_col, [F.col(f"`{c}`") for c in df.columns])
+    found = _verdicts(screened, rows, keys, coverage).select("key").distinct()
+    discard(rows, keys)
+    hit = screened.where("key is not null").select("row", "key").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    clean = hit.join(found, ["key", "salt"], "left_anti").select("row.*").unionByName(screened.where("key is null").select("row.*"))
+    return clean.select([f"`{c}`" for c in df.columns])
 
 
 def op3_decontaminate(spark, sf_dir) -> DataFrame:
