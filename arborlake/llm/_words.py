@@ -35,10 +35,10 @@ def inverse_powers(n: int, base: int = BASE) -> np.ndarray:
     return powers(n, pow(base, -1, 1 << 64))
 
 
-def sums(data: np.ndarray) -> np.ndarray:
-    """Running sums of (byte + 1) * BASE ** place: differences, times an inverse power, are hashes of substrings."""
+def sums(data: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Running sums of (byte + 1) * base ** place: differences, times an inverse power, are hashes of substrings."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), base)[: len(data)], out=out[1:])
     return out
 
 

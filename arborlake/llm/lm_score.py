@@ -1,47 +1,60 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model holds smoothed n-grams: a state is a history, its arcs are the words seen after it, and a failure arc leads to the shorter
-history at the cost MU / (c(h) + MU). An arc weighs (c(hw) + MU * P(w | shorter)) / (c(h) + MU); the lowest state gives
-(c + 0.5) / (N + 0.5 * (V + 1)). Each state's weights sum to one, with a share for one unknown word.
-
-Texts are taken in blocks. A block sends the digests of its distinct n-grams with their counts in training texts to buckets, and
-gets the corpus counts back: that is the part of the automaton that its texts can reach, so no worker and no driver holds the
-whole one, and it has no size limit. One pass from left to right then carries the state and adds the weights of the arcs and failure
-arcs; it takes all places of a block at once, as the state at a place is the history that ends there.
-
-Nulls are empty texts, which have one end token. Rows with a null id are scored but not learned from, and aren't held out. Repeated
-ids are separate texts. An empty table gives an empty result. Results hold only the columns listed, so others can't clash.
+The model holds smoothed n-grams up to ORDER words: a state is a history, its arcs are the words seen after it, and a failure arc leads to
+the shorter history at the cost MU / (c(h) + MU). An arc weighs (c(hw) + MU * P(w | shorter)) / (c(h) + MU); the lowest state has an arc
+for every word, (c + 0.5) / (N + 0.5 * (V + 1)). Each state's weights sum to one, with a share for one unknown word.
+
+Texts are taken in blocks. A block asks for the corpus counts of its distinct n-grams and builds the part of the automaton that its
+texts can reach, so no worker and no driver holds the whole one, and it has no size limit. One traversal from left to right then
+carries a state through each text and adds the weights of the arcs and failure arcs that it takes. After ORDER - 1 words the state doesn't
+depend on where the traversal began, so long texts are cut into segments that walk side by side after that many words.
+
+Counts meet in two steps: the n-grams of a section of blocks are folded in buckets, and the folded ones of all sections are added up; the
+sums travel back the same way. So an n-gram that stands in every block costs a bucket one entry for each section at most.
+Words are told apart by 128 bits, so known words and base scores don't rest on 64-bit digests; longer n-grams are, by 64 bits.
+
+Nulls are empty texts, which have one end token; very long texts are a block of their own. Rows with a null id are scored but not learned
+from, and aren't held out. Repeated ids are separate texts. An empty table gives an empty result. Results hold only the columns
+listed, so others can't clash.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _words
-from ._common import held_out, materialise, mix64, plan_bytes, slices, table, texts_of
+from ._common import discard, held_out, materialise, mix64, plan_bytes, ragged_gather, release, slices, table, texts_of
 from .substring_dedup import BUCKET_BYTES, LEAST_BUCKETS, _cuts
 
-ORDER = 2
+ORDER = 3
 MU = 4.0
+BLOCK_BYTES = 3 << 20
+#: Text bytes of the blocks that are folded together.
+SECTION_BYTES = 1 << 30
+#: Words of a text that one step of the traversal takes in turn.
+SEGMENT = 64
+SECOND_BASE = 0xC2B2AE3D27D4EB4F | 1
 START, END = np.uint64(0x517CC1B727220A95), np.uint64(0x2545F4914F6CDD1D)
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(raw: list[bytes], base: int = _words.BASE) -> tuple[np.ndarray, np.ndarray]:
     """Digests of a start mark, the words and an end mark of each text, and where each text starts (and the end)."""
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8) if raw else np.zeros(0, np.uint8)
     begin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw]))).astype(np.int64)
     w = ~BLANK[data]
     start = np.flatnonzero(w & ~np.concatenate(([False], w[:-1])))
     end = np.flatnonzero(w & ~np.concatenate((w[1:], [False]))) + 1
-    total = _words.sums(_words.LOWER[data])
-    h = mix64((total[end] - total[start]) * _words.inverse_powers(len(data))[start]) if len(start) else np.zeros(0, np.uint64)
+    total = _words.sums(_words.LOWER[data], base)
+    h = mix64((total[end] - total[start]) * _words.inverse_powers(len(data), base)[start]) if len(start) else np.zeros(0, np.uint64)
     each = np.diff(np.searchsorted(start, begin))
     ptr = np.concatenate(([0], np.cumsum(each + 2)))
     out = np.zeros(ptr[-1], np.uint64)
@@ -64,110 +77,259 @@ def grams(h: np.ndarray, ptr: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _blocks(df: DataFrame, id_col: str, text_col: str, remainder: int) -> DataFrame:
+def _blocks(df: DataFrame, id_col: str, text_col: str, remainder: int, sections: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
         k = TaskContext.get().partitionId() << 24
-        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
         for batch in batches:
-            for part in slices(batch, text_col, 3 << 20):
-                raw = [t.encode("utf-8", "surrogatepass") for t in texts_of(part, text_col)]
-                yield pa.RecordBatch.from_pylist([{"block": k, "ids": part.column(id_col).to_pylist(), "held": part.column("held").to_pylist(), "sizes": list(map(len, raw)), "data": b"".join(raw)}], schema)
+            for part in slices(batch, "text", BLOCK_BYTES):
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts_of(part, "text")]
+                whole = pa.array([0, len(raw)], pa.int32())
+                one = lambda x: pa.ListArray.from_arrays(whole, x)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(k * 0x9E3779B1 >> 7) % sections], pa.int64()), one(part.column("id")), one(part.column("held")), one(pa.array(list(map(len, raw)), pa.int64())), pa.array([b"".join(raw)], pa.binary())], ["block", "section", "ids", "held", "sizes", "data"])
                 k += 1
 
-    source = df.select(F.col(id_col).cast("long").alias(id_col), text_col, held_out(id_col, remainder).alias("held"))
-    return source.mapInArrow(run, "block bigint, ids array<bigint>, held array<boolean>, sizes array<bigint>, data binary")
+    source = df.select(F.col(id_col).alias("id"), held_out(id_col, remainder).alias("held"), F.col(text_col).alias("text"))
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("section", T.LongType()), T.StructField("ids", T.ArrayType(df.schema[id_col].dataType)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
+    return source.mapInArrow(run, schema)
 
 
-def _texts(r: dict) -> list[bytes]:
-    ends = np.cumsum(r["sizes"]).tolist()
-    return [r["data"][a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+def _pack(n: np.ndarray) -> bytes:
+    """Mostly small counts: how many, a byte each, then those of 255 and more in full."""
+    return len(n).to_bytes(4, "little") + np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
 
 
-def _folded(g: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct digests, their counts in training texts, and the number of each place's digest."""
-    distinct, number = np.unique(g, return_inverse=True)
-    return distinct, np.bincount(number[learned], minlength=len(distinct)), number
-
+def _unpack(raw: bytes) -> np.ndarray:
+    m = int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(raw, np.uint8, m, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", -1, 4 + m)
+    return out
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, held_remainder: int = 1, mu: float = MU) -> DataFrame:
-    """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows whose crc32 of the id, modulo 5, is
-    held_remainder are not learned from."""
-    buckets = max(LEAST_BUCKETS, plan_bytes(df.select(id_col, text_col), text_col) // BUCKET_BYTES)
-    blocks = materialise(_blocks(df, id_col, text_col, held_remainder), "lm-blocks")
 
-    def places(r: dict):
-        h, ptr = tokens(_texts(r))
-        mark = np.zeros(len(h), bool)
-        mark[ptr[:-1]] = True
-        learned = np.repeat(np.array([x is False for x in r["held"]], bool), np.diff(ptr)) if len(h) else mark
-        return grams(h, ptr, order), ptr, mark, learned
+def _distinct(g: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct digests in order, where each stands first, and the number of each place's digest; told apart by check, too, if given."""
+    distinct, first, number = np.unique(g, return_index=True, return_inverse=True)
+    if check is not None and len(g) and (check != check[first][number]).any():
+        order = np.lexsort((check, g))
+        new = np.ones(len(g), bool)
+        new[1:] = (g[order][1:] != g[order][:-1]) | (check[order][1:] != check[order][:-1])
+        first = order[new]
+        number = np.empty(len(g), np.int64)
+        number[order] = np.cumsum(new) - 1
+        distinct = g[first]
+    return distinct, first, number
+
+
+class _Places:
+    """The n-grams of a block: for each length the digest that ends at each place, which places have one, and the distinct ones."""
+
+    def __init__(self, r: dict, order: int, levels):
+        ends = np.cumsum(r["sizes"]).tolist()
+        raw = [r["data"][a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+        h, self.ptr = tokens(raw)
+        check = tokens(raw, SECOND_BASE)[0] if 0 in levels else None
+        self.mark = np.zeros(len(h), bool)
+        self.mark[self.ptr[:-1]] = True
+        held = np.array([x is False for x in r["held"]], bool)
+        self.learned = np.repeat(held, np.diff(self.ptr)) if len(h) else self.mark
+        self.use, self.distinct, self.first, self.number, self.check = {}, {}, {}, {}, {}
+        for k, g in enumerate(grams(h, self.ptr, order)):
+            if k in levels:
+                self.use[k] = np.flatnonzero(~self.mark if k == 0 else g != 0)
+                of = check[self.use[k]] if k == 0 else None
+                self.distinct[k], first, self.number[k] = _distinct(g[self.use[k]], of)
+                self.first[k] = self.use[k][first]
+                self.check[k] = of[first] if k == 0 else None
+
+
+def _counts(blocks: DataFrame, order: int, levels: tuple, buckets: int) -> DataFrame:
+    """(level, bucket, block, n, total, kinds): the corpus counts of the distinct n-grams of each block, in their order."""
 
     def send(batches):
-        schema = pa.schema([("level", pa.int64()), ("bucket", pa.int64()), ("block", pa.int64()), ("gram", pa.binary()), ("n", pa.binary())])
+        schema = pa.schema([("section", pa.int64()), ("level", pa.int64()), ("bucket", pa.int64()), ("block", pa.int64()), ("gram", pa.binary()), ("check", pa.binary()), ("n", pa.binary())])
         for batch in batches:
             for r in batch.to_pylist():
-                levels, _, mark, learned = places(r)
-                for k, g in enumerate(levels):
-                    use = ~mark if k == 0 else g != 0
-                    distinct, n, _ = _folded(g[use], learned[use])
-                    n = n.astype(np.uint32)
-                    rows = [{"level": k, "bucket": b, "block": r["block"], "gram": distinct[x:y].tobytes(), "n": n[x:y].tobytes()} for b, x, y in _cuts(distinct, buckets)]
+                p = _Places(r, order, levels)
+                for k in levels:
+                    n = np.bincount(p.number[k][p.learned[p.use[k]]], minlength=len(p.distinct[k]))
+                    g, check = p.distinct[k], p.check[k]
+                    rows = [{"section": r["section"], "level": k, "bucket": b, "block": r["block"], "gram": g[x:y].tobytes(), "check": b"" if check is None else check[x:y].tobytes(), "n": _pack(n[x:y])} for b, x, y in _cuts(g, buckets)]
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def count(t: pa.Table) -> pa.Table:
+    def together(t: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Columns; first entry of each distinct n-gram, its number for each entry, its count, all checks, and where rows of the table end."""
         r = t.to_pydict()
         g = np.frombuffer(b"".join(r["gram"]), np.uint64)
-        n = np.frombuffer(b"".join(r["n"]), np.uint32).astype(np.int64)
-        order_ = np.argsort(g, kind="stable")
-        new = np.ones(len(g), bool)
-        new[1:] = g[order_][1:] != g[order_][:-1]
-        sums = np.add.reduceat(n[order_], np.flatnonzero(new))
-        every = np.empty(len(g), np.int64)
-        every[order_] = sums[np.cumsum(new) - 1]
-        ends = np.cumsum([len(x) // 8 for x in r["gram"]]).tolist()
+        check = np.frombuffer(b"".join(r["check"]), np.uint64)
+        n = np.concatenate([_unpack(x) for x in r["n"]])
+        _, first, number = _distinct(g, check if len(check) else None)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, number, n)
+        return r, g, check, first, number, total, np.cumsum([len(x) // 8 for x in r["gram"]]).tolist()
+
+    folded = pa.schema([("section", pa.int64()), ("level", pa.int64()), ("bucket", pa.int64()), ("block", pa.int64()), ("gram", pa.binary()), ("check", pa.binary()), ("n", pa.binary())])
+
+    def fold(t: pa.Table) -> pa.Table:
+        r, g, check, first, number, total, ends = together(t)
+        one = {"section": r["section"][0], "level": r["level"][0], "bucket": r["bucket"][0]}
+        rows = [one | {"block": -1, "gram": g[first].tobytes(), "check": check[first].tobytes() if len(check) else b"", "n": _pack(total)}]
+        for block, a, b in zip(r["block"], [0, *ends[:-1]], ends, strict=True):  # numbers rise inside a block
+            rows.append(one | {"block": block, "gram": b"", "check": b"", "n": _pack(np.diff(number[a:b], prepend=0))})
+        return pa.Table.from_pylist(rows, folded)
+
+    def add(t: pa.Table) -> pa.Table:
+        r, _, _, _, number, total, ends = together(t)
         m = t.num_rows
-        return pa.table({"level": r["level"], "bucket": r["bucket"], "block": r["block"], "n": pa.array([every[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()),
-                         "total": [int(sums.sum())] + [0] * (m - 1), "kinds": [int((sums > 0).sum())] + [0] * (m - 1)})
+        return pa.table({"section": pa.array(r["section"], pa.int64()), "level": pa.array(r["level"], pa.int64()), "bucket": pa.array(r["bucket"], pa.int64()), "n": pa.array([_pack(total[number[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary()),
+                         "total": [int(total.sum())] + [0] * (m - 1), "kinds": [int((total > 0).sum())] + [0] * (m - 1)})
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        total = _unpack(right.column("n")[0].as_py())
+        n = [_pack(total[np.cumsum(_unpack(x))]) for x in left.column("n").to_pylist()]
+        of = right.to_pydict()
+        rows = pa.table({"level": left.column("level"), "bucket": left.column("bucket"), "block": left.column("block"), "n": pa.array(n, pa.binary())})
+        return rows.append_column("total", pa.array(of["total"] + [0] * (len(n) - 1))).append_column("kinds", pa.array(of["kinds"] + [0] * (len(n) - 1)))
+
+    shape = "section bigint, level bigint, bucket bigint, block bigint, gram binary, check binary, n binary"
+    sent = blocks.select("block", "section", "held", "sizes", "data").mapInArrow(send, shape)
+    local = materialise(sent.groupBy("section", "level", "bucket").applyInArrow(fold, shape), "lm-sections")
+    added = materialise(local.where("block < 0").groupBy("level", "bucket").applyInArrow(add, "section bigint, level bigint, bucket bigint, n binary, total bigint, kinds bigint"), "lm-totals")
+    by = ("section", "level", "bucket")
+    out = local.where("block >= 0").select(*by, "block", "n").groupBy(*by).cogroup(added.groupBy(*by)).applyInArrow(answer, "level bigint, bucket bigint, block bigint, n binary, total bigint, kinds bigint")
+    out = materialise(out, "lm-counts")
+    discard(local, added)
+    return out
+
+
+class Reachable:
+    """The states and arcs that the texts of a block can reach. n: for each length the corpus counts of the block's distinct n-grams."""
+
+    def __init__(self, p: _Places, order: int, n: list[np.ndarray], texts: int, floor: float, mu: float):
+        size = len(p.mark)
+        # of each place and length: the n-gram's count, and the state that it is (the lowest, 0, where it isn't seen in training)
+        state = [np.zeros(size, np.int64) for _ in range(order)]
+        count = [np.zeros(size, np.int64) for _ in range(order)]
+        self.fail, self.fail_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+        states = 1
+        for k in range(order):
+            count[k][p.use[k]] = n[k][p.number[k]]
+            if k == 0:
+                count[0][p.mark] = texts
+            if k == order - 1:
+                state[k] = state[k - 1] if k else state[k]  # histories have fewer than ORDER words
+                break
+            seen = n[k] > 0
+            own = np.zeros(len(seen), np.int64)
+            own[seen] = states + np.arange(seen.sum())
+            at = p.first[k][seen]
+            self.fail.append(state[k - 1][at] if k else np.zeros(len(at), np.int64))
+            self.fail_weight.append(np.log10(mu / (n[k][seen] + mu)))
+            states += int(seen.sum())
+            state[k][p.use[k]] = own[p.number[k]]
+            if k == 0 and texts:
+                state[0][p.mark] = states
+                self.fail.append(np.zeros(1, np.int64))
+                self.fail_weight.append(np.log10([mu / (texts + mu)]))
+                states += 1
+            if k:  # the state of a place is that of its longest seen history
+                state[k] = np.where(state[k] > 0, state[k], state[k - 1])
+        self.start = int(state[0][0]) if size and texts and order > 1 else 0
+        self.fail, self.fail_weight = np.concatenate(self.fail), np.concatenate(self.fail_weight)
+        self.words = len(n[0])
+        self.word = np.full(size, -1)
+        self.word[p.use[0]] = p.number[0]
+        key, weight, target = [], [], []
+        lower = np.zeros(size)
+        for k in range(order):
+            at = p.first[k] if k == 0 else p.first[k][n[k] > 0]
+            if k == 0:
+                chance = (count[0] + 0.5) / floor
+                source = np.zeros(len(at), np.int64)
+            else:
+                before = np.concatenate(([0], count[k - 1][:-1]))
+                chance = np.where(count[k] > 0, (count[k] + mu * lower) / (before + mu), 0.0)
+                # the history is the n-gram that ends one place before; it is seen, as a longer one is
+                source = state[min(k - 1, order - 2)][at - 1]
+            key.append(source * self.words + self.word[at])
+            weight.append(np.log10(chance[at]))
+            target.append(state[min(k, max(order - 2, 0))][at] if order > 1 else np.zeros(len(at), np.int64))
+            if k:  # where the n-gram isn't seen, the chance by way of the failure arc
+                chance = np.where(count[k] > 0, chance, lower * mu / (before + mu))
+            lower = chance
+        key, weight, target = map(np.concatenate, (key, weight, target))
+        order_ = np.argsort(key, kind="stable")
+        self.key, self.weight, self.target = key[order_], weight[order_], target[order_]
+
+    def walk(self, ptr: np.ndarray, order: int) -> np.ndarray:
+        """Summed weights of each text."""
+        n = np.diff(ptr) - 1  # words and the end
+        parts = -(-n // SEGMENT)
+        text = np.repeat(np.arange(len(n)), parts)
+        nth = ragged_gather(np.zeros(len(n), np.int64), parts)
+        first = ptr[:-1][text] + 1 + nth * SEGMENT
+        stop = np.minimum(first + SEGMENT, ptr[1:][text])
+        state = np.where(nth == 0, self.start, 0)
+        at = np.where(nth == 0, first, np.maximum(first - (order - 1), ptr[:-1][text] + 1))
+        out = np.zeros(len(text))
+        while True:
+            live = np.flatnonzero(at < stop)
+            if not len(live):
+                break
+            counts = at[live] >= first[live]
+            todo = np.arange(len(live))
+            s, word, gain = state[live], self.word[at[live]], np.zeros(len(live))
+            while len(todo):
+                key = s[todo] * self.words + word[todo]
+                arc = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                hit = self.key[arc] == key
+                gain[todo[hit]] += self.weight[arc[hit]]
+                s[todo[hit]] = self.target[arc[hit]]
+                todo = todo[~hit]  # by the failure arc to the shorter history
+                gain[todo] += self.fail_weight[s[todo]]
+                s[todo] = self.fail[s[todo]]
+            state[live] = s
+            out[live] += np.where(counts, gain, 0.0)
+            at[live] += 1
+        return np.bincount(text, weights=out, minlength=len(n))
 
-    sent = blocks.mapInArrow(send, "level bigint, bucket bigint, block bigint, gram binary, n binary")
-    counts = materialise(sent.groupBy("level", "bucket").applyInArrow(count, "level bigint, bucket bigint, block bigint, n binary, total bigint, kinds bigint"), "lm-counts")
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, held_remainder: int = 1, mu: float = MU) -> DataFrame:
+    """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows whose crc32 of the id, modulo 5, is
+    held_remainder are not learned from."""
+    size = plan_bytes(df.select(id_col, text_col), text_col)
+    buckets, sections = max(LEAST_BUCKETS, min(size, SECTION_BYTES) // BUCKET_BYTES), -(-size // SECTION_BYTES) or 1
+    blocks = materialise(_blocks(df, id_col, text_col, held_remainder, int(sections)), "lm-blocks")
+    # words and pairs in one pass, each further length in its own: no more n-grams are on the way at once than that
+    passes = [tuple(range(min(2, order))), *((k,) for k in range(2, order))]
+    counts = [_counts(blocks, order, levels, int(buckets)) for levels in passes]
+    counts = reduce(DataFrame.unionByName, counts)
     total, kinds = counts.where("level = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     trained = df.where(~held_out(id_col, held_remainder)).count()
     floor = total + 0.5 * (kinds + 1)
 
     def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+        kind = left.schema.field("ids").type.value_type
+        schema = pa.schema([(id_col, kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         answers = sorted(right.select(["level", "bucket", "n"]).to_pylist(), key=lambda x: (x["level"], x["bucket"]))
+        n = [np.concatenate([_unpack(x["n"]) for x in answers if x["level"] == k] or [np.zeros(0, np.int64)]) for k in range(order)]
         out = []
-        for r in left.to_pylist():
-            levels, ptr, mark, learned = places(r)
-            low, history, base = None, None, None
-            for k, g in enumerate(levels):
-                use = ~mark if k == 0 else g != 0
-                n = np.zeros(len(g), np.int64)
-                _, _, number = _folded(g[use], learned[use])
-                n[use] = np.frombuffer(b"".join(x["n"] for x in answers if x["level"] == k), np.int64)[number]
-                if k == 0:
-                    known = n > 0
-                    low = (n + 0.5) / floor
-                    base = np.log10(low)
-                    n[mark] = trained
-                else:
-                    before = np.concatenate(([0], history[:-1]))
-                    low = np.where(use, (n + mu * low) / (before + mu), low)
-                history = n
-            best = np.log10(low)
-            best[mark] = base[mark] = 0.0
-            known[mark] = False
-            begin = ptr[:-1]
-            got = [np.add.reduceat(x, begin) for x in (known.astype(np.int64), base, best)]
-            out.append(pa.table([pa.array(r["ids"], pa.int64()), pa.array([bool(x) for x in r["held"]]), pa.array(np.diff(ptr) - 1), pa.array(got[0]), pa.array(np.full(len(begin), total, np.int64)), pa.array(got[1]), pa.array(got[2])], schema=schema))
+        for r in left.drop_columns(["ids"]).to_pylist():
+            p = _Places(r, order, range(order))
+            known, base = np.zeros(len(p.mark), np.int64), np.zeros(len(p.mark))
+            known[p.use[0]] = (n[0] > 0)[p.number[0]]
+            base[p.use[0]] = np.log10((n[0] + 0.5) / floor)[p.number[0]]
+            sums = [np.add.reduceat(x, p.ptr[:-1]) for x in (known, base)]
+            best = Reachable(p, order, n, trained, floor, mu).walk(p.ptr, order)
+            ids = left.column("ids").combine_chunks().flatten()
+            out.append(pa.table([ids, pa.array([bool(x) for x in r["held"]]), pa.array(np.diff(p.ptr) - 1), pa.array(sums[0]), pa.array(np.full(len(best), total, np.int64)), pa.array(sums[1]), pa.array(best)], schema=schema))
+            del p
+        release()
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(weigh, f"`{id_col}` bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    shape = [df.schema[id_col], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]
+    return blocks.drop("section").groupBy("block").cogroup(counts.select("block", "level", "bucket", "n").groupBy("block")).applyInArrow(weigh, T.StructType(shape))
 
 
 class BackoffAutomaton:

@@ -1,5 +1,6 @@
 """Learned operators: plain models, held-out accuracy, grammar cases; the pipeline as a whole."""
 
+import random
 import zlib
 
 import numpy as np
@@ -24,6 +25,25 @@ def test_lm_against_the_plain_automaton(spark):
             assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
 
 
+def test_lm_over_sections_and_segments(spark, monkeypatch):
+    """Many sections and buckets, one block a text, texts longer than a segment, text ids, digests that collide in 64 bits."""
+    monkeypatch.setattr(lm_score, "SECTION_BYTES", 1 << 10)
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 1 << 8)
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 64)
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(f"t{k}", " ".join(r.choices(words, k=r.choice([0, 1, 3, 64, 65, 200])))) for k in range(60)]
+    got = {x.doc_id: x for x in lm_score.score(spark.createDataFrame(rows, "doc_id string, text string").repartition(5)).collect()}
+    model = lm_score.BackoffAutomaton([t for i, t in rows if zlib.crc32(i.encode()) % 5 != 1], lm_score.ORDER)
+    for i, t in rows:
+        assert got[i].score == pytest.approx(model.score(t)) and got[i].n_tokens == len(model.words(t))
+    g, c = np.array([5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    distinct, first, number = lm_score._distinct(g, c)
+    assert distinct.tolist() == [5, 5, 7] and first.tolist() == [0, 1, 2] and number.tolist() == [0, 1, 2, 0]
+    n = np.array([0, 3, 255, 254, 10**12])
+    assert lm_score._unpack(lm_score._pack(n)).tolist() == n.tolist()
+
+
 def test_lm_weights_sum_to_one():
     model = lm_score.BackoffAutomaton(["a b a", "b c"], 2)
     vocabulary = {k[0] for k in model.counts if len(k) == 1}
