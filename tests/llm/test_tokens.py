@@ -1,6 +1,7 @@
 """Token operators against the tokenizers library."""
 
 import hashlib
+import io
 import random
 import struct
 import zlib
@@ -74,8 +75,14 @@ def test_codec_with_any_lexicon(spark, library, texts):
 def test_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 10_001)
     assert (token_files.unpack(token_files.pack(ids, bits), len(ids), bits) == ids).all()
-    f = token_files.TokenFile(token_files.build_file([3, None], ids, np.array([0, 5000, 10_001]), 7, bits))
-    assert f.bits == bits and (f.tokens(4000, 9000) == ids[4000:9000]).all() and (f.document(1) == ids[5000:]).all()
+    out = io.BytesIO()
+    w = token_files.Writer(out, bits, 7)
+    w.add([3], ids[:5000], np.array([5000]))
+    w.add([None, 4], ids[5000:], np.array([5001, 0]))
+    w.close()
+    f = token_files.TokenFile(pa.BufferReader(out.getvalue()))
+    assert f.bits == bits and f.first == 7 and (f.tokens(4000, 9000) == ids[4000:9000]).all() and (f.document(1) == ids[5000:]).all() and not len(f.document(2))
+    assert f.doc_ids.tolist() == [3, 0, 4] and f.valid.tolist() == [1, 0, 1]
 
 
 def test_token_files(spark, docs, sf, library):
@@ -94,3 +101,37 @@ def test_odd_rows(spark, odd, empty, tmp_path):
     assert token_files.read(token_files.write(odd, where), where).count() == odd.count()
     assert token_counts.prefix_counts(empty).count() == bpe_codec.round_trip(empty).count() == 0
     assert token_files.read(token_files.write(empty, where), where).count() == 0
+
+
+def test_repeated_ids_have_one_order(spark, tmp_path, library, monkeypatch):
+    monkeypatch.setattr(token_files, "TASK_BYTES", 200)
+    monkeypatch.setattr(token_files, "READ_IDS", 5)
+    rows = [(k % 3 if k % 4 else None, f"text number {k} {'x ' * k}") for k in range(40)] + [(9, None), (9, ""), (9, "a")] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = []
+    for k, parts in enumerate((1, 7)):
+        where = f"file://{tmp_path}/{k}"
+        listed = token_files.write(df.repartition(parts), where)
+        assert listed.count() > 2
+        got.append(sorted(map(tuple, token_files.read(listed, where).collect()), key=lambda r: r[1]))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert [r[1] for r in got[0]] == np.concatenate(([0], np.cumsum([r[2] for r in got[0]])[:-1])).tolist()
+    want = sorted((i, zlib.crc32(b"".join(struct.pack("<I", x) for x in [*library.encode(t or "", add_special_tokens=False).ids, 2]))) for i, t in rows if i is not None)
+    assert sorted((r[0], r[3]) for r in got[0] if r[0] is not None) == want
+
+
+def test_long_pieces_and_special_strings(library):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abAB") for _ in range(3000)), "=" * 1000 + "-" * 700, "aa" * 400 + "  " + "<|endoftext|>" * 3 + " \n <|endoftext|>b", "é" * 400]
+    flat, ptr = token_counts.counter(bpe.default_path()).texts(texts)
+    for k, t in enumerate(texts):
+        counts = np.cumsum(flat[ptr[k] : ptr[k + 1]], dtype=np.int64)
+        at = sorted({*range(1, len(t) + 1, 97), *range(max(1, len(t) - 60), len(t) + 1)})
+        assert [int(counts[len(t[:j].encode()) - 1]) for j in at] == [len(e.ids) for e in library.encode_batch([t[:j] for j in at], add_special_tokens=False)]
+
+
+def test_frequent_pieces_by_whole_counts(spark):
+    """A piece that each small batch has once still counts."""
+    df = spark.createDataFrame([(k, f"often w{chr(97 + k % 26)}{k}") for k in range(200)], "doc_id int, text string").repartition(50)
+    assert b"often" in bpe_codec.frequent_pieces(df, n=1) or b" w" in bpe_codec.frequent_pieces(df, n=1)
+    assert set(bpe_codec.frequent_pieces(df, n=2)) >= {b"often"}
