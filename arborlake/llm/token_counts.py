@@ -4,7 +4,7 @@
 after ``last[p - len]``; the count at ``p`` is the count there plus one. One pass gives the exact count of every prefix, so
 truncation and budget questions need no further encoding.
 
-Nulls count as empty texts; rows with a null id, repeated ids and empty tables are passed through row by row. Only the id and
+Nulls count as empty texts; very long texts and pieces are counted whole; rows with a null id, repeated ids and empty tables are passed through row by row. Only the id and
 the columns listed here are returned, so other columns can't clash.
 """
 
@@ -75,6 +75,13 @@ def _edges_blank(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _bytes_of(change: np.ndarray) -> np.ndarray:
+    """One more byte takes away fewer tokens than the longest entry has bytes, so changes fit; checked, as vocabularies are parameters."""
+    if len(change) and np.abs(change).max() > 127:
+        raise OverflowError("a count changes by more than 127 within one byte")
+    return change.astype(np.int8)
+
+
 class PrefixCounter:
     def __init__(self, path: str):
         self.vocab = v = bpe.vocabulary(path)
@@ -130,16 +137,16 @@ class PrefixCounter:
             live = live[undo_x | undo_y]
         return out
 
-    def _by_steps(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Counts at every byte of the pieces (ends of prefixes), in the order of data."""
+    def _entries(self, data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All vocabulary entries inside the pieces: for each byte the number of the longest that ends there (-1: none), then of each entry
+        its token and the number of the next shorter one. inside: length of the prefix that ends with each byte."""
         n = len(data)
         total = self._sums(data)
-        inside = np.arange(n) - np.repeat(starts, sizes) + 1  # length of the prefix that ends with this byte
         head = np.full(n, -1, np.int64)
-        made: list[tuple[np.ndarray, np.ndarray]] = []
+        made: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
         count = 0
         where = np.arange(n)
-        for k in range(1, min(self.longest, int(sizes.max())) + 1):
+        for k in range(1, min(self.longest, int(inside.max())) + 1):
             where = where[inside[where] >= k]
             begin = where - (k - 1)
             got = self.find((total[where + 1] - total[begin]) * self.inverse[begin])
@@ -150,8 +157,13 @@ class PrefixCounter:
             made.append((got, head[at]))
             head[at] = count + np.arange(len(at))
             count += len(at)
-        token = np.concatenate([m[0] for m in made])
-        shorter = np.concatenate([m[1] for m in made])
+        return head, np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+
+    def _by_steps(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Counts at every byte of the pieces (ends of prefixes), in the order of data."""
+        n = len(data)
+        inside = np.arange(n) - np.repeat(starts, sizes) + 1
+        head, token, shorter = self._entries(data, inside)
         last = np.zeros(n, np.int64)
         counts = np.zeros(n, np.int32)
         order = np.argsort(inside, kind="stable")
@@ -175,16 +187,22 @@ class PrefixCounter:
     def _follows_one(self, a: int, b: int) -> bool:
         return bool(self.follows(np.array([a]), np.array([b]))[0])
 
-    def _by_position(self, piece: bytes) -> np.ndarray:
-        last, counts = np.zeros(len(piece) + 1, np.int64), np.zeros(len(piece) + 1, np.int32)
-        ids = self.vocab.ids
-        for p in range(1, len(piece) + 1):
-            for k in range(min(p, self.longest), 0, -1):
-                t = ids.get(piece[p - k : p])
-                if t is not None and (k == p or self._follows_one(int(last[p - k]), t)):
-                    last[p], counts[p] = t, counts[p - k] + 1
+    def _by_position(self, piece: np.ndarray) -> np.ndarray:
+        """The same for one long piece: entries by array operations, then one step a byte."""
+        n = len(piece)
+        head, token, shorter = (x.tolist() for x in self._entries(piece, np.arange(1, n + 1)))
+        width = self.width.tolist()
+        last, counts = [0] * (n + 1), [0] * (n + 1)
+        for p in range(1, n + 1):
+            e = head[p - 1]
+            while e >= 0:
+                t = token[e]
+                before = p - width[t]
+                if not before or self._follows_one(last[before], t):
+                    last[p], counts[p] = t, counts[before] + 1
                     break
-        return counts[1:]
+                e = shorter[e]
+        return np.array(counts[1:], np.int32)
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """int8 change of the count at each byte of each distinct piece, and the first byte of each piece (and the end)."""
@@ -199,7 +217,7 @@ class PrefixCounter:
             at = ragged_gather(off[short], sizes[short])
             counts[at] = self._by_steps(data[at], np.concatenate(([0], np.cumsum(sizes[short])[:-1])), sizes[short])
         for k in np.flatnonzero(sizes > LONG_PIECE):
-            counts[off[k] : off[k + 1]] = self._by_position(data[off[k] : off[k + 1]].tobytes())
+            counts[off[k] : off[k + 1]] = self._by_position(data[off[k] : off[k + 1]])
         delta = counts.copy()
         delta[1:] -= counts[:-1]
         first = off[:-1][sizes > 0]
@@ -209,7 +227,7 @@ class PrefixCounter:
             if data[off[k]] == 39 and data[off[k] : off[k] + 3].tobytes() in (b"'re", b"'ve", b"'ll"):
                 whole = counts[off[k] + 2]
                 delta[off[k] : off[k] + 3] = [1, 1, whole - 2]
-        return delta.astype(np.int8), off
+        return _bytes_of(delta), off
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """int8 change of the count at each byte of all texts, and the first byte of each text (and the end)."""
@@ -217,6 +235,7 @@ class PrefixCounter:
         p = bpe.pretokenise(parts)
         delta, off = self.words(p.words)
         size = np.diff(off)
+        sums = np.concatenate(([0], np.cumsum(delta, dtype=np.int64)))[off]
         flat = delta[ragged_gather(off[:-1][p.codes], size[p.codes])] if len(p.codes) else np.zeros(0, np.int8)
         flat = flat.astype(np.int8, copy=True)
         self._white_space(p, flat)
@@ -227,9 +246,14 @@ class PrefixCounter:
                 pieces.append(flat[bytes_ptr[k] : bytes_ptr[k + 1]])
                 if special >= 0:
                     name = self.vocab.bytes[special].decode()
-                    _, ptr = self.vocab.encode([parts[k] + name[:i] for i in range(len(name))])
-                    counts = np.append(np.diff(ptr), ptr[1] - ptr[0] + 1)
-                    pieces.append(np.diff(counts).astype(np.int8))
+                    # what is added can change no more than the last two pieces
+                    lo, hi = int(p.ptr[k]), int(p.ptr[k + 1])
+                    cut = max(lo, hi - 2)
+                    before = int(np.diff(sums)[p.codes[lo:cut]].sum())
+                    tail = p.data[p.offsets[cut] : p.offsets[hi]].decode("utf-8", "surrogatepass")
+                    _, ptr = self.vocab.encode([tail + name[:i] for i in range(len(name))])
+                    counts = before + np.diff(ptr)
+                    pieces.append(_bytes_of(np.diff(np.append(counts, counts[0] + 1))))
             flat = np.concatenate(pieces)
         ends = np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.int64)
         return flat, np.concatenate(([0], ends))
