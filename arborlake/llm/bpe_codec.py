@@ -2,9 +2,11 @@
 
 The frequent pieces of the corpus are compiled into one minimal acyclic automaton with shared prefixes and suffixes. The weights
 of its arcs add up to the number of a piece, and that number leads to its ids. The compiled lexicon is one block of bytes that
-every worker maps into memory. Pieces that it lacks are merged exactly, so the result doesn't depend on what the lexicon holds.
+every worker maps into memory: broadcast values have no file of their own that could be mapped, so a worker writes its copy to one that
+is unlinked at once and that no other process reads. Pieces that the lexicon lacks are merged exactly, so the result doesn't depend on
+what it holds.
 
-Nulls are empty texts; rows with a null id, repeated ids, empty tables and very long texts are handled row by row. Results hold
+Nulls are empty texts; rows with a null id, repeated ids, empty tables and very long texts (taken whole, a slice of their own) are handled row by row. Results hold
 only the id and the columns listed, so other columns can't clash.
 """
 
@@ -29,23 +31,19 @@ from ._common import ragged_gather, slices, table, texts_of
 
 #: Pieces in the lexicon; it only speeds encoding up, so its size bounds the broadcast and nothing else.
 LEXICON_PIECES = 1 << 16
-#: A piece counts in a chunk of text from this count on; a piece of the lexicon has far more.
-LEAST_IN_CHUNK = 3
 LONGEST_PIECE = 64
 
 
 def frequent_pieces(df: DataFrame, text_col: str = "text", n: int = LEXICON_PIECES) -> list[bytes]:
-    """The n most frequent pieces, counted over all texts; a piece is left out where a chunk has it less than LEAST_IN_CHUNK times."""
+    """The n most frequent pieces of at most LONGEST_PIECE bytes, by their counts over all texts (ties: the least piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 p = bpe.pretokenise(texts_of(part, text_col))
                 count = np.bincount(p.codes, minlength=len(p.words))
-                keep = np.flatnonzero(count >= LEAST_IN_CHUNK)
-                words = p.words.take(pa.array(keep))
-                short = np.flatnonzero(np.asarray(pc.binary_length(words)) <= LONGEST_PIECE)
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(short)), pa.array(count[keep][short].astype(np.int64))], ["piece", "n"])
+                short = np.flatnonzero(np.asarray(pc.binary_length(p.words)) <= LONGEST_PIECE)
+                yield pa.RecordBatch.from_arrays([p.words.take(pa.array(short)), pa.array(count[short].astype(np.int64))], ["piece", "n"])
 
     counts = df.select(text_col).mapInArrow(run, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     return sorted(bytes(r[0]) for r in counts.orderBy(F.desc("n"), "piece").limit(n).select("piece").collect())
