@@ -31,7 +31,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -387,9 +386,10 @@ def _screened(df: DataFrame, rows: DataFrame, keys: DataFrame, text_col: str, ca
                 new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])
                 text, gram = text[new], gram[new]
                 ptr = np.searchsorted(text, np.arange(piece.num_rows + 1)).astype(np.int32)
-                hit = pa.array(np.diff(ptr) > 0)
+                none = np.diff(ptr) == 0
+                hit = pa.array(np.arange(len(none)), mask=none)
                 grams = pa.ListArray.from_arrays(pa.array(ptr), pa.array(gram.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column("row"), *(pc.if_else(hit, x, None) for x in (piece.column("key"), piece.column("text"), grams))], ["row", "key", "text", "grams"])
+                yield pa.RecordBatch.from_arrays([piece.column("row"), *(x.take(hit) for x in (piece.column("key"), piece.column("text"), grams))], ["row", "key", "text", "grams"])
 
     source = df.select(F.struct(*carried).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
     schema = T.StructType([source.schema["row"], T.StructField("key", T.BinaryType()), T.StructField("text", T.StringType()), T.StructField("grams", T.ArrayType(T.LongType()))])
