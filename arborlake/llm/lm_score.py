@@ -35,7 +35,7 @@ from .substring_dedup import BUCKET_BYTES, LEAST_BUCKETS, _cuts
 
 ORDER = 3
 MU = 4.0
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 #: Text bytes of the blocks that are folded together.
 SECTION_BYTES = 1 << 30
 #: Words of a text that one step of the traversal takes in turn.
@@ -107,6 +107,15 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out
 
 
+def _planes(g: np.ndarray) -> bytes:
+    """Sorted digests by their bytes, all highest ones first: those hardly change, so they compress."""
+    return g.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _whole(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").reshape(-1).astype(np.uint64)
+
+
 def _distinct(g: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct digests in order, where each stands first, and the number of each place's digest; told apart by check, too, if given."""
     distinct, first, number = np.unique(g, return_index=True, return_inverse=True)
@@ -154,14 +163,14 @@ def _counts(blocks: DataFrame, order: int, levels: tuple, buckets: int) -> DataF
                 for k in levels:
                     n = np.bincount(p.number[k][p.learned[p.use[k]]], minlength=len(p.distinct[k]))
                     g, check = p.distinct[k], p.check[k]
-                    rows = [{"section": r["section"], "level": k, "bucket": b, "block": r["block"], "gram": g[x:y].tobytes(), "check": b"" if check is None else check[x:y].tobytes(), "n": _pack(n[x:y])} for b, x, y in _cuts(g, buckets)]
+                    rows = [{"section": r["section"], "level": k, "bucket": b, "block": r["block"], "gram": _planes(g[x:y]), "check": b"" if check is None else check[x:y].tobytes(), "n": _pack(n[x:y])} for b, x, y in _cuts(g, buckets)]
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
     def together(t: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
         """Columns; first entry of each distinct n-gram, its number for each entry, its count, all checks, and where rows of the table end."""
         r = t.to_pydict()
-        g = np.frombuffer(b"".join(r["gram"]), np.uint64)
+        g = np.concatenate([_whole(x) for x in r["gram"]])
         check = np.frombuffer(b"".join(r["check"]), np.uint64)
         n = np.concatenate([_unpack(x) for x in r["n"]])
         _, first, number = _distinct(g, check if len(check) else None)
@@ -174,7 +183,7 @@ def _counts(blocks: DataFrame, order: int, levels: tuple, buckets: int) -> DataF
     def fold(t: pa.Table) -> pa.Table:
         r, g, check, first, number, total, ends = together(t)
         one = {"section": r["section"][0], "level": r["level"][0], "bucket": r["bucket"][0]}
-        rows = [one | {"block": -1, "gram": g[first].tobytes(), "check": check[first].tobytes() if len(check) else b"", "n": _pack(total)}]
+        rows = [one | {"block": -1, "gram": _planes(g[first]), "check": check[first].tobytes() if len(check) else b"", "n": _pack(total)}]
         for block, a, b in zip(r["block"], [0, *ends[:-1]], ends, strict=True):  # numbers rise inside a block
             rows.append(one | {"block": block, "gram": b"", "check": b"", "n": _pack(np.diff(number[a:b], prepend=0))})
         return pa.Table.from_pylist(rows, folded)
@@ -204,95 +213,88 @@ def _counts(blocks: DataFrame, order: int, levels: tuple, buckets: int) -> DataF
 
 
 class Reachable:
-    """The states and arcs that the texts of a block can reach. n: for each length the corpus counts of the block's distinct n-grams."""
+    """The states and arcs that the texts of a block can reach. n: for each length the corpus counts of the block's distinct n-grams.
+
+    A state of d words at one place and the word at the next are an arc if the n-gram of d + 1 words that ends there is seen, so arcs are
+    found by place and d, without a search."""
 
     def __init__(self, p: _Places, order: int, n: list[np.ndarray], texts: int, floor: float, mu: float):
         size = len(p.mark)
-        # of each place and length: the n-gram's count, and the state that it is (the lowest, 0, where it isn't seen in training)
-        state = [np.zeros(size, np.int64) for _ in range(order)]
-        count = [np.zeros(size, np.int64) for _ in range(order)]
-        self.fail, self.fail_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
-        states = 1
-        for k in range(order):
-            count[k][p.use[k]] = n[k][p.number[k]]
-            if k == 0:
-                count[0][p.mark] = texts
-            if k == order - 1:
-                state[k] = state[k - 1] if k else state[k]  # histories have fewer than ORDER words
-                break
-            seen = n[k] > 0
-            own = np.zeros(len(seen), np.int64)
-            own[seen] = states + np.arange(seen.sum())
-            at = p.first[k][seen]
-            self.fail.append(state[k - 1][at] if k else np.zeros(len(at), np.int64))
-            self.fail_weight.append(np.log10(mu / (n[k][seen] + mu)))
-            states += int(seen.sum())
-            state[k][p.use[k]] = own[p.number[k]]
-            if k == 0 and texts:
-                state[0][p.mark] = states
-                self.fail.append(np.zeros(1, np.int64))
-                self.fail_weight.append(np.log10([mu / (texts + mu)]))
-                states += 1
-            if k:  # the state of a place is that of its longest seen history
-                state[k] = np.where(state[k] > 0, state[k], state[k - 1])
-        self.start = int(state[0][0]) if size and texts and order > 1 else 0
-        self.fail, self.fail_weight = np.concatenate(self.fail), np.concatenate(self.fail_weight)
-        self.words = len(n[0])
-        self.word = np.full(size, -1)
-        self.word[p.use[0]] = p.number[0]
-        key, weight, target = [], [], []
-        lower = np.zeros(size)
+        fail, fail_weight, depth = [np.zeros(1, np.int32)], [np.zeros(1)], [np.zeros(1, np.int8)]
+        weight, target = [], []
+        self.arc = np.full((order, size), -1, np.int32)
+        states = arcs = 0
+        shorter = np.zeros(size, np.int32)  # of each place: the state of its longest seen history of fewer words
+        before = lower = None  # counts and chances of the n-grams one word shorter
         for k in range(order):
-            at = p.first[k] if k == 0 else p.first[k][n[k] > 0]
+            use, number, seen = p.use[k], p.number[k], n[k] > 0
+            count = np.zeros(size, np.int64)
+            count[use] = n[k][number]
             if k == 0:
-                chance = (count[0] + 0.5) / floor
-                source = np.zeros(len(at), np.int64)
+                count[p.mark] = texts
+                chance = (count + 0.5) / floor
+                known = np.ones(len(seen), bool)  # the lowest state has an arc for every word
             else:
-                before = np.concatenate(([0], count[k - 1][:-1]))
-                chance = np.where(count[k] > 0, (count[k] + mu * lower) / (before + mu), 0.0)
-                # the history is the n-gram that ends one place before; it is seen, as a longer one is
-                source = state[min(k - 1, order - 2)][at - 1]
-            key.append(source * self.words + self.word[at])
+                history = np.concatenate(([0], before[:-1]))
+                chance = (count + mu * lower) / (history + mu)
+                known = seen
+            at = p.first[k][known]
+            number_of = np.full(len(seen), -1, np.int32)
+            number_of[known] = arcs + np.arange(len(at), dtype=np.int32)
+            self.arc[k, use] = number_of[number]
+            arcs += len(at)
             weight.append(np.log10(chance[at]))
-            target.append(state[min(k, max(order - 2, 0))][at] if order > 1 else np.zeros(len(at), np.int64))
-            if k:  # where the n-gram isn't seen, the chance by way of the failure arc
-                chance = np.where(count[k] > 0, chance, lower * mu / (before + mu))
-            lower = chance
-        key, weight, target = map(np.concatenate, (key, weight, target))
-        order_ = np.argsort(key, kind="stable")
-        self.key, self.weight, self.target = key[order_], weight[order_], target[order_]
+            if k < order - 1:  # histories have fewer than ORDER words
+                own = np.zeros(len(seen), np.int32)
+                own[seen] = states + 1 + np.arange(seen.sum(), dtype=np.int32)
+                new = p.first[k][seen]
+                fail.append(shorter[new])
+                fail_weight.append(np.log10(mu / (n[k][seen] + mu)))
+                depth.append(np.full(len(new), k + 1, np.int8))
+                states += len(new)
+                state = shorter.copy()
+                state[use] = np.where(seen[number], own[number], shorter[use])
+                if k == 0 and texts:
+                    states += 1
+                    state[p.mark] = states
+                    fail.append(np.zeros(1, np.int32))
+                    fail_weight.append(np.log10([mu / (texts + mu)]))
+                    depth.append(np.ones(1, np.int8))
+                shorter = state
+            target.append(shorter[at])
+            before, lower = count, chance
+        self.start = int(shorter[0]) if size and texts and order > 1 else 0
+        self.fail, self.fail_weight, self.depth = map(np.concatenate, (fail, fail_weight, depth))
+        self.weight, self.target = np.concatenate(weight), np.concatenate(target)
 
     def walk(self, ptr: np.ndarray, order: int) -> np.ndarray:
         """Summed weights of each text."""
-        n = np.diff(ptr) - 1  # words and the end
-        parts = -(-n // SEGMENT)
-        text = np.repeat(np.arange(len(n)), parts)
-        nth = ragged_gather(np.zeros(len(n), np.int64), parts)
+        parts = -(-(np.diff(ptr) - 1) // SEGMENT)  # of its words and end
+        text = np.repeat(np.arange(len(parts)), parts)
+        nth = ragged_gather(np.zeros(len(parts), np.int64), parts)
         first = ptr[:-1][text] + 1 + nth * SEGMENT
         stop = np.minimum(first + SEGMENT, ptr[1:][text])
-        state = np.where(nth == 0, self.start, 0)
-        at = np.where(nth == 0, first, np.maximum(first - (order - 1), ptr[:-1][text] + 1))
+        state = np.where(nth == 0, self.start, 0).astype(np.int32)
+        at = np.where(nth == 0, first, first - (order - 1))
         out = np.zeros(len(text))
-        while True:
-            live = np.flatnonzero(at < stop)
-            if not len(live):
-                break
-            counts = at[live] >= first[live]
+        live = np.arange(len(text))
+        while len(live):
+            s, place, gain = state[live], at[live], np.zeros(len(live))
             todo = np.arange(len(live))
-            s, word, gain = state[live], self.word[at[live]], np.zeros(len(live))
             while len(todo):
-                key = s[todo] * self.words + word[todo]
-                arc = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-                hit = self.key[arc] == key
-                gain[todo[hit]] += self.weight[arc[hit]]
-                s[todo[hit]] = self.target[arc[hit]]
+                arc = self.arc[self.depth[s[todo]], place[todo]]
+                hit = arc >= 0
+                done, arc = todo[hit], arc[hit]
+                gain[done] += self.weight[arc]
+                s[done] = self.target[arc]
                 todo = todo[~hit]  # by the failure arc to the shorter history
                 gain[todo] += self.fail_weight[s[todo]]
                 s[todo] = self.fail[s[todo]]
             state[live] = s
-            out[live] += np.where(counts, gain, 0.0)
+            out[live] += np.where(place >= first[live], gain, 0.0)
             at[live] += 1
-        return np.bincount(text, weights=out, minlength=len(n))
+            live = live[place + 1 < stop[live]]
+        return np.bincount(text, weights=out, minlength=len(parts))
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, held_remainder: int = 1, mu: float = MU) -> DataFrame:
@@ -301,9 +303,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     size = plan_bytes(df.select(id_col, text_col), text_col)
     buckets, sections = max(LEAST_BUCKETS, min(size, SECTION_BYTES) // BUCKET_BYTES), -(-size // SECTION_BYTES) or 1
     blocks = materialise(_blocks(df, id_col, text_col, held_remainder, int(sections)), "lm-blocks")
-    # words and pairs in one pass, each further length in its own: no more n-grams are on the way at once than that
-    passes = [tuple(range(min(2, order))), *((k,) for k in range(2, order))]
-    counts = [_counts(blocks, order, levels, int(buckets)) for levels in passes]
+    # each length in a pass of its own, so that the n-grams of one are on the way at once
+    counts = [_counts(blocks, k + 1, (k,), int(buckets)) for k in range(order)]
     counts = reduce(DataFrame.unionByName, counts)
     total, kinds = counts.where("level = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     trained = df.where(~held_out(id_col, held_remainder)).count()
