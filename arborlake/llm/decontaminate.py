@@ -15,8 +15,8 @@ Windows meet in a hash join:
    windows of each item, by their count in the benchmark, are its keys; windows that many items share hardly ever are.
 2. A Bloom filter of the keys, of at most FILTER_BITS whatever the benchmark's size, goes to the tasks that read the documents. They
    pass on texts with a window in it, once for equal texts.
-3. Their windows are joined with the keys, in SALTS shares, as a passage may stand in a third of all documents.
-4. Texts and the items whose keys they have meet in buckets of about BUCKET_BYTES, and are aligned.
+3. Their digests in the filter are joined with the keys, in SALTS shares, as a passage may stand in a third of all documents.
+4. Texts that have keys, and the items of these, meet in buckets of about BUCKET_BYTES, and are aligned.
 
 Nulls are empty texts; items without words match nothing; windows with fewer than LITERALS plain words are not used, or fewer than
 LITERALS + 1 if the item is shorter than a window. Very long texts are read whole. Rows with a null id are judged like others and repeated ids
@@ -43,8 +43,9 @@ LITERALS = 4
 COVERAGE = 0.5
 #: Words of an item that count wherever they stand in a row.
 RUN = 24
-#: Bits of the filter at most; 16 for each key until then.
-FILTER_BITS = 1 << 28
+#: Bits of the filter at most; at least 64 for each key until then, so about one digest in 10^5 passes by chance.
+FILTER_BITS = 1 << 29
+PROBES = 4
 SALTS = 16
 #: Candidate text in a bucket.
 BUCKET_BYTES = 8 << 20
@@ -183,31 +184,33 @@ def _keys(rows: DataFrame, coverage: float) -> DataFrame:
 
 
 class _Filter:
-    """A Bloom filter with two places for each digest."""
+    """A Bloom filter with PROBES places for each digest."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @staticmethod
-    def places(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        return g & np.uint64(bits - 1), mix64(g) & np.uint64(bits - 1)
+    def place(g: np.ndarray, probe: int, bits: int) -> np.ndarray:
+        return (mix64(g ^ np.uint64(probe * 0x9E3779B97F4A7C15 % (1 << 64))) if probe else g) & np.uint64(bits - 1)
 
     def __call__(self, g: np.ndarray) -> np.ndarray:
-        one, two = self.places(g, len(self.words) * 64)
-        have = lambda at: (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        at = np.flatnonzero(have(one))
-        return at[have(two[at])]
+        at = np.arange(len(g))
+        for probe in range(PROBES):
+            bit = self.place(g[at], probe, len(self.words) * 64)
+            at = at[(self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+        return at
 
 
 def _filter(keys: DataFrame) -> _Filter:
     """Built in chunks by the tasks that hold the keys; the driver gets FILTER_BITS at most."""
-    bits = min(FILTER_BITS, max(1 << 16, 1 << int(16 * keys.count()).bit_length()))
+    bits = min(FILTER_BITS, max(1 << 16, 1 << int(64 * keys.count()).bit_length()))
     chunk = 1 << 16
 
     def run(batches):
         mine: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in _Filter.places(np.asarray(batch.column("gram")).view(np.uint64), bits):
+            for probe in range(PROBES):
+                at = _Filter.place(np.asarray(batch.column("gram")).view(np.uint64), probe, bits)
                 for k in np.unique(at // np.uint64(chunk)).tolist():
                     inside = at[at // np.uint64(chunk) == k] % np.uint64(chunk)
                     np.bitwise_or.at(mine.setdefault(k, np.zeros(chunk // 64, np.uint64)), (inside >> np.uint64(6)).astype(np.int64), np.uint64(1) << (inside & np.uint64(63)))
@@ -402,15 +405,19 @@ def _salt(df: DataFrame, by: str) -> DataFrame:
 
 def _verdicts(screened: DataFrame, rows: DataFrame, keys: DataFrame, coverage: float) -> DataFrame:
     """(key, item, verbatim) of the texts that hold an item."""
-    texts = materialise(screened.where("key is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("grams").alias("grams")), "texts")
+    some = screened.where("key is not null")
+    grams = some.select("key", "grams").groupBy("key").agg(F.first("grams").alias("grams"))
+    asked = _salt(grams.select("key", F.explode("grams").alias("gram")), "key")
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = materialise(asked.join(spread(keys), ["gram", "salt"]).groupBy("key", "item").agg(F.max("verbatim").alias("verbatim"), F.min("verbatim").alias("run_only")), "pairs")
+    to_align = spread(pairs.where("not run_only").select("key").distinct())
+    texts = _salt(some.select("row", "key", "text"), "row").join(to_align, ["key", "salt"], "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = materialise(texts, "texts")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-size // BUCKET_BYTES))
-    asked = _salt(texts.select("key", F.explode("grams").alias("gram")), "key")
-    spread = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = materialise(asked.join(spread, ["gram", "salt"]).groupBy("key", "item").agg(F.max("verbatim").alias("verbatim"), F.min("verbatim").alias("run_only")), "pairs")
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
     aligned = pairs.where("not run_only")
-    left = texts.join(aligned.select("key").distinct(), "key", "left_semi").select(bucket, "key", "text")
+    left = texts.select(bucket, "key", "text")
     right = aligned.select(bucket, "item").distinct().join(rows.where(F.col("reading") != VERBATIM), "item")
 
     def align(a: pa.Table, b: pa.Table) -> pa.Table:
