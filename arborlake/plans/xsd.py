@@ -62,13 +62,20 @@ def _occurs(e: ET.Element) -> tuple[int, int | None]:
 
 
 class SchemaGraph:
-    def __init__(self, types: dict[str, dict], elements: dict[str, dict], root: str | None = None, closed: bool = False):
+    def __init__(self, types: dict[str, dict], elements: dict[str, dict], root: str | None = None, closed: bool = False, bases: dict[str, str] | None = None):
         self.types, self.elements, self.root, self.closed = types, elements, root, closed
+        #: of each type that extends another, that one
+        self.bases = bases or {}
+
+    def extensions(self, key: str) -> list[str]:
+        """Types that extend ``key``, directly or not, in order."""
+        out = [k for k, b in sorted(self.bases.items()) if b == key and k in self.types and k != key]
+        return out + [x for k in out for x in self.extensions(k) if x not in out]
 
     def with_root(self, name: str, closed: bool | None = None) -> SchemaGraph:
         if name not in self.types and name not in self.elements:
             raise SchemaError("missing-key", name)
-        return SchemaGraph(self.types, self.elements, name, self.closed if closed is None else closed)
+        return SchemaGraph(self.types, self.elements, name, self.closed if closed is None else closed, self.bases)
 
     def node(self, key: str) -> dict:
         if key in self.types:
@@ -118,7 +125,7 @@ class SchemaGraph:
 
     def trim(self, roots: list[str]) -> SchemaGraph:
         keep = self.reachable(roots)
-        return SchemaGraph({k: v for k, v in sorted(self.types.items()) if k in keep}, {k: v for k, v in sorted(self.elements.items()) if k in keep}, self.root if self.root in keep else None, self.closed)
+        return SchemaGraph({k: v for k, v in sorted(self.types.items()) if k in keep}, {k: v for k, v in sorted(self.elements.items()) if k in keep}, self.root if self.root in keep else None, self.closed, {k: b for k, b in sorted(self.bases.items()) if k in keep})
 
     def is_cyclic(self, key: str) -> bool:
         return any(key in self.reachable([r]) for r in self.refs(self.node(key)))
@@ -207,12 +214,12 @@ class SchemaGraph:
         return [f for f in node.get("parts", node.get("arms", [])) if "name" in f]
 
     def to_json(self) -> str:
-        return json.dumps({"types": {k: canonical(v) for k, v in sorted(self.types.items())}, "elements": {k: {**v, "node": canonical(v["node"])} for k, v in sorted(self.elements.items())}, "root": self.root}, sort_keys=True, indent=1)
+        return json.dumps({"types": {k: canonical(v) for k, v in sorted(self.types.items())}, "elements": {k: {**v, "node": canonical(v["node"])} for k, v in sorted(self.elements.items())}, "root": self.root, **({"bases": self.bases} if self.bases else {})}, sort_keys=True, indent=1)
 
     @classmethod
     def from_json(cls, text: str) -> SchemaGraph:
         got = json.loads(text)
-        return cls(got["types"], got["elements"], got["root"])
+        return cls(got["types"], got["elements"], got["root"], bases=got.get("bases"))
 
     def emit(self, folder: str, roots: list[str] | None = None) -> list[str]:
         """One JSON file for each type, and a manifest; the same bytes for the same graph."""
@@ -256,6 +263,7 @@ class _Compiler:
         self.types: dict[str, dict] = {}
         self.elements: dict[str, dict] = {}
         self.loaded: set[str] = set()
+        self.bases: dict[str, str] = {}
 
     def load(self, path: str, namespace: str | None = None) -> None:
         path = os.path.abspath(path)
@@ -299,6 +307,8 @@ class _Compiler:
             self.target, self.prefixes = target, prefixes
             if kind == "complexType":
                 self.types[key] = self.complex(e)
+                if (x := e.find(f"{XS}complexContent/{XS}extension")) is not None:
+                    self.bases[key] = self.key(*self.name(x.get("base")))
             elif kind == "simpleType":
                 self.types[key] = self.simple(e)
             elif kind == "group":
@@ -307,7 +317,7 @@ class _Compiler:
             self.target, self.prefixes = target, prefixes
             if kind == "element":
                 self.elements[key] = {"name": e.get("name"), "ns": target, "node": self.element_node(e), "abstract": e.get("abstract") == "true"} | ({"doc": _doc(e)} if _doc(e) else {})
-        return SchemaGraph(self.types, self.elements, next(iter(sorted(self.elements)), None))
+        return SchemaGraph(self.types, self.elements, next(iter(sorted(self.elements)), None), bases=self.bases)
 
     # simple types
 
@@ -495,7 +505,7 @@ class _Compiler:
         if e.tag == XS + "choice":
             if all("name" in f for f in rows):
                 return {"kind": "choice", "arms": rows}
-            return {"kind": "choice", "arms": [f if "name" in f else f | {"name": f"group{k}"} for k, f in enumerate(rows)]}
+            return {"kind": "choice", "arms": [f if "name" in f else f | {"name": f"group{k}", "group_arm": True} for k, f in enumerate(rows)]}
         if len(rows) == 1 and rows[0]["node"]["kind"] == "any" and "name" not in rows[0]:
             return {"kind": "any"}
         flat = self.flattened(rows)
@@ -612,4 +622,4 @@ def unions_in(graph: SchemaGraph, keys: list[str], missing: str = "throw", split
                 continue
             raise SchemaError("missing-key", k)
         types[k] = choice_to_union(types[k], split, graph)
-    return SchemaGraph(types, graph.elements, graph.root, graph.closed)
+    return SchemaGraph(types, graph.elements, graph.root, graph.closed, graph.bases)

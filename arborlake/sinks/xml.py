@@ -10,8 +10,8 @@ OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "timestampNTZFormat": "
 
 def render(value: Column, row_tag: str, indent: bool = False, **options: str) -> Column:
     """XML of a struct column; nulls are left out."""
-    text = F.to_xml(value, OPTIONS | {"rowTag": row_tag} | options)
-    return text if indent else F.regexp_replace(text, r">\n\s*<", "><")
+    text = F.to_xml(value, OPTIONS | {"rowTag": row_tag} | ({} if indent else {"indent": ""}) | options)
+    return text if indent else F.rtrim(text, F.lit("\n"))
 
 
 def write(df: DataFrame, path: str, row_tag: str, root_tag: str = "rows", **options: str) -> None:
