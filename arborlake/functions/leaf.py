@@ -21,7 +21,8 @@ def _part(c: Column, pattern: str, k: int) -> Column:
 
 
 def _number(c: Column) -> Column:
-    return F.coalesce(c.cast("int"), F.lit(0))
+    """A whole number; nothing counts as 0, one that is too large is null."""
+    return F.when(c.isNull(), F.lit(0)).otherwise(c.try_cast("int"))
 
 
 def decode_boolean(c: Column) -> Column:
@@ -49,10 +50,15 @@ def decode_date_time(c: Column) -> Column:
     return F.when(c.rlike(_DATE_TIME) & ts.isNotNull(), F.struct(ts.alias("ts"), offset.cast("int").alias("offset_seconds"), F.substring(fraction, 7, 3).cast("int").alias("sub_micros")))
 
 
+def _whole(c: Column, by: int) -> Column:
+    """Rounded down, in whole numbers throughout."""
+    return F.call_function("div", c - F.pmod(c, F.lit(by)), F.lit(by))
+
+
 def encode_date_time(c: Column) -> Column:
     micros = F.unix_micros(c["ts"]) + c["offset_seconds"].cast("long") * 1_000_000
-    seconds = F.floor(micros / 1_000_000).cast("long")
-    days = F.floor(seconds / 86400).cast("int")
+    seconds = _whole(micros, 1_000_000)
+    days = _whole(seconds, 86400).cast("int")
     clock = F.pmod(seconds, F.lit(86400))
     nanos = F.pmod(micros, F.lit(1_000_000)) * 1000 + F.coalesce(c["sub_micros"], F.lit(0))
     fraction = F.regexp_replace(F.format_string(".%09d", nanos), r"\.?0+$", "")
@@ -69,9 +75,15 @@ def decode_local_date_time(c: Column) -> Column:
 
 def decode_duration(c: Column) -> Column:
     sign = F.when(_part(c, _DURATION, 1) == "-", -1).otherwise(1)
-    secs = F.coalesce(_part(c, _DURATION, 5).cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))
-    whole = F.make_dt_interval(sign * _number(_part(c, _DURATION, 2)), sign * _number(_part(c, _DURATION, 3)), sign * _number(_part(c, _DURATION, 4)), (sign * secs).cast("decimal(18,6)"))
-    return F.when(c.rlike(_DURATION) & c.rlike(r"\d"), whole)
+    days, hours, minutes = (_number(_part(c, _DURATION, k)) for k in (2, 3, 4))
+    zero = F.lit(0).cast("decimal(18,6)")
+    part = _part(c, _DURATION, 5)
+    secs = F.when(part.isNull(), zero).otherwise(part.try_cast("decimal(18,6)"))
+    total = days.cast("decimal(20,0)") * 86400 + hours.cast("decimal(20,0)") * 3600 + minutes.cast("decimal(20,0)") * 60 + secs
+    fits = F.coalesce(total < 9_000_000_000_000, F.lit(False))  # of 2 ** 63 microseconds; null parts are too large
+    keep = lambda x: F.when(fits, sign * x).otherwise(0)
+    whole = F.make_dt_interval(keep(days), keep(hours), keep(minutes), F.when(fits, (sign * secs).cast("decimal(18,6)")).otherwise(zero))
+    return F.when(c.rlike(_DURATION) & c.rlike(r"\d") & fits, whole)
 
 
 def encode_duration(c: Column) -> Column:
@@ -87,7 +99,10 @@ def encode_duration(c: Column) -> Column:
 
 def decode_period(c: Column) -> Column:
     sign = F.when(_part(c, _PERIOD, 1) == "-", -1).otherwise(1)
-    return F.when(c.rlike(_PERIOD) & c.rlike(r"\d"), F.make_ym_interval(sign * _number(_part(c, _PERIOD, 2)), sign * _number(_part(c, _PERIOD, 3))))
+    years, months = (_number(_part(c, _PERIOD, k)) for k in (2, 3))
+    fits = F.coalesce(years.cast("long") * 12 + months.cast("long") < 1 << 31, F.lit(False))
+    keep = lambda x: F.when(fits, sign * x).otherwise(0)
+    return F.when(c.rlike(_PERIOD) & c.rlike(r"\d") & fits, F.make_ym_interval(keep(years), keep(months)))
 
 
 def encode_period(c: Column) -> Column:
@@ -141,6 +156,17 @@ def decode_union(c: Column, members: list[str]) -> Column:
     return F.when(c.isNotNull(), F.struct(c.alias("text"), index.alias("member")))
 
 
+def decode_tuple(c: Column, members: list[str]) -> Column:
+    """Items between white space by their place: a struct _1, _2, ...; null unless there is one for each member."""
+    parts = F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
+    return F.when(F.size(parts) == len(members), F.struct(*[leaf(m).decode(F.get(parts, F.lit(k))).alias(f"_{k + 1}") for k, m in enumerate(members)]))
+
+
+def undecoded(name: str, c: Column) -> Column:
+    """Is there text that the type can't take (and that decodes to null)? Numbers too large for 38 digits are among it."""
+    return c.isNotNull() & (F.trim(c) != "") & leaf(name).decode(c).isNull()
+
+
 @dataclass(frozen=True)
 class Leaf:
     """A leaf type: its Spark type, and the codecs between it and text."""
@@ -202,7 +228,7 @@ register("gYear", T.IntegerType(), decode_year, lambda c: F.format_string("%04d"
 register("gYearMonth", T.StructType([T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]), decode_year_month, encode_year_month)
 register("gMonthDay", T.StructType([T.StructField("month", T.IntegerType()), T.StructField("day", T.IntegerType())]), decode_month_day, encode_month_day)
 register("gMonth", T.IntegerType(), decode_month, encode_month)
-register("base64Binary", T.BinaryType(), lambda c: F.when(c.rlike(r"^[A-Za-z0-9+/\s]*={0,2}\s*$"), F.unbase64(c)), lambda c: F.base64(c))
+register("base64Binary", T.BinaryType(), lambda c: F.try_to_binary(c, F.lit("base64")), lambda c: F.base64(c))
 register("hexBinary", T.BinaryType(), lambda c: F.unhex(c), lambda c: F.hex(c))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,32 +11,51 @@ from pyspark.sql import functions as F
 from ..functions.names import module_name, module_path, without_suffix
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """A table in the cluster's shared folder, so lineage doesn't grow with the rounds."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
+def scratch(spark) -> str:
+    """The cluster's shared folder; a temporary one in local mode alone, where there are no other machines."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            import tempfile
-
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arborlake-"))
         where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{where}/arborlake/{name}-{uuid.uuid4().hex}"
+    return where
+
+
+def until_exit(spark, path: str) -> None:
+    """Delete a path when the application ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """A table in the cluster's shared folder, so lineage doesn't grow with the rounds."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/arborlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """(seed, key): every key that a seed reaches, itself included. Cycles end, as a round keeps only what is new."""
-    step = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct()
+    """(seed, key): every key that a seed reaches, itself included. Cycles end, as a round keeps only what is new. Each round doubles the
+    length of the paths that it follows from the last one's new keys, so a chain of n keys takes about log n rounds of jumps."""
+    jump = _cut(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).where("_from is not null and _to is not null").distinct(), "jumps")
     seen = _cut(seeds.select("seed").distinct().select("seed", F.col("seed").alias("key")), "reached")
-    front = seen
+    count = seen.count()
     while True:
-        found = front.join(step, front["key"] == step["_from"]).select("seed", F.col("_to").alias("key")).distinct()
-        front = _cut(found.join(seen, ["seed", "key"], "left_anti"), "reached")
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+        found = seen.join(jump, seen["key"] == jump["_from"]).select("seed", F.col("_to").alias("key"))
+        new = _cut(seen.unionByName(found).distinct(), "reached")
+        size = new.count()
+        if size == count:
+            return new
+        seen, count = new, size
+        # jumps of twice the length beside the old ones; only those from keys that are in use are made
+        used = seen.select(F.col("key").alias("_from")).distinct()
+        near = jump.join(used, "_from", "left_semi")
+        far = near.select("_from", F.col("_to").alias("_mid")).join(jump.select(F.col("_from").alias("_mid"), "_to"), "_mid").select("_from", "_to")
+        jump = _cut(jump.unionByName(far).distinct(), "jumps")
 
 
 def missing_seeds(seeds: DataFrame, registry: DataFrame, key: str = "key") -> DataFrame:

@@ -44,9 +44,12 @@ def number_instances(df: DataFrame, starts: Column, partition: list[str], order:
     return df.withColumn(name, F.coalesce(F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w), F.lit(0)))
 
 
-def at_most_one(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The one distinct value of each key (null: none); more than one fails the job when the row is used."""
+def at_most_one(df: DataFrame, keys: list[str], value: str, strict: bool = True) -> DataFrame:
+    """The one distinct value of each key (null: none). More than one fails the job when the row is used, or, if not strict, gives null and
+    sets ``ambiguous``."""
     g = df.groupBy(*keys).agg(F.countDistinct(value).alias("_n"), F.max(value).alias(value))
+    if not strict:
+        return g.select(*keys, F.when(F.col("_n") <= 1, F.col(value)).alias(value), (F.col("_n") > 1).alias("ambiguous"))
     return g.select(*keys, F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("too many values of "), F.lit(value))).cast(df.schema[value].dataType)).otherwise(F.col(value)).alias(value))
 
 
@@ -59,3 +62,20 @@ def last_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The last row of each key by ``order``: a map that is written again and again."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def frequencies(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """(keys, n): keys that at least so many rows have."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def rows_between(df: DataFrame, order: list, start: int, stop: int | None = None) -> DataFrame:
+    """Rows start (from 0) up to stop of the whole order."""
+    out = df.orderBy(*order).offset(start)
+    return out if stop is None else out.limit(max(0, stop - start))
+
+
+def as_map(df: DataFrame, keys: list[str], key: str, value: str, name: str = "entries") -> DataFrame:
+    """One map for each group of rows; of entries with one key the greatest value stays. Null keys are left out."""
+    kept = df.where(F.col(key).isNotNull()).groupBy(*keys, key).agg(F.max(value).alias(value))
+    return kept.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))

@@ -22,7 +22,7 @@ TABLES = {
     "CONDETL": ["Record Type", "Transaction Set ID", "Area", "Sequence", "Segment ID", "Reference Designator", "Composite ID", "Composite Sequence", "Data Element Number", "Code", "Table", "Position", "Usage"],
     "CONTEXT": ["Record Type", "Transaction Set ID", "Area", "Sequence", "Segment ID", "Reference Designator", "Composite ID", "Composite Sequence", "Data Element Number", "Code", "Table", "Position", "Note Number", "Note Type", "Note"],
 }
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def columns(name: str) -> list[str]:
@@ -41,18 +41,28 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         path = f"{folder}/{name.lower()}.txt"
         where = hadoop(path)
         there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-        out[name] = spark.read.csv(path, header=False, schema=schema(name)) if there else spark.createDataFrame([], schema(name))
+        if there:  # lines of a split are numbered in order, and splits by where they begin
+            place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+            out[name] = spark.read.csv(path, header=False, schema=schema(name)).withColumn("_pos", place)
+        else:
+            out[name] = spark.createDataFrame([], schema(name))
     return out
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast a table whose size is checked; a larger one is joined as Spark sees fit."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Broadcast a table that Spark's statistics bound; a larger one, or one of unknown size, is joined as Spark sees fit. Runs no job."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """With _pos, the place of a row in its table: of its line where :func:`load` read it, else of the row as it comes."""
+    return df if "_pos" in df.columns else df.withColumn("_pos", F.monotonically_increasing_id())
 
 
 def element_types(spec: dict[str, DataFrame]) -> DataFrame:
     """ELEDETL with one row a number, the last one."""
-    t = spec["ELEDETL"].withColumn("_pos", F.monotonically_increasing_id())
+    t = _placed(spec["ELEDETL"])
     return last_wins(t, ["data_element_number"], F.col("_pos")).drop("_pos")
 
 
@@ -63,8 +73,8 @@ def composites(spec: dict[str, DataFrame]) -> DataFrame:
 
 
 def _names(spec: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    ele = first_known(spec["ELEHEAD"].withColumn("_pos", F.monotonically_increasing_id()), ["data_element_number"], "data_element_name", F.col("_pos"))
-    com = first_known(spec["COMHEAD"].withColumn("_pos", F.monotonically_increasing_id()), ["composite_data_element_number"], "composite_name", F.col("_pos"))
+    ele = first_known(_placed(spec["ELEHEAD"]), ["data_element_number"], "data_element_name", F.col("_pos"))
+    com = first_known(_placed(spec["COMHEAD"]), ["composite_data_element_number"], "composite_name", F.col("_pos"))
     return ele, com
 
 
@@ -107,7 +117,7 @@ def _components(spec, whole: DataFrame, types: DataFrame, ele: DataFrame, com: D
 def kept_segments(spec: dict[str, DataFrame]) -> DataFrame:
     """Rows of SETDETL that the guide uses, with name, optional and repeated."""
     used = spec["CONDETL"].where("segment_id is null and usage is not null").select("area", "sequence").distinct()
-    note = spec["CONTEXT"].where("note_type = 'A' and record_type = 'B'").withColumn("_pos", F.monotonically_increasing_id())
+    note = _placed(spec["CONTEXT"]).where("note_type = 'A' and record_type = 'B'")
     note = first_known(note, ["area", "sequence"], "note", F.col("_pos"))
     s = spec["SETDETL"].join(small(used), ["area", "sequence"], "left_semi").join(small(note), ["area", "sequence"], "left")
     return s.select("area", "sequence", "segment_id", F.coalesce(slug(F.col("note")), F.col("segment_id")).alias("segment_name"), (F.col("requirement") == "O").alias("optional"), (F.col("maximum_use") != "1").alias("repeated"), "loop_level", "loop_repeat", "loop_identifier")
@@ -173,7 +183,7 @@ def message_struct(spec: dict[str, DataFrame]) -> T.StructType:
     def segment(row) -> T.StructField:
         fields: dict[str, T.StructField] = {}
         for e in elements.get((row.area, row.sequence), []):
-            f = T.StructField(e.name, X12_TYPES.get(e.data_element_type, T.StringType()), e.optional, {"sequence": int(e.component_sequence or e.element_sequence), **({"codes": e.codes} if e.codes else {})})
+            f = T.StructField(e.name, X12_TYPES.get(e.data_element_type, T.StringType()), e.optional, {"sequence": int(e.component_sequence or e.element_sequence), "type": e.data_element_type, "min": e.min, "max": e.max, **({"codes": e.codes} if e.codes else {})})
             if e.component_sequence is None:
                 fields[e.name] = f
             else:
@@ -209,7 +219,7 @@ def interchange_struct(spec: dict[str, DataFrame], transaction: T.DataType) -> T
     by: dict[str, list] = {}
     names = {r.segment_id: r.segment_name for r in spec["SEGHEAD"].select("segment_id", slug(F.col("segment_name")).alias("segment_name")).collect()}
     for r in plain_elements(spec).where(F.col("segment_id").isin("ISA", "GS", "GE", "IEA")).orderBy("element_sequence").collect():
-        by.setdefault(r.segment_id, []).append(T.StructField(r.name or f"{r.segment_id}{r.element_sequence}", X12_TYPES.get(r.data_element_type, T.StringType())))
-    seg = lambda tag: T.StructField(names.get(tag, tag), T.StructType(by.get(tag, [])))
+        by.setdefault(r.segment_id, []).append(T.StructField(r.name or f"{r.segment_id}{r.element_sequence}", X12_TYPES.get(r.data_element_type, T.StringType()), True, {"sequence": int(r.element_sequence), "type": r.data_element_type, "min": r.min, "max": r.max}))
+    seg = lambda tag: T.StructField(names.get(tag, tag), T.StructType(by.get(tag, [])), True, {"segment": tag})
     group = T.StructType([seg("GS"), T.StructField("transaction-sets", T.ArrayType(transaction)), seg("GE")])
     return T.StructType([seg("ISA"), T.StructField("functional-groups", T.ArrayType(group)), seg("IEA")])

@@ -48,8 +48,8 @@ class Shapes:
             key = node["key"]
             if path.count(key) >= self.depth:
                 return None
-            out = self.of(self.graph.node(key), (*path, key))
-            return self._derived(key, out, path)
+            out = self._derived(key, self.of(self.graph.node(key), (*path, key)), path)
+            return out if out is None else {**out, "key": key}
         if kind == "leaf":
             return {"k": "text", "leaf": node["base"]}
         if kind == "list":
@@ -241,7 +241,12 @@ def _each(c: Column, f) -> Column:
     return F.transform(c, lambda x: f(x))
 
 
-def _decode(shape: dict, c: Column) -> Column:
+def _decode(shape: dict, c: Column, hooks: dict | None = None) -> Column:
+    out = _plain(shape, c, hooks or {})
+    return hooks[shape["key"]](out) if hooks and shape.get("key") in hooks else out
+
+
+def _plain(shape: dict, c: Column, hooks: dict) -> Column:
     if shape["k"] == "text":
         if "list" in shape:
             return decode_list(c, leaf(shape["list"]).decode)
@@ -249,18 +254,18 @@ def _decode(shape: dict, c: Column) -> Column:
     if shape["k"] != "struct":
         return c
     parts = [c["_type"].alias("_type")] if shape.get("types") else []
-    parts += [_decode(s, c[f"_{a}"]).alias(f"_{a}") for a, s in shape["attrs"].items()]
+    parts += [_decode(s, c[f"_{a}"], hooks).alias(f"_{a}") for a, s in shape["attrs"].items()]
     for name, f in shape["fields"].items():
         one = c[name]
-        parts.append((_each(one, partial(_decode, f["shape"])) if f["many"] else _decode(f["shape"], one)).alias(name))
+        parts.append((_each(one, partial(_decode, f["shape"], hooks=hooks)) if f["many"] else _decode(f["shape"], one, hooks)).alias(name))
     if shape["choice"]:
-        arms = [_decode(s, c["choice"][t]).alias(t) for t, s in shape["choice"].items() if t != "tag"]
+        arms = [_decode(s, c["choice"][t], hooks).alias(t) for t, s in shape["choice"].items() if t != "tag"]
         parts.append(F.when(c["choice"].isNotNull(), F.struct(c["choice"]["tag"].alias("tag"), *arms)).alias("choice"))
     if shape["items"] is not None:
         heads = ("ord", "tag", "_text")
-        parts.append(F.transform(c["items"], lambda x: F.struct(*[x[h].alias(h) for h in heads], *[_decode(s, x[t]).alias(t) for t, s in shape["items"].items() if t not in heads])).alias("items"))
+        parts.append(F.transform(c["items"], lambda x: F.struct(*[x[h].alias(h) for h in heads], *[_decode(s, x[t], hooks).alias(t) for t, s in shape["items"].items() if t not in heads])).alias("items"))
     if shape["value"]:
-        parts.append(_decode(shape["value"], c["_VALUE"]).alias("_VALUE"))
+        parts.append(_decode(shape["value"], c["_VALUE"], hooks).alias("_VALUE"))
     if not parts:
         parts.append(c["_empty"].alias("_empty"))
     return F.when(c.isNotNull(), F.struct(*parts))
@@ -272,8 +277,8 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def read(docs: DataFrame, graph: SchemaGraph, key: str | None = None, text_col: str = "text", depth: int = 4, namespace: str = "") -> DataFrame:
-    """``docs`` with ``value`` (typed), ``unread`` (elements without a place in the graph) and ``error`` in place of the text."""
+def read(docs: DataFrame, graph: SchemaGraph, key: str | None = None, text_col: str = "text", depth: int = 4, namespace: str = "", hooks: dict | None = None) -> DataFrame:
+    """hooks: for keys of types, a function from the decoded column to the one that takes its place. ``docs`` with ``value`` (typed), ``unread`` (elements without a place in the graph) and ``error`` in place of the text."""
     shape = Shapes(graph, depth).element(key or graph.root)
     kind = text_type(shape)
     others = [c for c in docs.columns if c != text_col]
@@ -305,7 +310,7 @@ def read(docs: DataFrame, graph: SchemaGraph, key: str | None = None, text_col:
 
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("value", kind), T.StructField("unread", T.IntegerType()), T.StructField("error", T.StringType())])
     got = docs.mapInArrow(run, schema)
-    return got.withColumn("value", _decode(shape, F.col("value")))
+    return got.withColumn("value", _decode(shape, F.col("value"), hooks))
 
 
 # writing
@@ -373,7 +378,8 @@ def content_model(graph: SchemaGraph, node: dict, path: tuple = ()) -> str:
     if kind == "wrapped":
         return content_model(graph, node["value"])
     if kind == "choice":
-        return "|".join(f"(?:{part(f)})" for f in node["arms"])
+        arms = "|".join(f"(?:{part(f)})" for f in node["arms"])
+        return f"(?:{arms})?" if node.get("min") == 0 else arms
     if kind in ("cat", "map"):
         return "".join(part(f) for f in node.get("parts", node.get("fields", [])) if not f.get("attr"))
     return "(?:<[^<>]*>)*" if kind == "any" else ""

@@ -16,10 +16,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from decimal import Decimal
 from urllib.parse import urljoin
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.leaf import LEAVES, leaf
@@ -33,6 +35,13 @@ OPEN = {"anyType"}
 NAME_PATTERNS = {r"\i\c*": r"[\p{L}_:][\p{L}\p{N}._:·-]*", r"[\i-[:]][\c-[:]]*": r"[\p{L}_][\p{L}\p{N}._·-]*", r"\c+": r"[\p{L}\p{N}._:·-]+"}
 
 
+NUMERIC = ("minInclusive", "minExclusive", "maxInclusive", "maxExclusive", "totalDigits", "fractionDigits")
+
+
+def _bound(text: str) -> Decimal:
+    return Decimal(text)
+
+
 class SchemaError(ValueError):
     """reason: a short word for the kind of error."""
 
@@ -343,10 +352,11 @@ class _Compiler:
             if flat["kind"] != "leaf":
                 return {"kind": "leaf", "base": "string", "facets": self.facets(r, {})} if flat["kind"] == "union" and r.findall(f"{XS}enumeration") else base
             node = {"kind": "leaf", "base": flat["base"]}
-            if isinstance(leaf(flat["base"]).data_type, T.StringType):
-                facets = self.facets(r, flat.get("facets", {}))
-                if facets:
-                    node["facets"] = facets
+            facets = self.facets(r, flat.get("facets", {}))
+            if not isinstance(leaf(flat["base"]).data_type, T.StringType):  # of typed values, those on numbers are checked
+                facets = {k: v for k, v in facets.items() if k in NUMERIC} if isinstance(leaf(flat["base"]).data_type, T.NumericType) else {}
+            if facets:
+                node["facets"] = facets
             return node
         if (x := e.find(f"{XS}list")) is not None:
             inner = x.find(f"{XS}simpleType")
@@ -378,6 +388,10 @@ class _Compiler:
                 for k in keys:
                     v = int(x.get("value"))
                     out[k] = max(v, out.get(k, v)) if k == "min" else min(v, out.get(k, v))
+        for name, pick in (("minInclusive", max), ("minExclusive", max), ("maxInclusive", min), ("maxExclusive", min), ("totalDigits", min), ("fractionDigits", min)):
+            for x in r.findall(f"{XS}{name}"):
+                held = out.get(name)
+                out[name] = x.get("value") if held is None else pick(held, x.get("value"), key=_bound)
         # patterns of one step are alternatives, those of different steps all hold
         if here := [NAME_PATTERNS.get(x.get("value"), x.get("value")) for x in r.findall(f"{XS}pattern")]:
             out["pattern"] = [*base.get("pattern", []), "|".join(f"(?:{p})" for p in here) if len(here) > 1 else here[0]]
@@ -473,6 +487,8 @@ class _Compiler:
                 node = self.particle(x)
                 if (lo, hi) == (1, 1):
                     return node
+                if (lo, hi) == (0, 1) and node["kind"] == "choice":
+                    return node | {"min": 0}
                 if (lo, hi) == (0, 1) and node["kind"] == "map":
                     return {"kind": "map", "fields": [f | {"min": 0, "group": 1} for f in node["fields"]]}
                 return {"kind": "cat", "parts": [{"node": node, "min": lo, "max": hi}]}
@@ -585,35 +601,57 @@ def check_sequence_names(names: set[str]) -> None:
 def leading_tags(node: dict, graph: SchemaGraph | None = None) -> list[str]:
     if node.get("kind") == "ref" and graph is not None:
         node = graph.resolve(node)
-    if "name" in node:
+    if "name" in node and not node.get("group_arm"):
         return [node["name"]]
     if node.get("kind") == "choice":
-        return [t for a in node["arms"] for t in leading_tags(a, graph)]
+        return [t for a in node["arms"] for t in leading_tags(a["node"] if a.get("group_arm") else a, graph)]
     if node.get("kind") == "cat":
         if not node["parts"]:
-            raise SchemaError("empty-cat")
+            raise SchemaError("nothing-to-lead")
         first = node["parts"][0]
         return [first["name"]] if "name" in first else leading_tags(first["node"], graph)
-    raise SchemaError("not-discriminable", str(node.get("kind")))
+    raise SchemaError("no-leading-tag", str(node.get("kind")))
 
 
 def choice_to_union(node: dict, split: bool = False, graph: SchemaGraph | None = None) -> dict:
     """A choice as a union told apart by the first tag. An arm that opens with a choice is split into one branch a tag, where allowed."""
     if node.get("kind") != "choice":
-        raise SchemaError("not-a-choice", str(node.get("kind")))
+        raise SchemaError("no-choice", str(node.get("kind")))
     branches: dict[str, dict] = {}
     for arm in node["arms"]:
-        inner = arm["node"] if "name" not in arm or str(arm["name"]).startswith("group") else None
+        inner = arm["node"] if "name" not in arm or arm.get("group_arm") else None
         tags = leading_tags(inner, graph) if inner is not None else [arm["name"]]
         if len(tags) > 1 and not split:
-            raise SchemaError("seqex-branches", ", ".join(tags))
+            raise SchemaError("several-tags", ", ".join(tags))
         for t in tags:
             if t in branches:
-                raise SchemaError("duplicate-branch-keys", t)
-            branches[t] = inner or arm["node"]
+                raise SchemaError("tag-twice", t)
+            branches[t] = arm["node"] if inner is None else branch(inner, t, graph)
     return {"kind": "multi", "branches": branches}
 
 
+def branch(node: dict, tag: str, graph: SchemaGraph | None = None) -> dict:
+    """What is left of an arm once its first tag is known: the member with that tag, and all that follows the opening choice."""
+    if node.get("kind") == "ref" and graph is not None:
+        node = graph.resolve(node)
+    if node["kind"] == "choice":
+        arm = next(a for a in node["arms"] if tag in leading_tags(a if "name" in a and not a.get("group_arm") else a["node"], graph))
+        return {"kind": "cat", "parts": [arm]} if "name" in arm and not arm.get("group_arm") else branch(arm["node"], tag, graph)
+    if node["kind"] == "cat":
+        first, *rest = node["parts"]
+        head = [first] if "name" in first else branch(first["node"], tag, graph).get("parts", [])
+        return {"kind": "cat", "parts": [*head, *rest]}
+    return node
+
+
+def dispatch(tag, branches: dict[str, object], otherwise=None):
+    """A column by the tag of a choice: branches gives the column for each tag, as the union's dispatch does."""
+    out = otherwise if otherwise is not None else F.lit(None)
+    for name, c in sorted(branches.items()):
+        out = F.when(tag == name, c).otherwise(out)
+    return out
+
+
 def unions_in(graph: SchemaGraph, keys: list[str], missing: str = "throw", split: bool = False) -> SchemaGraph:
     types = dict(graph.types)
     for k in keys:

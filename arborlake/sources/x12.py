@@ -1,14 +1,11 @@
 """X12 text to tables: segments, envelopes, loops, elements.
 
-The delimiters stand at fixed places of the ISA segment. Texts without BIN segments are split by column expressions; those with
-one are cut by a reader that takes the binary payload by its stated length.
+The delimiters stand at fixed places of the ISA segment. Texts are split by column expressions; binary payloads are taken by their
+stated length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,26 +61,38 @@ def _cut_binary(text: str, element: str, terminator: str) -> list[list[str]]:
     return out
 
 
+def _left(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+", "")
+
+
+def _joined_binary(parts: Column, element: Column, terminator: Column) -> Column:
+    """Pieces between terminators, those of one BIN payload put together again by its stated length."""
+    text = F.lit(None).cast("string")
+    start = F.struct(F.array().cast("array<string>").alias("out"), text.alias("held"), F.lit(0).alias("need"))
+
+    def put(state: Column, piece: Column) -> Column:
+        whole = F.when(state["held"].isNull(), _left(piece)).otherwise(F.concat(state["held"], terminator, piece))
+        cut = F.split(whole, _quoted(element), 3)
+        size = F.when(whole.startswith(F.concat(F.lit("BIN"), element)) & (F.size(cut) == 3), F.get(cut, F.lit(1)).try_cast("int"))
+        need = F.when(state["held"].isNotNull(), state["need"]).otherwise(F.coalesce(F.length(F.get(cut, F.lit(1))) + 5 + size, F.lit(0)))
+        short = F.length(whole) < need
+        done = F.when(need == 0, F.array(whole)).otherwise(F.array(F.substring(whole, F.lit(1), need), _left(F.substring(whole, need + 1, F.length(whole)))))
+        return F.struct(F.when(short, state["out"]).otherwise(F.concat(state["out"], done)).alias("out"), F.when(short, whole).alias("held"), F.when(short, need).otherwise(0).alias("need"))
+
+    return F.aggregate(parts, start, put, lambda s: F.concat(s["out"], F.when(s["held"].isNotNull(), F.array(s["held"])).otherwise(F.array().cast("array<string>"))))
+
+
 def segments(docs: DataFrame, id_col: str = "file", text_col: str = "text") -> DataFrame:
-    """(id, pos, tag, elements, repeat_sep, component_sep): a row for each segment, from 1. elements[0] is the first after the tag."""
+    """(id, pos, tag, elements, repeat_sep, component_sep): a row for each segment, from 1. elements[0] is the first after the tag. One pass
+    of column expressions; texts with BIN segments are put together again where a payload holds terminators."""
     d = delimiters(F.col(text_col))
     docs = docs.select(id_col, F.col(text_col).alias("_text"), *[c.alias(k) for k, c in d.items()])
-    binary = F.col("_text").contains(F.concat(F.lit("BIN"), F.col("element_sep")))
-    plain = docs.where(~binary)
-    parts = F.filter(F.transform(F.split(F.col("_text"), _quoted(F.col("terminator"))), lambda s: F.regexp_replace(s, r"^[\s]+", "")), lambda s: s != "")
-    plain = plain.select(id_col, "element_sep", "repeat_sep", "component_sep", F.posexplode(parts).alias("_pos", "_seg"))
-    plain = plain.withColumn("_parts", F.split("_seg", _quoted(F.col("element_sep")), -1))
-    plain = plain.select(id_col, (F.col("_pos") + 1).alias("pos"), F.trim(F.col("_parts")[0]).alias("tag"), F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0))).alias("elements"), "repeat_sep", "component_sep")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                for k, s in enumerate(_cut_binary(r["_text"], r["element_sep"], r["terminator"])):
-                    rows.append({id_col: r[id_col], "pos": k + 1, "tag": s[0].strip(), "elements": s[1:], "repeat_sep": r["repeat_sep"], "component_sep": r["component_sep"]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(id_col, batch.schema.field(id_col).type), ("pos", pa.int32()), ("tag", pa.string()), ("elements", pa.list_(pa.string())), ("repeat_sep", pa.string()), ("component_sep", pa.string())]))
-
-    return plain.unionByName(docs.where(binary).mapInArrow(run, plain.schema))
+    binary = F.concat(F.lit("BIN"), F.col("element_sep"))
+    parts = F.split(F.col("_text"), _quoted(F.col("terminator")), -1)
+    parts = F.when(F.col("_text").contains(binary), _joined_binary(parts, F.col("element_sep"), F.col("terminator"))).otherwise(F.transform(parts, _left))
+    rows = docs.select(id_col, "element_sep", "repeat_sep", "component_sep", F.posexplode(F.filter(parts, lambda s: s != "")).alias("_pos", "_seg"))
+    rows = rows.withColumn("_parts", F.split("_seg", _quoted(F.col("element_sep")), F.when(F.col("_seg").startswith(binary), 3).otherwise(-1)))
+    return rows.select(id_col, (F.col("_pos") + 1).alias("pos"), F.trim(F.col("_parts")[0]).alias("tag"), F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0))).alias("elements"), "repeat_sep", "component_sep")
 
 
 def envelopes(segs: DataFrame, id_col: str = "file") -> DataFrame:
@@ -130,6 +139,31 @@ def control_totals(segs: DataFrame, id_col: str = "file") -> DataFrame:
     return g.withColumn("agrees", F.col("counted").eqNullSafe(F.col("stated")))
 
 
+def envelope_totals(segs: DataFrame, id_col: str = "file") -> DataFrame:
+    """A row for each group (GE01: its transaction sets) and interchange (IEA01: its groups): level, isa, gs, counted, stated, agrees."""
+    s = envelopes(segs, id_col)
+    stated = lambda tag: F.max(F.when(F.col("tag") == tag, element(1).try_cast("bigint"))).alias("stated")
+    counted = lambda tag: F.count(F.when(F.col("tag") == tag, 1)).alias("counted")
+    # IEA stands in the last group's run; GE closes the group that it follows
+    groups = s.where("gs > 0").groupBy(id_col, "isa", "gs").agg(counted("ST"), stated("GE")).withColumn("level", F.lit("GE"))
+    whole = s.where("isa > 0").groupBy(id_col, "isa").agg(counted("GS"), stated("IEA")).withColumn("gs", F.lit(None).cast("bigint")).withColumn("level", F.lit("IEA"))
+    every = groups.unionByName(whole).withColumn("agrees", F.col("counted").eqNullSafe(F.col("stated")))
+    return every.select(id_col, "level", "isa", "gs", "counted", "stated", "agrees")
+
+
+def previous_position(segs: DataFrame, id_col: str = "file") -> DataFrame:
+    """Adds previous_pos: the position of the last segment of the same tag before this one in the document."""
+    from pyspark.sql import Window
+
+    return segs.withColumn("previous_pos", F.lag("pos").over(Window.partitionBy(id_col, "tag").orderBy("pos")))
+
+
+def leftover(elements: Column, known: int) -> Column:
+    """The elements beyond the known ones; null if there are none."""
+    rest = F.slice(elements, F.lit(known + 1), F.greatest(F.size(elements) - known, F.lit(0)))
+    return F.when(F.size(rest) > 0, rest)
+
+
 def _per(id_col: str):
     from pyspark.sql import Window
 

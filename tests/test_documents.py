@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from arborlake.functions import leaf
 from arborlake.operators import graphs, sequences
-from arborlake.plans import guide, validate
+from arborlake.plans import guide, transactions, validate
 from arborlake.sinks import x12 as x12_out
 from arborlake.sinks import xml as xml_out
 from arborlake.sources import x12, xml
@@ -162,3 +162,44 @@ def test_table_functions(spark):
     docs(spark, "<r><a/>x</r>", None).createOrReplaceTempView("some_docs")
     assert [r.kind for r in spark.sql("select doc_id, n.* from some_docs, lateral xml_nodes(text) n order by node_id").collect()] == ["elem", "elem", "text"]
     assert [r.tag for r in spark.sql("select * from x12_segments('ST*1*1~N1*a~SE*3*1~') order by pos").collect()] == ["ST", "N1", "SE"]
+
+
+def test_binary_segments_in_one_pass(spark):
+    texts = [BINARY, "ST*1*1~BIN*5*a~b*c~N1*x~BIN*99*cut~SE*3*1~", "BIN*x*y~ST*1~"]
+    got = {k: [(r.tag, r.elements) for r in x12.segments(docs(spark, *texts), "doc_id").where(F.col("doc_id") == k).orderBy("pos").collect()] for k in range(3)}
+    assert [t for t, _ in got[0]] == ["ISA", "GS", "ST", "BIN", "BIN", "SE", "GE", "IEA"]
+    assert got[1][1] == ("BIN", ["5", "a~b*c"]) and got[1][2] == ("N1", ["x"]) and got[1][3][1][0] == "99"
+    assert got[2][0] == ("BIN", ["x", "y"]) and got[2][1][0] == "ST"
+
+
+def test_typed_transactions(spark, guide_folder):
+    spec = guide.load(spark, guide_folder)
+    kind = guide.message_struct(spec)
+    text = "ST*850~BEG*05*20240229~HL*1~NM1*AB:2.50*extra~LX*007~REF*12~REF*345~LX*8~HL*2~ZZZ*1*2~SE*9~"
+    v = transactions.read(docs(spark, text, None, "", "BEG*99*20240101~"), kind)
+    got = {r.doc_id: r for r in v.collect()}
+    one = got[0].value
+    assert one["beginning-segment"]["order-date-02"].isoformat() == "2024-02-29" and one["beginning-segment"]["purpose-code-01"] == "05"
+    assert one["HL"][0]["NM1"][0]["unit--measure-01"]["unit-code-01"] == "AB" and str(one["HL"][0]["NM1"][0]["unit--measure-01"]["exponent-02"]).startswith("2.5")
+    loops = one["HL"][0]["LX"] if isinstance(one["HL"][0]["LX"], list) else [one["HL"][0]["LX"]]
+    assert loops[0]["LX"]["number-01"] == 7 and [r["qualifier-01"] for r in loops[0]["REF"]] == ["12", "345"] and len(one["HL"]) == 2
+    assert {(u.tag, tuple(u.elements)) for u in got[0].unread} >= {("NM1", ("extra",)), ("ZZZ", ("1", "2"))}
+    assert got[1].value is None and got[2].value is None and got[3].unread[0].tag == "BEG"
+    back = v.where("doc_id = 0").select(transactions.write(F.col("value"), kind).alias("text"))
+    again = transactions.read(back.withColumn("doc_id", F.lit(0)), kind).first()
+    assert again.value == one
+
+
+def test_totals_and_leftovers(spark):
+    s = x12.segments(docs(spark, BINARY, BINARY.replace("GE*1*1", "GE*2*1")), "doc_id")
+    got = {(r.doc_id, r.level): r.agrees for r in x12.envelope_totals(s, "doc_id").collect()}
+    assert got == {(0, "GE"): True, (0, "IEA"): True, (1, "GE"): False, (1, "IEA"): True}
+    df = spark.createDataFrame([(["a", "b", "c"],), (["a"],)], "e array<string>")
+    assert [r[0] for r in df.select(x12.leftover(F.col("e"), 1)).collect()] == [["b", "c"], None]
+
+
+def test_long_chains_take_few_rounds(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(100, 50)], "source int, target int")
+    seeds = spark.createDataFrame([(0,), (70,), (None,)], "seed int")
+    got = graphs.reachable(edges, seeds.where("seed is not null")).groupBy("seed").count().collect()
+    assert {r.seed: r["count"] for r in got} == {0: 101, 70: 51}

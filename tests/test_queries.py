@@ -55,4 +55,4 @@ def test_reachability_of_every_part(spark, sf):
             seen.append(at)
             at = step.get(at)
         want[p] = (len(seen), max(seen))
-    assert {r.seed: (r.n, r.top) for r in QUERIES["reachability_closure_whole"](spark, sf).collect()} == want
+    assert {r.seed: (r.n, r.top) for r in QUERIES["reachability_closure"](spark, sf).collect()} == want

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.plans import validate, xsd
+from arborlake.plans import typed, validate, xsd
 from arborlake.sources import xml
 
 HEAD = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns="http://ex.org/a" targetNamespace="http://ex.org/a" elementFormDefault="qualified">'
@@ -70,22 +70,59 @@ def test_emission_is_deterministic(graph, tmp_path):
     assert json.loads((tmp_path / "a" / a[0]).read_text())["key"]
 
 
+def arms(*nodes):
+    return {"kind": "choice", "arms": list(nodes)}
+
+
+def named(tag):
+    return {"name": tag, "node": {"kind": "leaf", "base": "int"}}
+
+
 @pytest.mark.parametrize(
     "node,reason",
     [
-        ({"kind": "map", "fields": []}, "not-a-choice"),
-        ({"kind": "choice", "arms": [{"node": {"kind": "leaf", "base": "string"}}]}, "not-discriminable"),
-        ({"kind": "choice", "arms": [{"node": {"kind": "cat", "parts": []}}]}, "empty-cat"),
-        ({"kind": "choice", "arms": [{"name": "a", "node": {"kind": "any"}}, {"name": "a", "node": {"kind": "any"}}]}, "duplicate-branch-keys"),
-        ({"kind": "choice", "arms": [{"node": {"kind": "choice", "arms": [{"name": "a", "node": {"kind": "any"}}, {"name": "b", "node": {"kind": "any"}}]}}]}, "seqex-branches"),
+        ({"kind": "empty"}, "no-choice"),
+        (arms({"node": {"kind": "list", "item": {"kind": "leaf", "base": "int"}}}), "no-leading-tag"),
+        (arms(named("x"), {"node": {"kind": "cat", "parts": []}}), "nothing-to-lead"),
+        (arms(named("x"), named("y"), {"node": {"kind": "cat", "parts": [named("x"), named("z")]}}), "tag-twice"),
+        (arms({"node": {"kind": "cat", "parts": [{"node": arms(named("x"), named("y"))}, named("z")]}}), "several-tags"),
     ],
 )
-def test_choice_errors(node, reason):
+def test_choices_that_cannot_be_unions(node, reason):
     with pytest.raises(xsd.SchemaError) as e:
         xsd.choice_to_union(node)
     assert e.value.reason == reason
 
 
+def test_a_split_arm_keeps_its_member_and_its_tail():
+    node = arms({"node": {"kind": "cat", "parts": [{"node": arms(named("x"), named("y"))}, named("z")]}}, named("w"))
+    got = xsd.choice_to_union(node, split=True)["branches"]
+    assert [p["name"] for p in got["x"]["parts"]] == ["x", "z"] and [p["name"] for p in got["y"]["parts"]] == ["y", "z"] and got["w"]["base"] == "int"
+
+
+def test_dispatch_by_tag(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "tag string, k int")
+    c = xsd.dispatch(F.col("tag"), {"a": F.col("k") * 10, "b": -F.col("k")}, F.lit(0))
+    assert [r[0] for r in df.select(c).collect()] == [10, -2, 0, 0]
+
+
+def test_numeric_facets(spark):
+    g = xsd.loads('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:simpleType name="n"><xs:restriction base="xs:decimal"><xs:minInclusive value="9"/><xs:maxExclusive value="10.5"/><xs:fractionDigits value="2"/></xs:restriction></xs:simpleType>'
+                  '<xs:simpleType name="m"><xs:restriction base="n"><xs:minInclusive value="10"/></xs:restriction></xs:simpleType><xs:element name="e"><xs:complexType><xs:sequence><xs:element name="v" type="m"/></xs:sequence></xs:complexType></xs:element></xs:schema>', "k")
+    assert g.types["k/m"]["facets"]["minInclusive"] == "10"
+    docs = spark.createDataFrame([(k, f"<e><v>{v}</v></e>") for k, v in enumerate(["10.25", "9.5", "10.5", "10.123"])], "id int, text string")
+    got = xml.parse(docs, g.to_struct("k/e")).select(validate.violations(g, F.col("value"), "k/e").alias("v")).collect()
+    assert [r.v for r in got] == [[], ["e/v: too small"], ["e/v: too large"], ["e/v: too many digits after the point"]]
+
+
+def test_choices_and_order_are_validated(spark):
+    g = xsd.loads('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:simpleType name="s"><xs:restriction base="xs:string"><xs:maxLength value="2"/></xs:restriction></xs:simpleType><xs:element name="e"><xs:complexType><xs:sequence>'
+                  '<xs:choice><xs:element name="p" type="s"/><xs:element name="q" type="xs:int"/></xs:choice><xs:element name="r"><xs:complexType><xs:sequence maxOccurs="2"><xs:element name="a" type="xs:int"/><xs:element name="b" type="xs:int"/></xs:sequence></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element></xs:schema>', "k")
+    texts = ["<e><p>ok</p><r><a>1</a><b>2</b></r></e>", "<e><p>long</p><r><a>1</a></r></e>", "<e><r><a>1</a><b>2</b></r></e>"]
+    got = typed.read(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), g, "k/e").select("id", validate.violations(g, F.col("value"), "k/e").alias("v")).orderBy("id").collect()
+    assert [r.v for r in got] == [[], ["e/p: too long", "e/r: order of its elements"], ["e: no choice"]]
+
+
 def test_choice_to_union(graph):
     u = xsd.choice_to_union(graph.types["org.ex.a/pick"])
     assert sorted(u["branches"]) == ["p", "q"]
