@@ -372,4 +372,5 @@ class BackoffAutomaton:
 
 
 def op9_lm_score(spark, sf_dir) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    got = score(table(spark, sf_dir, "documents"))
+    return got.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})  # sums of many logarithms, to what doesn't depend on their order
