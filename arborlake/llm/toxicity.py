@@ -1,22 +1,28 @@
 """Toxicity by a weighted finite-state grammar.
 
-Words become symbols: insult, threat, target, negation, report, other. Five transducers read a clause: negation and reported
-speech rewrite insults and threats in their reach to weaker symbols, the target transducer strengthens those beside a target, and
-the insult and threat transducers weigh what is left. They are composed into one table that is run over each clause, so a word counts
-by the clause it stands in. A text's score is a logistic function of its clauses' weights.
-
-The insult lexicon (word stems) and the logistic weights are learned from at most about SAMPLE labelled rows whose crc32 of the
-id, modulo 5, isn't 0. Near copies count once there (rows with one least shingle), and only texts are looked at.
-
-Null and empty texts have no clause and get the lowest score. Rows with a null id are scored and not held out; repeated ids are scored
-each. Rows with a null label aren't learned from; with no usable labels a small general lexicon is used. An empty table gives an
-empty result. Results hold only the columns listed, so others can't clash.
+Words become symbols: insult, threat, target, negation, report, other. Six transducers read a clause: negation and reported
+speech rewrite insults and threats in their reach to weaker symbols; the target transducer strengthens those after a target, and the
+landing transducer marks a target that an insult or a threat reaches ("kill you"); the insult and threat transducers weigh what is
+left. They are composed into one table that is run over each clause, so a word counts by the clause it stands in. A text's
+score is a logistic function of its clauses' weights.
+
+Learned from at most about SAMPLE labelled rows whose crc32 of the id, modulo 5, isn't 0: the insult lexicon (word stems), the
+weight of each symbol (a logistic fit on how often each is written, drawn towards PRIOR, which stands where no row says otherwise) and the
+logistic function. Near copies count once there (rows with one least shingle: the least text), and only texts are looked at. The words
+of threats, targets, negations and reports are fixed lists.
+
+Null and empty texts have no clause and get the lowest score; very long texts and clauses are read whole. Rows with a null id are scored and
+not held out; repeated ids are scored each; of different labels of one id the greater counts. Rows with a null label aren't learned from;
+with no usable labels a small general lexicon is used. An empty table gives an empty result. Results hold only the columns
+listed, so others can't clash.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +38,11 @@ SUPPORT, LIFT = 0.01, 20.0
 SHORTEST, LONGEST = 3, 8
 REACH = 3
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, WEAK_INSULT, WEAK_THREAT, AIMED_INSULT, AIMED_THREAT = range(10)
-SYMBOLS = 10
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, WEAK_INSULT, WEAK_THREAT, AIMED_INSULT, AIMED_THREAT, LANDED_INSULT, LANDED_THREAT = range(12)
+SYMBOLS = 12
+#: Weights of the symbols before anything is learned, and what a weight of 1 means to the logistic fit.
+PRIOR = {INSULT: 1.0, WEAK_INSULT: 0.15, AIMED_INSULT: 1.3, LANDED_INSULT: 0.3, THREAT: 0.15, WEAK_THREAT: 0.03, AIMED_THREAT: 1.0, LANDED_THREAT: 0.9}
+SCALE = 4.0
 WORDS = {
     THREAT: "kill killing hurt hurting destroy destroying stab stabbing shoot shooting burn burning punch crush beat strangle murder töten schlagen tuer frapper matar golpear",
     TARGET: "you your yours he him his she her they them their du dich dir ihr euch sie tu te toi vous ils elles usted tú ellos ellas",
@@ -71,6 +80,13 @@ class Transducer:
             step.append(row)
         return Transducer(step)
 
+    def write(self, symbols: list[int]) -> list[int]:
+        q, out = 0, []
+        for s in symbols:
+            q, mid, _ = self.step[q][s]
+            out.append(mid)
+        return out
+
     def weigh(self, symbols: list[int]) -> tuple[float, float]:
         q, a, b = 0, 0.0, 0.0
         for s in symbols:
@@ -96,21 +112,43 @@ def _weights(by: dict[int, tuple[float, float]]) -> Transducer:
     return t
 
 
-def grammar() -> Transducer:
+def _landing(steps: int) -> Transducer:
+    """A target that comes some steps after an insult or a threat (weakened and aimed ones aside) is written as where it lands."""
+    t = Transducer.identity(2 * steps + 1)  # 0; 1..steps: an insult so near; steps + 1..: a threat
+    for q in range(2 * steps + 1):
+        kind, left = (LANDED_INSULT, q) if q <= steps else (LANDED_THREAT, q - steps)
+        base = 0 if q <= steps else steps
+        for s in range(SYMBOLS):
+            to = steps if s == INSULT else 2 * steps if s == THREAT else base + left - 1 if left > 1 else 0
+            if q and s == TARGET:
+                t.step[q][s] = (0, kind, (0.0, 0.0))
+            else:
+                t.step[q][s] = (to, s, (0.0, 0.0))
+    return t
+
+
+def transducers(weights: dict[int, float] = PRIOR) -> list[Transducer]:
     weak = {INSULT: WEAK_INSULT, THREAT: WEAK_THREAT}
-    negation = _reach(NEGATION, weak, REACH)
-    report = _reach(REPORT, weak, 2 * REACH)
-    target = _reach(TARGET, {INSULT: AIMED_INSULT, THREAT: AIMED_THREAT}, REACH)
-    insult = _weights({INSULT: (1.0, 0.0), WEAK_INSULT: (0.7, 0.0), AIMED_INSULT: (1.2, 0.0)})
-    threat = _weights({THREAT: (0.0, 0.3), WEAK_THREAT: (0.0, 0.1), AIMED_THREAT: (0.0, 1.0)})
-    return negation.compose(report).compose(target).compose(insult).compose(threat)
+    of = lambda *symbols: {s: weights[s] for s in symbols}
+    return [
+        _reach(NEGATION, weak, REACH),
+        _reach(REPORT, weak, 2 * REACH),
+        _reach(TARGET, {INSULT: AIMED_INSULT, THREAT: AIMED_THREAT}, REACH),
+        _landing(REACH),
+        _weights({s: (w, 0.0) for s, w in of(INSULT, WEAK_INSULT, AIMED_INSULT, LANDED_INSULT).items()}),
+        _weights({s: (0.0, w) for s, w in of(THREAT, WEAK_THREAT, AIMED_THREAT, LANDED_THREAT).items()}),
+    ]
+
+
+def grammar(weights: dict[int, float] = PRIOR) -> Transducer:
+    return reduce(Transducer.compose, transducers(weights))
 
 
 class Scorer:
-    """Features of texts: largest and summed insult weight of a clause, summed threat weight, clauses hit."""
+    """Features of texts: largest weight of a clause, summed insult and threat weights, clauses hit."""
 
-    def __init__(self, stems: list[str]):
-        self.table = grammar()
+    def __init__(self, stems: list[str], weights: dict[int, float] = PRIOR):
+        self.table = grammar(weights)
         self.words = {w: s for s, listed in WORDS.items() for w in listed.split()}
         self.insult = re.compile("|".join(sorted(map(re.escape, stems), key=len, reverse=True))) if stems else None
         threats = WORDS[THREAT].split()
@@ -122,20 +160,32 @@ class Scorer:
             return INSULT
         return self.words.get(w, OTHER)
 
-    def text(self, text: str) -> tuple[float, float, float, float]:
-        best = total = threat = hit = 0.0
+    def clauses(self, text: str) -> Iterator[list[int]]:
+        """Symbols of the clauses that hold an insult or a threat."""
         for clause in CLAUSE.split(text.lower()):
             if self.any.search(clause):
-                a, b = self.table.weigh([self.symbol(w) for w in WORD.findall(clause)])
-                best, total, threat, hit = max(best, a), total + a, threat + b, hit + (a + b > 0)
+                yield [self.symbol(w) for w in WORD.findall(clause)]
+
+    def text(self, text: str) -> tuple[float, float, float, float]:
+        best = total = threat = hit = 0.0
+        for symbols in self.clauses(text):
+            a, b = self.table.weigh(symbols)
+            best, total, threat, hit = max(best, a + b), total + a, threat + b, hit + (a + b > 0)
         return best, np.log1p(total), np.log1p(threat), np.log1p(hit)
 
-    def batch(self, column: pa.Array) -> np.ndarray:
+    def counts(self, text: str) -> list[float]:
+        """How often each weighed symbol is written, as logarithms."""
+        got: Counter = Counter()
+        for symbols in self.clauses(text):
+            got.update(self.table.write(symbols))
+        return [float(np.log1p(got[s])) for s in PRIOR]
+
+    def batch(self, column: pa.Array, of=None, width: int = 4) -> np.ndarray:
         column = pc.fill_null(column, "")
-        out = np.zeros((len(column), 4))
+        out = np.zeros((len(column), width))
         low = pc.utf8_lower(column)
         for k in np.flatnonzero(np.asarray(pc.match_substring_regex(low, self.screen))).tolist():
-            out[k] = self.text(column[k].as_py())
+            out[k] = (of or self.text)(column[k].as_py())
         return out
 
 
@@ -187,32 +237,45 @@ def learn_stems(sample: DataFrame) -> list[str]:
     return sorted(out) or list(GENERAL)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, prior: np.ndarray | None = None) -> np.ndarray:
+    """Intercept and weights, drawn towards the prior ones (zeros)."""
     x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
+    prior = np.concatenate(([0.0], np.zeros(x.shape[1] - 1) if prior is None else prior))
+    w = prior.copy()
     w[0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
-    for _ in range(50):
+    pull = ridge * np.append(0, np.ones(len(w) - 1))
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (pull * (w - prior) ** 2).sum())
+
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * np.concatenate(([0], w[1:])))
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(pull + 1e-9), x.T @ (p - y) + pull * (w - prior))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * max(1.0, now):
             break
     return w
 
 
 class Model:
-    """Learned stems and logistic weights, of a few hundred bytes."""
+    """Learned stems, symbol weights and logistic weights, of a few hundred bytes."""
 
-    def __init__(self, stems: list[str], weights: np.ndarray):
-        self.stems, self.weights = stems, weights
+    def __init__(self, stems: list[str], weights: np.ndarray, symbols: dict[int, float] = PRIOR):
+        self.stems, self.weights, self.symbols = stems, weights, symbols
         self._scorer: Scorer | None = None
 
     def __getstate__(self):
-        return {"stems": self.stems, "weights": self.weights, "_scorer": None}
+        return {"stems": self.stems, "weights": self.weights, "symbols": self.symbols, "_scorer": None}
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Score, and weight of the heaviest clause, of each text."""
-        self._scorer = self._scorer or Scorer(self.stems)
+        self._scorer = self._scorer or Scorer(self.stems, self.symbols)
         x = self._scorer.batch(column)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30))), x[:, 0]
 
@@ -227,19 +290,33 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column("text"), part.column("y"), pa.array(least.view(np.int64))], ["text", "y", "family"])
 
     sample = labelled_sample(df, labels, label, id_col, text_col).select("text", "y").mapInArrow(family, "text string, y int, family bigint")
-    sample = materialise(sample.dropDuplicates(["family", "y"]), "labelled")
+    sample = materialise(sample.groupBy("family", "y").agg(F.min("text").alias("text")), "labelled")
     stems = learn_stems(sample)
 
-    def features(batches):
-        scorer = Scorer(stems)
-        for batch in batches:
-            x = scorer.batch(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), *map(pa.array, x.T)], ["y", "a", "b", "c", "d"])
-
-    got = np.array(sample.select("text", "y").mapInArrow(features, "y int, a double, b double, c double, d double").collect(), float).reshape(-1, 5)
-    weights = fit_logistic(got[:, 1:], got[:, 0]) if len(got) and 0 < got[:, 0].mean() < 1 else np.array([-3.0, 3.0, 1.0, 1.0, 1.0])
+    def measured(of, width: int, symbols: dict[int, float]) -> np.ndarray:
+        """y and the features of each row of the sample."""
+
+        def run(batches):
+            scorer = Scorer(stems, symbols)
+            for batch in batches:
+                x = scorer.batch(batch.column("text"), getattr(scorer, of), width)
+                yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+
+        rows = sample.select("text", "y").mapInArrow(run, "y int, x array<double>").collect()  # about SAMPLE rows of numbers
+        got = np.array([[r.y, *r.x] for r in rows], float).reshape(-1, 1 + width)
+        return got[np.lexsort(got.T)]  # the order of rows doesn't matter
+
+    prior = np.array(list(PRIOR.values())) * SCALE
+    got = measured("counts", len(PRIOR), PRIOR)
+    if len(got) and 0 < got[:, 0].mean() < 1:
+        learned = np.clip(fit_logistic(got[:, 1:], got[:, 0], 1.0, prior)[1:] / SCALE, 0.0, 3.0)
+        symbols = dict(zip(PRIOR, learned.tolist(), strict=True))
+        got = measured("text", 4, symbols)
+        weights = fit_logistic(got[:, 1:], got[:, 0], prior=np.array([SCALE, 0.0, 0.0, 0.0]))
+    else:
+        symbols, weights = PRIOR, np.array([-3.0, SCALE, 0.0, 0.0, 0.0])
     discard(sample)
-    return Model(stems, weights)
+    return Model(stems, weights, symbols)
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.5) -> DataFrame:

@@ -57,7 +57,59 @@ def test_grammar():
     assert none == 0 < negated < plain < aimed and reported < aimed
     assert s.text("une vequaire")[0] > 0 and s.text("you kill")[2] > s.text("i will kill")[2] > s.text("i will not kill")[2] > 0
     t = toxicity.grammar()
-    assert t.weigh([toxicity.INSULT])[0] == 1.0
+    assert t.weigh([toxicity.INSULT])[0] == 1.0 and t.write([toxicity.THREAT, toxicity.TARGET]) == [toxicity.THREAT, toxicity.LANDED_THREAT]
+
+
+def test_composed_table_does_what_its_parts_do_in_turn():
+    r = random.Random(1)
+    parts = toxicity.transducers()
+    whole = toxicity.grammar()
+    for _ in range(400):
+        symbols = [r.randrange(toxicity.SYMBOLS) for _ in range(r.randint(0, 14))]
+        now, a, b = symbols, 0.0, 0.0
+        for t in parts:
+            x, y = t.weigh(now)
+            now, a, b = t.write(now), a + x, b + y
+        assert whole.weigh(symbols) == pytest.approx((a, b)) and whole.write(symbols) == now
+
+
+def test_without_labels_clauses_still_tell(spark, empty):
+    texts = ["You are an idiot.", "You are not an idiot.", "He said you are an idiot.", "I will kill you.", "I will not kill you.", "We kill time.", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert [r.predicted for r in toxicity.score(df, labels).orderBy("doc_id").collect()] == [1, 0, 0, 1, 0, 0, 0]
+
+
+def test_weights_are_learned(spark):
+    """Where labels say that reported insults are toxic and plain threats aren't, the weights follow."""
+    rows = [(f"{a} said the {b} idiot left {k}", 1) for k, (a, b) in enumerate([("ann", "old"), ("bob", "new"), ("joe", "odd")] * 40)]
+    rows += [(f"{a} said the {b} boat left {k}", 0) for k, (a, b) in enumerate([("ann", "old"), ("bob", "new"), ("joe", "odd")] * 40)]
+    df = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(rows)], "doc_id bigint, text string, toxic int")
+    m = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert m.symbols[toxicity.WEAK_INSULT] > 2 * toxicity.PRIOR[toxicity.WEAK_INSULT]
+    got = toxicity.score(df.drop("toxic"), df.select("doc_id", "toxic")).join(df.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    assert all(r.predicted == r.toxic for r in got)
+
+
+def test_compiled_rules_do_what_they_say(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 3))
+    rules = [(((0, "<=", 0.5), (1, ">", 0.2)), 1.5), (((2, ">", 0.7),), -2.0), ((), 0.25)]
+    want = 1 / (1 + np.exp(-(0.3 + sum(w * quality._holds(x, r) for r, w in rules))))
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double")
+    got = [r[0] for r in df.select(quality.compile_rules(0.3, rules, ["a", "b", "c"])).collect()]
+    assert np.allclose(got, want)
+
+
+def test_pipeline_of_odd_rows(spark, odd, tmp_path, sf):
+    import corpus_pipeline as p
+
+    odd.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(20, "two words", "en", "s", 9), (21, "one", None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")).write.parquet(f"{tmp_path}/documents.parquet")
+    for name, rows in (("labels", [(20, 1, 1), (21, None, None), (None, 1, 0)]), ("benchmark", [])):
+        kind = "doc_id bigint, quality int, toxic int" if name == "labels" else "item_id bigint, text string"
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = p.run(spark, str(tmp_path))
+    assert {r.doc_id for r in got.collect()} >= {1, 5, 9, 20, None}
 
 
 def accuracy(df, labels, label, cut):
