@@ -27,15 +27,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from ._common import ragged_gather, slices, table, texts_of
+from ._common import discard, materialise, ragged_gather, slices, table, texts_of
 
 #: Pieces in the lexicon; it only speeds encoding up, so its size bounds the broadcast and nothing else.
 LEXICON_PIECES = 1 << 16
 LONGEST_PIECE = 64
+#: Steps of counts in which pieces come in, for each factor of e.
+STEPS = 64
 
 
 def frequent_pieces(df: DataFrame, text_col: str = "text", n: int = LEXICON_PIECES) -> list[bytes]:
-    """The n most frequent pieces of at most LONGEST_PIECE bytes, by their counts over all texts (ties: the least piece)."""
+    """The most frequent pieces of at most LONGEST_PIECE bytes, by their counts over all texts: n at most, as pieces of about one count
+come in together or stay out together (unless no other come in: then the least ones). The driver gets no more than these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,7 +49,16 @@ def frequent_pieces(df: DataFrame, text_col: str = "text", n: int = LEXICON_PIEC
                 yield pa.RecordBatch.from_arrays([p.words.take(pa.array(short)), pa.array(count[short].astype(np.int64))], ["piece", "n"])
 
     counts = df.select(text_col).mapInArrow(run, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    return sorted(bytes(r[0]) for r in counts.orderBy(F.desc("n"), "piece").limit(n).select("piece").collect())
+    counts = materialise(counts.withColumn("step", F.floor(F.log("n") * STEPS).cast("int")), "pieces")
+    cut, room = None, n
+    for r in counts.groupBy("step").agg(F.count("*").alias("pieces")).orderBy(F.desc("step")).collect():  # STEPS for each e-fold of the counts
+        if r.pieces > room:
+            break
+        cut, room = r.step, room - r.pieces
+    some = counts.orderBy(F.desc("n"), "piece").limit(n) if cut is None else counts.where(F.col("step") >= cut)
+    out = sorted(bytes(r[0]) for r in some.select("piece").collect())
+    discard(counts)
+    return out
 
 
 class Automaton:
