@@ -117,17 +117,20 @@ def _whole(raw: bytes) -> np.ndarray:
 
 
 def _distinct(g: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct digests in order, where each stands first, and the number of each place's digest; told apart by check, too, if given."""
-    distinct, first, number = np.unique(g, return_index=True, return_inverse=True)
-    if check is not None and len(g) and (check != check[first][number]).any():
-        order = np.lexsort((check, g))
-        new = np.ones(len(g), bool)
-        new[1:] = (g[order][1:] != g[order][:-1]) | (check[order][1:] != check[order][:-1])
-        first = order[new]
-        number = np.empty(len(g), np.int64)
-        number[order] = np.cumsum(new) - 1
-        distinct = g[first]
-    return distinct, first, number
+    """Distinct digests in order, a place of each, and the number of each place's digest; told apart by check, too, if given."""
+    order = np.argsort(g)  # not a stable sort: any place of a digest stands for it
+    if check is not None and len(g):
+        tie = g[order][1:] == g[order][:-1]
+        if (tie & (check[order][1:] != check[order][:-1])).any():  # two words of one digest
+            order = np.lexsort((check, g))
+    ordered = g[order]
+    new = np.ones(len(g), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if check is not None:
+        new[1:] |= check[order][1:] != check[order][:-1]
+    number = np.empty(len(g), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], order[new], number
 
 
 class _Places:
