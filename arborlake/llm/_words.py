@@ -26,7 +26,7 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     base &= (1 << 64) - 1
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        size = 1 << int(n).bit_length()
+        size = max(1 << 16, int(n) * 9 // 8)
         have = _powers[base] = np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, base, np.uint64)), dtype=np.uint64)
     return have
 

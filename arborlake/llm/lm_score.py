@@ -161,7 +161,8 @@ def _counts(blocks: DataFrame, order: int, levels: tuple, buckets: int) -> DataF
     def send(batches):
         schema = pa.schema([("section", pa.int64()), ("level", pa.int64()), ("bucket", pa.int64()), ("block", pa.int64()), ("gram", pa.binary()), ("check", pa.binary()), ("n", pa.binary())])
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):  # one block at a time: a batch may hold many
+                r = batch.slice(at, 1).to_pylist()[0]
                 p = _Places(r, order, levels)
                 for k in levels:
                     n = np.bincount(p.number[k][p.learned[p.use[k]]], minlength=len(p.distinct[k]))
@@ -169,6 +170,8 @@ def _counts(blocks: DataFrame, order: int, levels: tuple, buckets: int) -> DataF
                     rows = [{"section": r["section"], "level": k, "bucket": b, "block": r["block"], "gram": _planes(g[x:y]), "check": b"" if check is None else check[x:y].tobytes(), "n": _pack(n[x:y])} for b, x, y in _cuts(g, buckets)]
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
+                del r, p, rows
+                release()
 
     def together(t: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
         """Columns; first entry of each distinct n-gram, its number for each entry, its count, all checks, and where rows of the table end."""
@@ -189,7 +192,10 @@ def _counts(blocks: DataFrame, order: int, levels: tuple, buckets: int) -> DataF
         rows = [one | {"block": -1, "gram": _planes(g[first]), "check": check[first].tobytes() if len(check) else b"", "n": _pack(total)}]
         for block, a, b in zip(r["block"], [0, *ends[:-1]], ends, strict=True):  # numbers rise inside a block
             rows.append(one | {"block": block, "gram": b"", "check": b"", "n": _pack(np.diff(number[a:b], prepend=0))})
-        return pa.Table.from_pylist(rows, folded)
+        out = pa.Table.from_pylist(rows, folded)
+        del r, g, check, first, number, total, rows
+        release()
+        return out
 
     def add(t: pa.Table) -> pa.Table:
         r, _, _, _, number, total, ends = together(t)
