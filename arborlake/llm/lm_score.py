@@ -46,22 +46,25 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def tokens(raw: list[bytes], base: int = _words.BASE) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of a start mark, the words and an end mark of each text, and where each text starts (and the end)."""
+def tokens(raw: list[bytes], bases: tuple = (_words.BASE,)) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each base the digests of a start mark, the words and an end mark of each text, and where each text starts (and the end)."""
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8) if raw else np.zeros(0, np.uint8)
     begin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw]))).astype(np.int64)
     w = ~BLANK[data]
     start = np.flatnonzero(w & ~np.concatenate(([False], w[:-1])))
     end = np.flatnonzero(w & ~np.concatenate((w[1:], [False]))) + 1
-    total = _words.sums(_words.LOWER[data], base)
-    h = mix64((total[end] - total[start]) * _words.inverse_powers(len(data), base)[start]) if len(start) else np.zeros(0, np.uint64)
+    low = _words.LOWER[data]
     each = np.diff(np.searchsorted(start, begin))
     ptr = np.concatenate(([0], np.cumsum(each + 2)))
-    out = np.zeros(ptr[-1], np.uint64)
-    inner = np.ones(len(out), bool)
+    inner = np.ones(ptr[-1], bool)
     inner[ptr[:-1]] = inner[ptr[1:] - 1] = False
-    out[inner] = h
-    out[ptr[:-1]], out[ptr[1:] - 1] = START, END
+    out = []
+    for base in bases:
+        total = _words.sums(low, base)
+        h = np.zeros(ptr[-1], np.uint64)
+        h[inner] = mix64((total[end] - total[start]) * _words.inverse_powers(len(data), base)[start]) if len(start) else 0
+        h[ptr[:-1]], h[ptr[1:] - 1] = START, END
+        out.append(h)
     return out, ptr
 
 
@@ -139,8 +142,7 @@ class _Places:
     def __init__(self, r: dict, order: int, levels):
         ends = np.cumsum(r["sizes"]).tolist()
         raw = [r["data"][a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
-        h, self.ptr = tokens(raw)
-        check = tokens(raw, SECOND_BASE)[0] if 0 in levels else None
+        (h, *check), self.ptr = tokens(raw, (_words.BASE, SECOND_BASE) if 0 in levels else (_words.BASE,))
         self.mark = np.zeros(len(h), bool)
         self.mark[self.ptr[:-1]] = True
         held = np.array([x is False for x in r["held"]], bool)
@@ -149,7 +151,7 @@ class _Places:
         for k, g in enumerate(grams(h, self.ptr, order)):
             if k in levels:
                 self.use[k] = np.flatnonzero(~self.mark if k == 0 else g != 0)
-                of = check[self.use[k]] if k == 0 else None
+                of = check[0][self.use[k]] if k == 0 else None
                 self.distinct[k], first, self.number[k] = _distinct(g[self.use[k]], of)
                 self.first[k] = self.use[k][first]
                 self.check[k] = of[first] if k == 0 else None
@@ -171,7 +173,6 @@ def _counts(blocks: DataFrame, order: int, levels: tuple, buckets: int) -> DataF
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                 del r, p, rows
-                release()
 
     def together(t: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
         """Columns; first entry of each distinct n-gram, its number for each entry, its count, all checks, and where rows of the table end."""
@@ -192,10 +193,7 @@ def _counts(blocks: DataFrame, order: int, levels: tuple, buckets: int) -> DataF
         rows = [one | {"block": -1, "gram": _planes(g[first]), "check": check[first].tobytes() if len(check) else b"", "n": _pack(total)}]
         for block, a, b in zip(r["block"], [0, *ends[:-1]], ends, strict=True):  # numbers rise inside a block
             rows.append(one | {"block": block, "gram": b"", "check": b"", "n": _pack(np.diff(number[a:b], prepend=0))})
-        out = pa.Table.from_pylist(rows, folded)
-        del r, g, check, first, number, total, rows
-        release()
-        return out
+        return pa.Table.from_pylist(rows, folded)
 
     def add(t: pa.Table) -> pa.Table:
         r, _, _, _, number, total, ends = together(t)
