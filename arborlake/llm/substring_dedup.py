@@ -12,7 +12,8 @@ make a phrase; the phrases of a text, overlapping by size - 1 bytes, are its par
    suffix array once, with its smallest id, to be merged over all blocks.
 5. Each block joins the answers with its parse, marks the bytes covered, and cuts them.
 
-Blocks are folded before each shuffle, so a passage in every document costs one entry a block and never gathers in a task.
+Blocks are folded before each shuffle, so a passage in every document costs one entry a block; of more than FAN blocks, groups of
+blocks are folded in turn, so a task gets FAN entries of a string at most, however often the corpus has it.
 Between the steps only the blocks and digests of strings travel (64 bits and a further 32). The tables of each step are in the
 shared folder.
 
@@ -41,6 +42,8 @@ RUN_BYTES = 1 << 19
 #: Input bytes for each bucket, and the fewest buckets.
 BUCKET_BYTES = 6 << 20
 LEAST_BUCKETS = 64
+#: Blocks (or groups of blocks) whose rows of a bucket meet in one task.
+FAN = 1 << 14
 
 
 def parse(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, size: int = SIZE, k: int = TRIGGERS[0]):
@@ -172,6 +175,22 @@ def _cuts(h: np.ndarray, buckets: int):
     return [(k, int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(np.diff(edges)).tolist()]
 
 
+def _fan_in(source: DataFrame, blocks: int, answer, fold, unfold, shape: str, name: str) -> DataFrame:
+    """``answer`` for the rows (block, bucket, entries) of each bucket. Of more than FAN blocks, ``fold`` leaves one entry of each string
+    to a team of blocks, the teams are answered as blocks are, and ``unfold`` hands the answers on to the blocks of a team."""
+    if blocks <= FAN:
+        return source.groupBy("bucket").applyInArrow(answer, shape)
+    teams = -(-blocks // FAN)
+    rows = materialise(source, f"{name}-rows")
+    part = F.floor(F.col("bucket") / teams).alias("part")  # a team has a share of each bucket, so several make a task
+    placed = rows.select("*", F.pmod(F.xxhash64("block"), F.lit(teams)).alias("team"), part)
+    upper = _fan_in(placed.groupBy("team", "part").applyInArrow(fold, rows.schema), teams, answer, fold, unfold, shape, name)
+    of_teams = upper.select("*", F.col("block").alias("team"), part)
+    out = materialise(placed.groupBy("team", "part").cogroup(of_teams.groupBy("team", "part")).applyInArrow(unfold, shape), name)
+    discard(rows, upper)
+    return out
+
+
 def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row per row: id, n_bytes, n_removed, n_spans, spans (array of start, end in bytes), kept_sha256."""
     blocks, answers = _answers(df.select(id_col, text_col), id_col, text_col, size)
@@ -209,6 +228,7 @@ def _answers(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
     buckets = max(LEAST_BUCKETS, plan_bytes(df.select(id_col, text_col), text_col) // BUCKET_BYTES)
     blocks = materialise(_blocks(df, id_col, text_col), "blocks")
     bodies = blocks.drop("rest")
+    n_blocks = blocks.count()
 
     entries = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("trigger", pa.binary()), ("digest", pa.binary()), ("doc", pa.binary())])
 
@@ -222,34 +242,56 @@ def _answers(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, entries)
 
-    def meet(t: pa.Table) -> pa.Table:
+    def in_order(t: pa.Table):
+        """The rows; trigger, phrase and least id of the entries, sorted; the order; where triggers and phrases begin; which each entry has."""
         r = t.to_pydict()
-        v = np.frombuffer(b"".join(r["trigger"]), np.uint64)
-        p = np.frombuffer(b"".join(r["digest"]), np.uint64)
-        doc = np.frombuffer(b"".join(r["doc"]), np.int64)
+        v, p, doc = (np.frombuffer(b"".join(r[k]), kind) for k, kind in (("trigger", np.uint64), ("digest", np.uint64), ("doc", np.int64)))
         order = np.lexsort((p, v))
-        vs, ps, ds = v[order], p[order], doc[order]
-        new_v = np.ones(len(vs), bool)
-        new_v[1:] = vs[1:] != vs[:-1]
+        v, p, doc = v[order], p[order], doc[order]
+        new_v = np.ones(len(v), bool)
+        new_v[1:] = v[1:] != v[:-1]
         new_p = new_v.copy()
-        new_p[1:] |= ps[1:] != ps[:-1]
-        at_v, at_p = np.flatnonzero(new_v), np.flatnonzero(new_p)
-        of_v, of_p = np.cumsum(new_v) - 1, np.cumsum(new_p) - 1
-        least_v, least_p = np.minimum.reduceat(ds, at_v), np.minimum.reduceat(ds, at_p)
-        last_p = np.maximum.reduceat(least_p[of_p], at_v)
-        alone = np.diff(np.append(at_v, len(vs))) == 1
-        state_sorted = np.where(alone[of_v], 0, np.where((last_p > least_v)[of_v], 3, 1)).astype(np.uint8)
-        state, gv, gp = np.empty(len(v), np.uint8), np.empty(len(v), np.int64), np.empty(len(v), np.int64)
-        state[order], gv[order], gp[order] = state_sorted, least_v[of_v], least_p[of_p]
-        ends = np.cumsum([len(x) // 8 for x in r["trigger"]])
+        new_p[1:] |= p[1:] != p[:-1]
+        return r, v, p, doc, order, np.flatnonzero(new_v), np.flatnonzero(new_p), np.cumsum(new_v) - 1, np.cumsum(new_p) - 1
+
+    def told(r: dict, order: np.ndarray, *by_order: np.ndarray) -> pa.Table:
+        """State, least id of the trigger and of the phrase of each entry, as a row for each row asked."""
+        state, gv, gp = (np.empty(len(order), x.dtype) for x in by_order)
+        state[order], gv[order], gp[order] = by_order
+        ends = np.cumsum([len(x) // 8 for x in r["trigger"]]).tolist()
         out = []
-        for block, b, a in zip(r["block"], ends.tolist(), [0, *ends[:-1].tolist()], strict=True):
+        for block, bucket, b, a in zip(r["block"], r["bucket"], ends, [0, *ends[:-1]], strict=True):
             some = state[a:b] > 0
-            out.append({"block": block, "bucket": r["bucket"][0], "state": state[a:b].tobytes(), "by_trigger": gv[a:b][some].tobytes(), "by_phrase": gp[a:b][some].tobytes()})
+            out.append({"block": block, "bucket": bucket, "state": state[a:b].tobytes(), "by_trigger": gv[a:b][some].tobytes(), "by_phrase": gp[a:b][some].tobytes()})
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("state", pa.binary()), ("by_trigger", pa.binary()), ("by_phrase", pa.binary())]))
 
+    def meet(t: pa.Table) -> pa.Table:
+        r, _, _, doc, order, at_v, at_p, of_v, of_p = in_order(t)
+        least_v, least_p = np.minimum.reduceat(doc, at_v), np.minimum.reduceat(doc, at_p)
+        last_p = np.maximum.reduceat(least_p[of_p], at_v)
+        alone = np.diff(np.append(at_v, len(doc))) == 1
+        state = np.where(alone[of_v], 0, np.where((last_p > least_v)[of_v], 3, 1)).astype(np.uint8)
+        return told(r, order, state, least_v[of_v], least_p[of_p])
+
+    def fold(t: pa.Table) -> pa.Table:
+        _, v, p, doc, _, _, at, _, _ = in_order(t)
+        v, p, doc, team = v[at], p[at], np.minimum.reduceat(doc, at), t.column("team")[0].as_py()
+        return pa.Table.from_pylist([{"bucket": k, "block": team, "trigger": v[x:y].tobytes(), "digest": p[x:y].tobytes(), "doc": doc[x:y].tobytes()} for k, x, y in _cuts(v, buckets)], entries)
+
+    def unfold(t: pa.Table, upper: pa.Table) -> pa.Table:
+        r, _, _, doc, order, at_v, at_p, of_v, of_p = in_order(t)
+        rows = sorted(upper.to_pylist(), key=lambda x: x["bucket"])
+        state = np.frombuffer(b"".join(x["state"] for x in rows), np.uint8)
+        gv = np.minimum.reduceat(doc, at_p)
+        gp = gv.copy()
+        gv[state > 0] = np.frombuffer(b"".join(x["by_trigger"] for x in rows), np.int64)
+        gp[state > 0] = np.frombuffer(b"".join(x["by_phrase"] for x in rows), np.int64)
+        alone = (np.diff(np.append(at_v, len(doc))) == 1)[of_v]
+        return told(r, order, np.where(alone, state[of_p], np.maximum(state[of_p], 1)).astype(np.uint8), gv[of_p], gp[of_p])
+
     def met(source: DataFrame, name: str) -> DataFrame:
-        return materialise(source.groupBy("bucket").applyInArrow(meet, "block bigint, bucket bigint, state binary, by_trigger binary, by_phrase binary"), name)
+        out = _fan_in(source, n_blocks, meet, fold, unfold, "block bigint, bucket bigint, state binary, by_trigger binary, by_phrase binary", name)
+        return out if hasattr(out, "_scratch_path") else materialise(out, name)
 
     shape = "bucket bigint, block bigint, trigger binary, digest binary, doc binary"
     first = met(bodies.mapInArrow(phrases, shape), "phrases")
@@ -336,23 +378,40 @@ def _answers(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
     discard(second)
     discard(left)
 
-    def merge(t: pa.Table) -> pa.Table:
+    def strings(t: pa.Table):
+        """The rows; both digests and least id of the distinct strings, sorted; which of them each entry is."""
         r = t.to_pydict()
-        one = np.frombuffer(b"".join(r["a"]), np.uint64)
-        two = np.frombuffer(b"".join(r["b"]), np.uint32)
-        doc = np.frombuffer(b"".join(r["c"]), np.int64)
+        one, two, doc = (np.frombuffer(b"".join(r[k]), kind) for k, kind in (("a", np.uint64), ("b", np.uint32), ("c", np.int64)))
         order = np.lexsort((two, one))
         new = np.ones(len(order), bool)
         new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        least = np.empty(len(order), np.int64)
-        least[order] = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        at = np.flatnonzero(new)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return r, one[order][at], two[order][at], np.minimum.reduceat(doc[order], at), which
+
+    def least_of(r: dict, least: np.ndarray) -> pa.Table:
         ends = np.cumsum([len(x) // 8 for x in r["a"]]).tolist()
         return pa.table({"block": pa.array(r["block"], pa.int64()), "bucket": pa.array(r["bucket"], pa.int64()), "least": pa.array([least[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())})
 
-    merged = settled.where("bucket >= 0").groupBy("bucket").applyInArrow(merge, "block bigint, bucket bigint, least binary")
+    def merge(t: pa.Table) -> pa.Table:
+        r, _, _, least, which = strings(t)
+        return least_of(r, least[which])
+
+    def fold_strings(t: pa.Table) -> pa.Table:
+        _, one, two, least, _ = strings(t)
+        team = t.column("team")[0].as_py()
+        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+        return pa.Table.from_pylist([{"block": team, "bucket": k, "a": one[x:y].tobytes(), "b": two[x:y].tobytes(), "c": least[x:y].tobytes(), "d": b""} for k, x, y in _cuts(one, buckets)], schema)
+
+    def unfold_strings(t: pa.Table, upper: pa.Table) -> pa.Table:
+        r, _, _, _, which = strings(t)
+        return least_of(r, np.frombuffer(b"".join(x["least"] for x in sorted(upper.to_pylist(), key=lambda x: x["bucket"])), np.int64)[which])
+
+    merged = _fan_in(settled.where("bucket >= 0"), n_blocks, merge, fold_strings, unfold_strings, "block bigint, bucket bigint, least binary", "merged")
     answers = merged.withColumns({"a": F.lit(None).cast("binary"), "b": F.lit(None).cast("binary"), "c": F.lit(None).cast("binary"), "d": F.lit(None).cast("binary")})
     answers = materialise(answers.unionByName(settled.where("bucket < 0").withColumn("least", F.lit(None).cast("binary"))), "answers")
-    discard(settled)
+    discard(settled, merged)
 
     return blocks, answers
 

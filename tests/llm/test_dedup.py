@@ -73,7 +73,10 @@ def brute_spans(rows, size):
     return out
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("fan", [1 << 14, 2])
+def test_substrings(spark, monkeypatch, fan):
+    """Also with teams of blocks, and teams of teams."""
+    monkeypatch.setattr(substring_dedup, "FAN", fan)
     r = random.Random(9)
     passage = ["".join(r.choice("abé ") for _ in range(r.randint(40, 400))) for _ in range(6)]
     rows = [(k, "".join(r.choice([r.choice(passage), "".join(r.choice("xyz ") for _ in range(60)), "ab" * 40]) for _ in range(r.randint(0, 6)))) for k in range(60)]
