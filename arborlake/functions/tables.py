@@ -12,8 +12,9 @@ from ..sources.xml import Shredder
 @udtf(returnType="node_id int, parent_id int, last_desc int, depth int, ord int, kind string, ns string, tag string, value string, xsi_type string, error string")
 class XmlNodes:
     def eval(self, text: str):
-        for row in Shredder().read(text):
-            yield tuple(row)
+        for piece in Shredder().pieces(text):
+            for row in piece:
+                yield tuple(row[:-1])
 
 
 @udtf(returnType="pos int, tag string, elements array<string>")

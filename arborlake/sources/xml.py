@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,84 +21,159 @@ NODE_FIELDS = [("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_desc",
 OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "ignoreNamespace": "true", "mode": "PERMISSIVE"}
 
 
+KINDS = ("elem", "attr", "text")
+CHUNK = 1 << 16  #: characters of a text that go to the parser at once, and rows that wait for their element's end
+
+
+def _checked(text: str) -> str | None:
+    """The error of a malformed text. Nothing is kept."""
+    p = expat.ParserCreate(namespace_separator="\x01")
+    try:
+        for lo in range(0, len(text), CHUNK):
+            p.Parse(text[lo : lo + CHUNK], False)
+        p.Parse("", True)
+    except expat.ExpatError as e:
+        return str(e)
+    return None
+
+
 class Shredder:
     """Nodes of one document. Comments and instructions are dropped, text around them is joined, white space between elements is
-    dropped, external entities are never loaded. A malformed document gives one row with its error."""
+    dropped, external entities are never loaded. A malformed document gives one row with its error. Nodes of other kinds than ``kinds``
+    are counted, not kept."""
 
-    def __init__(self):
+    def __init__(self, kinds: tuple[str, ...] = KINDS):
+        self.elements, self.attributes, self.texts = (k in kinds for k in KINDS)
         self.rows: list[list] = []
-        self.open: list[list] = []  # rows of open elements
+        self.n = 0  # nodes so far
+        self.open: list[list] = []  # rows of open elements, kept or not
         self.count: list[int] = []  # children so far
         self.text: list[str] = []
+        self.names: dict[str, tuple] = {}
 
-    def _add(self, kind, ns, tag, value, xsi=None) -> list:
-        parent = self.open[-1] if self.open else None
-        if self.open:
-            self.count[-1] += kind != "attr"
-        k = len(self.rows) + 1
-        row = [k, parent[0] if parent else None, k, len(self.open), (self.count[-1] if kind != "attr" else 0) if self.open else 1, kind, ns, tag, value, xsi, None]
-        self.rows.append(row)
-        return row
+    def _split(self, name: str) -> tuple:
+        got = self.names.get(name)
+        if got is None:
+            ns, _, local = name.rpartition("\x01")
+            got = self.names[name] = (ns or None, local)
+        return got
 
     def _flush(self) -> None:
-        text = "".join(self.text)
+        text = self.text[0] if len(self.text) == 1 else "".join(self.text)
         self.text.clear()
-        if text.strip() and self.open:
-            self._add("text", None, None, text)
-
-    @staticmethod
-    def _split(name: str):
-        ns, _, local = name.rpartition("\x01")
-        return ns or None, local
+        if self.open and not text.isspace():
+            self.count[-1] += 1
+            self.n += 1
+            if self.texts:
+                parent = self.open[-1]
+                self.rows.append([self.n, parent[0], self.n, len(self.open), self.count[-1], "text", None, None, text, None, None, parent[7]])
 
     def start(self, name: str, attributes: list[str]) -> None:
-        self._flush()
-        pairs = list(zip(attributes[::2], attributes[1::2], strict=True))
-        xsi = next((v for k, v in pairs if k == f"{XSI}\x01type"), None)
-        row = self._add("elem", *self._split(name), None, xsi)
+        if self.text:
+            self._flush()
+        k = self.n = self.n + 1
+        ns, tag = self.names.get(name) or self._split(name)
+        if self.open:
+            self.count[-1] += 1
+            parent = self.open[-1]
+            row = [k, parent[0], 0, len(self.open), self.count[-1], "elem", ns, tag, None, None, None, parent[7]]
+        else:
+            row = [k, None, 0, 0, 1, "elem", ns, tag, None, None, None, None]
+        if self.elements:
+            self.rows.append(row)
         self.open.append(row)
         self.count.append(0)
-        for k, v in pairs:
-            self._add("attr", *self._split(k), v)
+        if attributes:
+            depth = len(self.open)
+            for at in range(0, len(attributes), 2):
+                name, value = attributes[at], attributes[at + 1]
+                if name == f"{XSI}\x01type" and row[9] is None:
+                    row[9] = value
+                self.n += 1
+                if self.attributes:
+                    ns, own = self.names.get(name) or self._split(name)
+                    self.rows.append([self.n, k, self.n, depth, 0, "attr", ns, own, value, None, None, tag])
 
     def end(self, name: str) -> None:
-        self._flush()
-        row = self.open.pop()
+        if self.text:
+            self._flush()
+        self.open.pop()[2] = self.n
         self.count.pop()
-        row[2] = len(self.rows)
 
-    def read(self, text: str | None) -> list[list]:
-        if text is None:
-            return []
+    def _parser(self):
         p = expat.ParserCreate(namespace_separator="\x01")
         p.buffer_text = True
         p.ordered_attributes = True
         p.StartElementHandler, p.EndElementHandler = self.start, self.end
         p.CharacterDataHandler = self.text.append
-        try:
-            p.Parse(text, True)
-        except expat.ExpatError as e:
-            return [[None] * 10 + [str(e)]]
-        return self.rows
+        return p
+
+    def pieces(self, text: str | None) -> Iterator[list[list]]:
+        """The rows (NODE_FIELDS and the parent's tag) in pieces. A long text is checked first, then goes through in chunks, and rows leave as
+        soon as they are known: what is held are the open elements and a chunk, whatever the document's size."""
+        if text is None:
+            return
+        if len(text) <= CHUNK:
+            try:
+                self._parser().Parse(text, True)
+            except expat.ExpatError as e:
+                self.rows = [[None] * 10 + [str(e), None]]
+            if self.rows:
+                yield self.rows
+            return
+        if (error := _checked(text)) is not None:
+            yield [[None] * 10 + [error, None]]
+            return
+        p = self._parser()
+        for lo in range(0, len(text) + CHUNK, CHUNK):
+            p.Parse(text[lo : lo + CHUNK], lo >= len(text))
+            if len(self.rows) >= 1024:
+                # open elements stay, without those that wait for their end already
+                done = [r for r in self.rows if r[2]]
+                self.rows[:] = [r for r in self.rows if not r[2]]
+                if done:
+                    yield done
+        if self.rows:
+            yield self.rows
+
+    def read(self, text: str | None) -> list[list]:
+        """Rows of NODE_FIELDS."""
+        return [r[:-1] for piece in self.pieces(text) for r in piece]
 
 
-def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node_id, parent_id, last_desc, depth, ord, kind, ns, tag, value, xsi_type, error)."""
+def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fields: list[str] | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, node_id, parent_id, last_desc, depth, ord, kind, ns, tag, value, xsi_type, error). ``fields`` limits the columns to those that are
+    used and may ask for parent_tag beside them; ``kinds`` limits the rows to nodes of these kinds, without the errors of malformed texts."""
+    every = [*NODE_FIELDS, ("parent_tag", pa.string())]
+    wanted = [k for k, (n, _) in enumerate(every) if (n in fields if fields is not None else n != "parent_tag")]
+    keep = tuple(kinds) if kinds is not None else KINDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids, rows = [], []
-                for i, t in zip(part.column(id_col).to_pylist(), part.column(text_col).to_pylist(), strict=True):
-                    got = Shredder().read(t)
-                    ids += [i] * len(got)
-                    rows += got
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in NODE_FIELDS]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field(id_col).type), *[pa.array(list(c), k) for c, (_, k) in zip(columns, NODE_FIELDS, strict=True)]], [id_col, *[n for n, _ in NODE_FIELDS]])
+            of = batch.schema.field(id_col).type
+            ids, counts, rows = [], [], []
+
+            def out():
+                places = pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), counts), pa.int32())
+                got = pa.RecordBatch.from_arrays([pa.array(ids, of).take(places), *[pa.array([r[k] for r in rows], every[k][1]) for k in wanted]], [id_col, *[every[k][0] for k in wanted]])
+                ids.clear(), counts.clear(), rows.clear()
+                return got
+
+            texts, names = batch.column(text_col), batch.column(id_col)
+            for at in range(batch.num_rows):
+                for piece in Shredder(keep).pieces(texts[at].as_py()):
+                    if kinds is not None and piece[0][10] is not None:
+                        continue
+                    ids.append(names[at].as_py())
+                    counts.append(len(piece))
+                    rows += piece
+                    if len(rows) >= 8192:
+                        yield out()
+            if rows:
+                yield out()
 
     ints = {"node_id", "parent_id", "last_desc", "depth", "ord"}
-    schema = T.StructType([docs.schema[id_col], *[T.StructField(n, T.IntegerType() if n in ints else T.StringType()) for n, _ in NODE_FIELDS]])
+    schema = T.StructType([docs.schema[id_col], *[T.StructField(every[k][0], T.IntegerType() if every[k][0] in ints else T.StringType()) for k in wanted]])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
