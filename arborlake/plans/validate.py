@@ -127,18 +127,26 @@ def violations(graph: SchemaGraph, value: Column, key: str | None = None, depth:
 
 
 def unexpected_children(nodes: DataFrame, allowed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Elements whose (parent tag, tag) isn't among the allowed pairs (parent, tag): the closed-world check."""
+    """Elements whose (parent tag, tag) isn't among the allowed pairs (parent, tag): the closed-world check. A node table with parent_tag isn't
+    joined with itself; one without is, by sorted merge, as Spark takes it for as small as the texts' columns and would broadcast it. The
+    pairs come from a schema and are broadcast: nodes aren't gathered by their few tags."""
     elems = nodes.where("kind = 'elem'")
+    if "parent_tag" in nodes.columns:
+        return elems.where("parent_tag is not null").withColumnRenamed("parent_tag", "parent").join(F.broadcast(allowed), ["parent", "tag"], "left_anti")
     parent = elems.select(id_col, F.col("node_id").alias("parent_id"), F.col("tag").alias("parent"))
-    return elems.join(parent, [id_col, "parent_id"]).join(allowed, ["parent", "tag"], "left_anti")
+    return elems.join(parent.hint("merge"), [id_col, "parent_id"]).join(F.broadcast(allowed), ["parent", "tag"], "left_anti")
 
 
 def occurrence_bounds(nodes: DataFrame, parent: str, child: str, least: int, most: int | None, id_col: str = "doc_id") -> DataFrame:
     """Parents with too few or too many children of a tag: (id, node_id, n)."""
-    p = nodes.where((F.col("kind") == "elem") & (F.col("tag") == parent)).select(id_col, "node_id")
-    c = nodes.where((F.col("kind") == "elem") & (F.col("tag") == child)).groupBy(id_col, F.col("parent_id").alias("node_id")).count()
-    n = F.coalesce("count", F.lit(0))
-    return p.join(c, [id_col, "node_id"], "left").select(id_col, "node_id", n.alias("n")).where((F.col("n") < least) | (F.lit(most is not None) & (F.col("n") > (most or 0))))
+    own, inside = F.col("tag") == parent, F.col("tag") == child
+    row = lambda node, own, n: F.struct(F.col(node).alias("node_id"), F.lit(own).alias("own"), F.lit(n).alias("n"))
+    mine, its = row("node_id", 1, 0), row("parent_id", 0, 1)
+    rows = F.array(mine, its) if parent == child else F.array(F.when(own, mine).otherwise(its))
+    # parents and children in one pass over the table
+    every = nodes.where((F.col("kind") == "elem") & (own | inside)).select(id_col, F.explode(rows).alias("_r")).select(id_col, "_r.*")
+    g = every.groupBy(id_col, "node_id").agg(F.sum("n").alias("n"), F.max("own").alias("own")).where("own = 1").drop("own")
+    return g.where((F.col("n") < least) | (F.lit(most is not None) & (F.col("n") > (most or 0))))
 
 
 def out_of_order(nodes: DataFrame, parent: str, order: list[str], id_col: str = "doc_id") -> DataFrame:
