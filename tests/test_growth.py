@@ -1,7 +1,8 @@
 """Results and plans that must hold on tables of any size."""
 
-from arborlake.plans import validate
-from arborlake.sources import xml
+from arborlake.plans import queries, validate
+from arborlake.sources import x12, xml
+from arborlake.sources.x12 import _cut_binary
 
 
 def plan(df):
@@ -42,3 +43,43 @@ def test_occurrence_bounds_take_one_pass(spark):
     assert "Join" not in plan(got)
     assert {(r.doc_id, r.node_id, r.n) for r in got.collect()} == {(1, 1, 3), (3, 1, 0)}
     assert {(r.doc_id, r.node_id, r.n) for r in validate.occurrence_bounds(xml.nodes(docs), "a", "a", 1, None).collect() if r.doc_id == 4} == {(4, 2, 0), (4, 4, 0)}
+
+
+def test_interchanges_read_lines_once(spark, sf):
+    got = queries.interchanges(spark, sf)
+    scans = [x for x in plan(got).splitlines() if "FileScan" in x]
+    assert len(scans) == 2 and "BroadcastHashJoin" not in plan(got)
+
+
+ISA = "ISA*00*          *00*          *ZZ*A              *ZZ*B              *260101*0000*^*00501*000000001*0*P*:~"
+
+
+def test_segments_cut_alike_for_all_delimiters(spark):
+    plain = ISA + " \r\n ST*1~\tN1*a\\b**x*~~ ~SE*2*1~"
+    texts = [plain] + [plain.translate(str.maketrans({"*": a, "~": b})) for a, b in (("|", "\n"), (".", "]"), ("+", "$"), ("é", "𝄞"), ("?", "("))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    s = x12.segments(docs, "doc_id")
+    got = {}
+    for r in s.orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.pos, r.tag, tuple(r.elements)))
+    assert len(got) == len(texts) and all(got[k][1:] == got[0][1:] for k in got)
+    assert got[0][1:] == [(2, "ST", ("1",)), (3, "N1", ("a\\b", "", "x", "")), (4, "SE", ("2", "1"))]
+    assert "transform" not in plan(s).lower()
+
+
+def test_nesting_takes_one_pass(spark):
+    docs = spark.createDataFrame([(1, ISA + "GS*A~ST*1~B*1~SE*2~GE*1~GS*B~GE*0~IEA*2~"), (2, "ST*1~X~SE*2~"), (3, "X*1~"), (4, ISA + "IEA*0~")], "doc_id int, text string")
+    n = x12.nested(x12.segments(docs, "doc_id"), "doc_id")
+    assert "Join" not in plan(n)
+    got = {r.doc_id: r.interchanges for r in n.collect()}
+    assert sorted(got) == [1, 2, 4]
+    assert [s.tag for s in got[1][0].envelope] == ["ISA", "GS", "GE", "GS", "GE", "IEA"]
+    assert [[t.st for t in g.transaction_sets] for g in got[1][0].functional_groups] == [[1]]
+    assert got[2][0].envelope is None and [s.tag for s in got[2][0].functional_groups[0].transaction_sets[0].segments] == ["ST", "X", "SE"]
+    assert got[4][0].functional_groups is None
+
+
+def test_cut_of_plain_texts_is_as_piece_by_piece():
+    for text in ("A*1~ B~~\n~C*BIN*2~ ", "A~ \r\n", "A*1", "~", "A*1~BI"):
+        assert _cut_binary(text, "*", "~") == _cut_binary(text + "~BIN*1*x~", "*", "~")[: len(_cut_binary(text, "*", "~"))]
+    assert _cut_binary("A*1\n\n B\n", "*", "\n") == [["A", "1"], ["B"]]
