@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.leaf import encode_x12_date, encode_x12_integer, encode_x12_time, leaf
-from ..sinks.x12 import trimmed_join
+from ..sinks.x12 import joined
 from ..sources.x12 import DEFAULTS, _cut_binary
 
 UNREAD = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("elements", T.ArrayType(T.StringType()))]))
@@ -40,47 +40,55 @@ def _plan(field: T.StructField) -> dict:
     return out | {"fields": [_plan(f) for f in kind.fields]}
 
 
+def _prepare(plan: dict) -> frozenset:
+    """Gives each field what the reader asks for at every segment: the segment that opens it and that one's coded elements. Returns all tags."""
+    if "tag" in plan:
+        plan["lead"] = plan
+        plan["coded"] = [(place, frozenset(codes)) for _, place, codes, inner in plan["elements"] if inner is None and codes]
+        return frozenset([plan["tag"]])
+    tags = frozenset().union(*[_prepare(f) for f in plan["fields"]])
+    plan["lead"] = plan["fields"][0]["lead"] if plan["fields"] else None
+    plan["rests"] = {}
+    return tags
+
+
 class _Reader:
-    def __init__(self, plan: dict, segments: list[list[str]], component: str):
+    def __init__(self, plan: dict, tags: frozenset, segments: list[list[str]], component: str):
         self.segments, self.component, self.at, self.unread = segments, component, 0, []
-        self.plan = plan
-        self.tags = set()
-        todo = [plan]
-        while todo:
-            p = todo.pop()
-            self.tags |= {p["tag"]} if "tag" in p else set()
-            todo += p.get("fields", [])
-
-    def _skip(self) -> None:
-        while self.at < len(self.segments) and self.segments[self.at][0].strip() not in self.tags:
-            self._keep(self.at, self.segments[self.at][1:])
-            self.at += 1
+        self.plan, self.known = plan, tags
+        self.tags = [s[0].strip() for s in segments]
+        self.n = len(segments)
 
     def _keep(self, at: int, elements: list[str]) -> None:
-        self.unread.append({"pos": at + 1, "tag": self.segments[at][0].strip(), "elements": elements})
+        self.unread.append({"pos": at + 1, "tag": self.tags[at], "elements": elements})
 
     def _fits(self, p: dict) -> bool:
-        self._skip()
-        if self.at >= len(self.segments):
+        at, known, tags = self.at, self.known, self.tags
+        while at < self.n and tags[at] not in known:
+            self._keep(at, self.segments[at][1:])
+            at += 1
+        self.at = at
+        if at >= self.n:
             return False
-        while "tag" not in p:
-            p = p["fields"][0]  # the segment that opens the loop
-        s = self.segments[self.at]
-        if s[0].strip() != p["tag"]:
+        p = p["lead"]  # the segment that opens the loop
+        if tags[at] != p["tag"]:
             return False
-        return all(not codes or place >= len(s) or not s[place] or s[place] in codes for _, place, codes, inner in p["elements"] if inner is None)
+        if p["coded"]:
+            s = self.segments[at]
+            return all(place >= len(s) or not s[place] or s[place] in codes for place, codes in p["coded"])
+        return True
 
     def _segment(self, p: dict) -> dict:
         s = self.segments[self.at]
-        out = {}
+        out, n = {}, len(s)
         for name, place, _, inner in p["elements"]:
-            text = s[place] if place < len(s) else ""
+            text = s[place] if place < n else ""
             if inner is None:
                 out[name] = text or None
             elif text:
                 parts = text.split(self.component)
                 out[name] = {n: parts[k - 1] or None for n, k, _ in inner if k <= len(parts)}
-        if len(s) > p["most"] + 1 and any(s[p["most"] + 1 :]):
+        if n > p["most"] + 1 and any(s[p["most"] + 1 :]):
             self._keep(self.at, s[p["most"] + 1 :])
         self.at += 1
         return out
@@ -88,9 +96,11 @@ class _Reader:
     def group(self, p: dict, after: frozenset = frozenset()) -> dict:
         """after: tags that may come once this instance has ended; what comes before one of them has no place here."""
         out: dict = {}
-        firsts = [_first(f) for f in p["fields"]]
-        for k, f in enumerate(p["fields"]):
-            rest = after | set(firsts[k + 1 :]) | ({firsts[k]} if f["many"] else set())
+        rests = p["rests"].get(after)
+        if rests is None:
+            firsts = [f["lead"]["tag"] for f in p["fields"]]
+            rests = p["rests"][after] = [after | set(firsts[k + 1 :]) | ({firsts[k]} if f["many"] else set()) for k, f in enumerate(p["fields"])]
+        for f, rest in zip(p["fields"], rests, strict=True):
             values = []
             while self._fits(f):
                 values.append(self._segment(f) if "tag" in f else self.group(f, rest))
@@ -98,7 +108,7 @@ class _Reader:
                     break
             if values:
                 out[f["name"]] = values if f["many"] else values[0]
-        while self.at < len(self.segments) and self.segments[self.at][0].strip() not in after:
+        while self.at < self.n and self.tags[self.at] not in after:
             self._keep(self.at, self.segments[self.at][1:])
             self.at += 1
         return out
@@ -107,12 +117,6 @@ class _Reader:
         return self.group(self.plan)
 
 
-def _first(p: dict) -> str:
-    while "tag" not in p:
-        p = p["fields"][0]
-    return p["tag"]
-
-
 def _text_type(kind: T.DataType) -> T.DataType:
     if isinstance(kind, T.StructType):
         return T.StructType([T.StructField(f.name, _text_type(f.dataType)) for f in kind.fields])
@@ -141,6 +145,7 @@ def read(docs: DataFrame, kind: T.StructType, text_col: str = "text") -> DataFra
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow, arrow_unread = to_arrow_type(shape), to_arrow_type(UNREAD)
+        tags = _prepare(plan)
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
@@ -152,7 +157,7 @@ def read(docs: DataFrame, kind: T.StructType, text_col: str = "text") -> DataFra
                         continue
                     isa = t.startswith("ISA") and len(t) > 105
                     element, component, terminator = (t[3], t[104], t[105]) if isa else (DEFAULTS[0], DEFAULTS[2], DEFAULTS[3])
-                    r = _Reader(plan, _cut_binary(t, element, terminator), component)
+                    r = _Reader(plan, tags, _cut_binary(t, element, terminator), component)
                     values.append(r.read())
                     unread.append(r.unread or None)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(values, arrow), pa.array(unread, arrow_unread)], [*others, "value", "unread"])
@@ -181,12 +186,12 @@ def _segment_text(field: T.StructField, c: Column, element: str, component: str)
     for e in _item(field).fields:
         if isinstance(e.dataType, T.StructType):
             inner = {x.metadata["sequence"]: _encode(x, c[e.name][x.name], False) for x in e.dataType.fields}
-            text = trimmed_join(F.array(*[inner.get(k, F.lit(None).cast("string")) for k in range(1, max(inner) + 1)]), component)
+            text = joined([inner.get(k, F.lit(None).cast("string")) for k in range(1, max(inner) + 1)], component)
         else:
             text = _encode(e, c[e.name], tag == "ISA")
         by_place[e.metadata["sequence"]] = text
     parts = [by_place.get(k, F.lit(None).cast("string")) for k in range(1, max(by_place, default=0) + 1)]
-    return trimmed_join(F.array(F.lit(tag), *parts), element)
+    return joined([F.lit(tag), *parts], element)
 
 
 def _lines(field: T.StructField, c: Column, element: str, component: str) -> Column:
