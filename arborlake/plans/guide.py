@@ -55,6 +55,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def _by_place(df: DataFrame) -> DataFrame:
+    """A table with rows for each place grows with the guide, and a small file of it can be a large hash table: sorted and merged, never
+    broadcast."""
+    return df.hint("merge")
+
+
 def _placed(df: DataFrame) -> DataFrame:
     """With _pos, the place of a row in its table: of its line where :func:`load` read it, else of the row as it comes."""
     return df if "_pos" in df.columns else df.withColumn("_pos", F.monotonically_increasing_id())
@@ -119,7 +125,7 @@ def kept_segments(spec: dict[str, DataFrame]) -> DataFrame:
     used = spec["CONDETL"].where("segment_id is null and usage is not null").select("area", "sequence").distinct()
     note = _placed(spec["CONTEXT"]).where("note_type = 'A' and record_type = 'B'")
     note = first_known(note, ["area", "sequence"], "note", F.col("_pos"))
-    s = spec["SETDETL"].join(small(used), ["area", "sequence"], "left_semi").join(small(note), ["area", "sequence"], "left")
+    s = spec["SETDETL"].join(_by_place(used), ["area", "sequence"], "left_semi").join(_by_place(note), ["area", "sequence"], "left")
     return s.select("area", "sequence", "segment_id", F.coalesce(slug(F.col("note")), F.col("segment_id")).alias("segment_name"), (F.col("requirement") == "O").alias("optional"), (F.col("maximum_use") != "1").alias("repeated"), "loop_level", "loop_repeat", "loop_identifier")
 
 
@@ -129,28 +135,31 @@ def guide_elements(spec: dict[str, DataFrame]) -> DataFrame:
     types = element_types(spec)
     base = kept_segments(spec).select("area", "sequence", "segment_id", "segment_name")
     seg = spec["SEGDETL"].select("segment_id", F.col("sequence").alias("element_sequence"), F.col("data_element_number").alias("number"))
-    rows = base.join(small(seg), "segment_id")
-    plain = rows.join(small(types), rows["number"] == types["data_element_number"]).drop("data_element_number")
+    # the elements of each segment first, once, then their places
+    plain = seg.join(small(types), seg["number"] == types["data_element_number"]).drop("data_element_number")
     plain = plain.join(small(ele), plain["number"] == ele["data_element_number"], "left")
     plain = plain.withColumn("component_sequence", F.lit(None).cast("string")).withColumn("generic", F.col("data_element_name")).withColumn("composite", F.lit(None).cast("string"))
-    whole = rows.join(small(types), rows["number"] == types["data_element_number"], "left_anti")
+    whole = seg.join(small(types), seg["number"] == types["data_element_number"], "left_anti")
     inside = _components(spec, whole, types, ele, com).withColumn("generic", F.col("data_element_name"))
-    keep = ["area", "sequence", "segment_id", "segment_name", "element_sequence", "component_sequence", "number", "generic", "composite", "data_element_type", "minimum_length", "maximum_length"]
-    every = plain.select(keep).unionByName(inside.select(keep))
+    keep = ["segment_id", "element_sequence", "component_sequence", "number", "generic", "composite", "data_element_type", "minimum_length", "maximum_length"]
+    every = base.join(small(plain.select(keep).unionByName(inside.select(keep))), "segment_id")
     con = spec["CONDETL"].select("record_type", "area", "sequence", F.col("reference_designator").alias("element_sequence"), F.col("composite_sequence").alias("component_sequence"), "data_element_number", "code", "usage")
     whole_usage = at_most_one(con.where("record_type = 'C' and usage is not null"), ["area", "sequence", "element_sequence"], "usage").withColumnRenamed("usage", "_whole")
     part_usage = at_most_one(con.where("record_type = 'D' and usage is not null"), ["area", "sequence", "element_sequence", "component_sequence"], "usage").withColumnRenamed("usage", "_part")
-    every = every.join(small(whole_usage), ["area", "sequence", "element_sequence"], "left").join(small(part_usage), ["area", "sequence", "element_sequence", "component_sequence"], "left")
+    codes = con.where("record_type = 'E' and code is not null")
+    by_number = codes.groupBy("area", "sequence", F.col("data_element_number").alias("number")).agg(F.array_sort(F.collect_set("code")).alias("_by_number"))
+    by_part = codes.where("component_sequence is not null").groupBy("area", "sequence", "element_sequence", "component_sequence").agg(F.array_sort(F.collect_set("code")).alias("_by_part"))
+    every = every.join(_by_place(whole_usage), ["area", "sequence", "element_sequence"], "left")
+    # two joins on the same columns, rows dealt out once
+    part = ["area", "sequence", "element_sequence", "component_sequence"]
+    every = every.join(_by_place(part_usage), part, "left").join(_by_place(by_part), part, "left")
     every = every.withColumn("usage", F.when(F.col("component_sequence").isNull(), F.col("_whole")).otherwise(F.col("_part")))
     every = every.where((F.col("usage").isNull() | (F.col("usage") != "8")) & (F.col("component_sequence").isNull() | F.col("_whole").isNull() | (F.col("_whole") != "8")))
     note = spec["CONTEXT"].where("note_type = 'F' and note is not null").select("area", "sequence", F.col("reference_designator").alias("element_sequence"), F.col("composite_sequence").alias("_component"), F.col("note"))
     note = at_most_one(note, ["area", "sequence", "element_sequence", "_component"], "note")
-    n = small(note.withColumnRenamed("area", "_a").withColumnRenamed("sequence", "_s").withColumnRenamed("element_sequence", "_e"))
+    n = _by_place(note.withColumnRenamed("area", "_a").withColumnRenamed("sequence", "_s").withColumnRenamed("element_sequence", "_e"))
     every = every.join(n, (F.col("area") == F.col("_a")) & (F.col("sequence") == F.col("_s")) & (F.col("element_sequence") == F.col("_e")) & F.col("component_sequence").eqNullSafe(F.col("_component")), "left")
-    codes = con.where("record_type = 'E' and code is not null")
-    by_number = codes.groupBy("area", "sequence", F.col("data_element_number").alias("number")).agg(F.array_sort(F.collect_set("code")).alias("_by_number"))
-    by_part = codes.where("component_sequence is not null").groupBy("area", "sequence", "element_sequence", "component_sequence").agg(F.array_sort(F.collect_set("code")).alias("_by_part"))
-    every = every.join(small(by_number), ["area", "sequence", "number"], "left").join(small(by_part), ["area", "sequence", "element_sequence", "component_sequence"], "left")
+    every = every.join(_by_place(by_number), ["area", "sequence", "number"], "left")
     own = F.coalesce("component_sequence", "element_sequence")
     every = every.withColumn("name", numbered(slug(F.coalesce("note", "generic")), own)).withColumn("optional", ~F.coalesce(F.col("usage").isin("1", "5"), F.lit(False)))
     every = every.withColumn("codes", F.when(F.col("data_element_type") == "ID", F.when(F.col("component_sequence").isNull(), F.col("_by_number")).otherwise(F.col("_by_part"))))

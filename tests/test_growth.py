@@ -1,6 +1,7 @@
 """Results and plans that must hold on tables of any size."""
 
-from arborlake.plans import queries, validate
+from arborlake.operators import sequences
+from arborlake.plans import guide, queries, typed_queries, validate
 from arborlake.sources import x12, xml
 from arborlake.sources.x12 import _cut_binary
 
@@ -83,3 +84,17 @@ def test_cut_of_plain_texts_is_as_piece_by_piece():
     for text in ("A*1~ B~~\n~C*BIN*2~ ", "A~ \r\n", "A*1", "~", "A*1~BI"):
         assert _cut_binary(text, "*", "~") == _cut_binary(text + "~BIN*1*x~", "*", "~")[: len(_cut_binary(text, "*", "~"))]
     assert _cut_binary("A*1\n\n B\n", "*", "\n") == [["A", "1"], ["B"]]
+
+
+def test_places_of_a_guide_are_never_broadcast(spark, sf):
+    got = guide.guide_elements(typed_queries._composite_guide(spark, sf))
+    joins = [x for x in plan(got).splitlines() if "Join" in x]
+    assert not [x for x in joins if "Broadcast" in x and "sequence" in x]
+    assert sum("sequence" in x for x in joins) == 6
+
+
+def test_at_most_one_takes_one_pass(spark):
+    df = spark.createDataFrame([(1, "a"), (1, None), (1, "a"), (2, "a"), (2, "b"), (3, None)], "k int, v string")
+    got = sequences.at_most_one(df, ["k"], "v", strict=False)
+    assert plan(got).count("Exchange") == 1
+    assert {(r.k, r.v, r.ambiguous) for r in got.collect()} == {(1, "a", False), (2, None, True), (3, None, False)}
