@@ -1,5 +1,8 @@
 """Results and plans that must hold on tables of any size."""
 
+from pyspark.sql import functions as F
+
+from arborlake.functions import leaf
 from arborlake.operators import sequences
 from arborlake.plans import guide, queries, typed_queries, validate
 from arborlake.sources import x12, xml
@@ -98,3 +101,34 @@ def test_at_most_one_takes_one_pass(spark):
     got = sequences.at_most_one(df, ["k"], "v", strict=False)
     assert plan(got).count("Exchange") == 1
     assert {(r.k, r.v, r.ambiguous) for r in got.collect()} == {(1, "a", False), (2, None, True), (3, None, False)}
+
+
+def test_envelopes_take_one_window(spark):
+    docs = spark.createDataFrame([(1, ISA + "GS*A~ST*1~B*1~SE*2~ST*2~SE*1~GE*1~GS*B~GE*0~IEA*2~" + ISA + "IEA*0~"), (2, "X*1~ST~")], "doc_id int, text string")
+    e = x12.envelopes(x12.segments(docs, "doc_id"), "doc_id")
+    assert plan(e).count("Window [") == 1
+    got = [(r.tag, r.isa, r.gs, r.st) for r in e.orderBy("doc_id", "pos").collect()]
+    assert got == [("ISA", 1, 0, 0), ("GS", 1, 1, 0), ("ST", 1, 1, 1), ("B", 1, 1, 1), ("SE", 1, 1, 1), ("ST", 1, 1, 2), ("SE", 1, 1, 2), ("GE", 1, 1, 2), ("GS", 1, 2, 2), ("GE", 1, 2, 2), ("IEA", 1, 2, 2), ("ISA", 2, 2, 2), ("IEA", 2, 2, 2), ("X", 0, 0, 0), ("ST", 0, 0, 1)]
+
+
+def test_lines_are_dealt_out_as_numbers_and_stay_with_their_days(spark, tmp_path):
+    from datetime import datetime as day
+
+    spark.createDataFrame([(7, 3, "O", day(1996, 1, 2)), (8, 3, "F", day(1997, 1, 2)), (9, 4, "F", day(1997, 1, 2))], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(8, 5, 1, 2.0, day(1996, 2, 1)), (7, 11, 2, 3.0, day(1996, 3, 2)), (7, 12, 1, 4.0, day(1996, 3, 3)), (7, 10, 2, 1.0, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries.interchanges(spark, str(tmp_path))
+    # before rows of an order or a customer are together, nothing is collected
+    assert plan(got).count("REPARTITION_BY_COL") == 2 and "ENSURE_REQUIREMENTS" not in "".join(x for x in plan(got).splitlines() if "l_orderkey" in x or "doc_id" in x)
+    (doc,) = got.collect()
+    assert doc.doc_id == 3 and doc.text.replace("\n", "").split("~")[2:-3] == [
+        "ST*850*0007", "BEG*00*O*000000007**960102", "IT1*1*4**PN:12", "DTM*011*19960303", "IT1*2*1**PN:10", "DTM*011", "IT1*2*3**PN:11", "DTM*011*19960302", "SE*9*0007",
+        "ST*850*0008", "BEG*00*F*000000008**970102", "IT1*1*2**PN:5", "DTM*011*19960201", "SE*5*0008",
+    ]
+
+
+def test_integers_are_padded_as_by_a_format(spark):
+    df = spark.createDataFrame([(0,), (5,), (-5,), (12345678901,), (None,)], "n long")
+    for least in (1, 4, 9):
+        got = df.select(leaf.encode_x12_integer(F.col("n"), least).alias("a"), F.format_string(f"%0{least}d", "n").alias("b"))
+        assert all(r.a == r.b for r in got.collect())
