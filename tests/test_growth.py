@@ -111,6 +111,17 @@ def test_envelopes_take_one_window(spark):
     assert got == [("ISA", 1, 0, 0), ("GS", 1, 1, 0), ("ST", 1, 1, 1), ("B", 1, 1, 1), ("SE", 1, 1, 1), ("ST", 1, 1, 2), ("SE", 1, 1, 2), ("GE", 1, 1, 2), ("GS", 1, 2, 2), ("GE", 1, 2, 2), ("IEA", 1, 2, 2), ("ISA", 2, 2, 2), ("IEA", 2, 2, 2), ("X", 0, 0, 0), ("ST", 0, 0, 1)]
 
 
+def test_tags_are_found_without_a_cut(spark):
+    texts = ["ST *1~A~*x~BIN*3*a*~~N1*~", ISA.replace("*", "é") + "BéC~", "ISA", ""]
+    s = x12.segments(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id")
+    got = {}
+    for r in s.orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.tag, r.elements))
+    assert got[0] == [("ST", ["1"]), ("A", []), ("", ["x"]), ("BIN", ["3", "a*~"]), ("N1", [""])] and got[1][1] == ("B", ["C"])
+    assert [t for t, _ in got[2]] == ["I", "S", "A"] and 3 not in got
+    assert "substring_index" in plan(s.select("tag"))
+
+
 def test_lines_are_dealt_out_as_numbers_and_stay_with_their_days(spark, tmp_path):
     from datetime import datetime as day
 
